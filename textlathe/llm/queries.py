@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlathe.llm import bpe, fuse, langid, leaks, pairs, split
+from textlathe.llm import bpe, fuse, langid, leaks, pairs, pii, split
 from textlathe.llm.sql import ORACLES
 from textlathe.runtime import table
 
@@ -62,5 +62,14 @@ def p7_leaks(spark: SparkSession, sf: str) -> DataFrame:
     return leaks.find_leaks(table(spark, sf, "documents"), table(spark, sf, "eval_item"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_segments, p3_found, p3_pieces, p4_found, p4_fused, p5_found, p6_ids, p6_decoded, p7_found, p7_leaks)}
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf, "documents"), pii.fit_models(table(spark, sf, "name_list")))
+
+
+def p8_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    """Every text with typed placeholders in the place of personal information."""
+    return pii.find_pii(table(spark, sf, "documents"), pii.fit_models(table(spark, sf, "name_list")), redact=True)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_segments, p3_found, p3_pieces, p4_found, p4_fused, p5_found, p6_ids, p6_decoded, p7_found, p7_leaks, p8_found, p8_redacted)}
 __all__ = ["ORACLES", "QUERIES"]
