@@ -297,7 +297,7 @@ def other_language(question: str, response: str, model: NaiveBayes) -> str | Non
     """The response's language if it is neither the question's nor one it asks for."""
     text = FENCED.sub(" ", response)
     text = re.sub(r"[\"“][^\"”]{0,60}[\"”]|\([^()]{0,60}\)", " ", text)
-    if sum(map(len, LETTERS.findall(text))) < MIN_LETTERS:
+    if min(sum(map(len, LETTERS.findall(x))) for x in (text, question)) < MIN_LETTERS:
         return None
     s = model.scores(text)
     allowed = {model.langs[int(model.scores(question).argmax())], asked_language(question)}
