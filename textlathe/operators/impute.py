@@ -14,11 +14,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textlathe.runtime import spread
+from textlathe.runtime import cut_lineage, spread
 
 OTHER = "\x00other"
 
@@ -75,14 +75,16 @@ def fit_tree(df: DataFrame, numeric: list[str], categorical: list[str], bins: in
         cuts = [n / bins for n in range(1, bins)]
         got = df.agg(*[F.percentile_approx(F.col(c), cuts, 10_000).alias(c) for c in numeric]).first()
         model.edges = {c: sorted(set(got[c] or [])) for c in numeric}
+    model.levels = {c: [] for c in categorical}
     if categorical:
         ranked = (
             df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in categorical])).alias("x"))
             .where("x.v is not null").groupBy("x.c", "x.v").count()
         )
-        # the most frequent levels of each column: at most `levels` rows of each reach the driver
-        for c in categorical:
-            model.levels[c] = [r.v for r in ranked.where(F.col("c") == c).orderBy(F.desc("count"), "v").limit(levels).collect()]
+        # counted values only are ordered; at most `levels` rows of each column reach the driver
+        place = F.row_number().over(Window.partitionBy("c").orderBy(F.desc("count"), "v"))
+        for r in ranked.withColumn("n", place).where(F.col("n") <= levels).orderBy("c", "n").collect():
+            model.levels[r.c].append(r.v)
     if numeric:
         mid = [
             F.percentile_approx(F.when(bin_of(F.col(c), model.edges[c]) == b, F.col(c)), 0.5, 10_000).alias(f"{c}|{b}")
@@ -168,7 +170,8 @@ def fill_missing(df: DataFrame, row_id: str, group: str, numeric: list[str], cat
     other columns are ignored; an empty table gives an empty result.
     """
     picked = df.select(row_id, group, *[F.col(c).cast("double").alias(c) for c in numeric], *[F.col(c).cast("string").alias(c) for c in categorical])
-    picked = picked.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in numeric})
+    # the narrow rows are read for every statistic of the tree: worked out and written once
+    picked = cut_lineage(picked.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in numeric}))
     model = model or fit_tree(picked, numeric, categorical)
     states = coded(picked, model).join(group_evidence(picked, model, group), group, "left")
     names = model.nodes
