@@ -84,3 +84,24 @@ def breadcrumbs(titles: DataFrame) -> DataFrame:
     named = prefix.join(titles.select(F.col("route").alias("prefix"), F.col("title")), "prefix", "left").where("title is not null")
     step = F.struct("pos", F.when(F.col("pos") < F.col("n") - 1, F.concat("title", F.lit(" > "))).otherwise(F.col("title")).alias("t"))
     return named.groupBy("route").agg(F.array_sort(F.collect_list(step)).alias("s")).select("route", F.array_join(F.transform("s", lambda x: x["t"]), "").alias("crumb"))
+
+
+def hybrid(keyword: DataFrame, semantic: DataFrame | None, top: int = 10) -> DataFrame:
+    """(query_id, page_id, rank): fused rankings where there is a semantic one.
+
+    Without a semantic side at all (`None`: vectors not published, not readable), or for
+    queries that it lacks (no known word), the keyword ranking stands, untruncated.
+    """
+    plain = keyword.select("query_id", "page_id", "rank")
+    if semantic is None:
+        return plain
+    known = semantic.select("query_id").distinct()
+    return fuse(keyword.join(known, "query_id", "left_semi"), semantic, top).select("query_id", "page_id", "rank").unionByName(plain.join(known, "query_id", "left_anti"))
+
+
+def pooled_vectors(tokens: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """(key, vector): mean of the token vectors of (key, token_id) rows, scaled to length
+    one; keys without a known token or of zero length give no row."""
+    e = tokens.join(table, "token_id").select(key, F.posexplode("vector").alias("i", "x")).groupBy(key, "i").agg(F.avg(F.col("x").cast("double")).alias("v"))
+    v = e.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("v"))
+    return v.withColumn("n", N.norm("v")).where("n > 0").select(key, F.transform("v", lambda x: x / F.col("n")).alias("vector"))

@@ -12,16 +12,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder and read it back.
+def scratch(spark: SparkSession) -> str:
+    """The folder shared by all executors that `spark.checkpoint.dir` names.
 
-    The folder is the one the cluster names in `spark.checkpoint.dir`; only a session
-    without one (tests, local runs) gets a temporary folder.
+    Only a session without one (tests, local runs) gets a temporary folder.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        given = sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="textlathe-checkpoint-"))
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="textlathe-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write `df` to the shared checkpoint folder and read it back."""
+    scratch(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
