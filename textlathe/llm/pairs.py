@@ -71,6 +71,8 @@ FENCED = re.compile(r"```.*?(?:```|$)|^\|.*$|https?://\S+|`[^`]*`", re.S | re.M)
 INVISIBLE = re.compile("[​-‏‪-‮⁠-⁤﻿­]")
 MARKUP = re.compile(r"<[^<>]{0,80}>|```\w*|[*_#>`~|\[\](){}\"“”„«»]+")
 LETTERS = re.compile(r"[^\W\d_]+")
+#: A text that ends on a sign that something must follow, or on a quote that opens.
+OPEN_END = re.compile(r"(?:[,;:(\[{=+&/–—]|(?:^|\s)[\"“„«‘'(*_]+|\s-)$")
 OPEN_ITEM = re.compile(r"(?:^|\n)\s*(?:[-*•>#]+|\d+[.)])\s*$")
 TERMINAL = re.compile(r"[.!?…。！？][\"'”’»)\]*_`]*$")
 
@@ -310,7 +312,7 @@ def other_language(question: str, response: str, model: NaiveBayes) -> str | Non
 
 def is_truncated(response: str, table: np.ndarray) -> bool:
     text = INVISIBLE.sub("", response).rstrip()
-    if text.count("```") % 2 or OPEN_ITEM.search(text):
+    if text.count("```") % 2 or OPEN_ITEM.search(text) or OPEN_END.search(text):
         return True
     if TERMINAL.search(text) or text.endswith("```"):
         return False
