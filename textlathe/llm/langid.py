@@ -22,11 +22,11 @@ from pyspark.sql import functions as F
 from textlathe.runtime import spread
 
 #: Labelled lines the classifier may be fitted on, landmarks, n-gram buckets, ridge.
-SAMPLE, LANDMARKS, BUCKETS, RIDGE, SEED = 6_000, 600, 1 << 16, 1e-3, 5
+SAMPLE, LANDMARKS, BUCKETS, RIDGE, SEED = 9_000, 600, 1 << 16, 1e-3, 5
 #: A sentence counts as often as it occurs in the sample, up to this; labels less likely than this are wrong.
 MOST_WEIGHT, LEAST_LIKELY = 25, 0.05
 LONGEST_GRAM = 4
-SWITCH_PRICE = 2.0
+SWITCH_PRICE = 1.0
 CHUNK = 4000
 
 NOISE = re.compile(
