@@ -268,8 +268,9 @@ def test_segments(spark, kernel):
     seg = langid.segment_lines(df, kernel)
     assert [(r.seg_no, r.lang) for r in seg.where("row_id = 1").orderBy("seg_no").collect()] == [(1, "en"), (2, "de"), (3, "fr")]
     codes = spark.createDataFrame([("en", "en"), ("fr", "fr")], "code string, lang string")
-    got = sorted(tuple(r) for r in langid.label_cases(df.limit(6), codes, langid.segment_lines(df.limit(6), kernel)).collect())
-    assert got == [(1, 1, "en"), (1, 2, "de"), (1, 3, "fr"), (6, 1, "it")]
+    got = sorted(tuple(r) for r in langid.label_cases(df, codes.unionAll(codes), kernel).collect())
+    assert got == [(1, 1, "en"), (1, 2, "de"), (1, 3, "fr"), (6, 1, "it"), (6, 1, "it")]
+    assert langid.fit_lines(df.limit(0), codes).langs == ["und"]
     assert langid.segment_lines(df.limit(0), kernel).count() == 0
 
 

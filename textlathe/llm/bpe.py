@@ -121,7 +121,7 @@ class Encoder:
         self.find = regex.compile(WORD_PATTERN).findall
         self.byte_ids = tok["bytes"]
         self.known: dict[str, bytes] = {}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
         merges = pa.table({"l": tok["l"], "r": tok["r"], "merged": tok["merged"], "rank": np.arange(len(tok["l"]), dtype=np.int32)})
         self.db.register("given", merges)
         self.db.execute("CREATE TABLE merges AS SELECT * FROM given")
@@ -223,7 +223,7 @@ def decode_corpus(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", p
     def run(batches):
         import duckdb
 
-        db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
         ids, hexes = given.value
         db.register("vocab_in", pa.table({"id": pa.array(ids, pa.int32()), "piece": pa.array(hexes)}))
         db.execute("CREATE TABLE vocab AS SELECT * FROM vocab_in")

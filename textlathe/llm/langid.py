@@ -136,6 +136,11 @@ def fit_kernel(texts: list[str], labels: list[str], weights: np.ndarray | None =
     return KernelModel(langs, (dense @ (root @ solve(np.ones(len(texts), bool))).astype(np.float32)), heat)
 
 
+def one_language(codes: DataFrame) -> DataFrame:
+    """(code, lang), one row a code: a small fixed table."""
+    return codes.where("code is not null and lang is not null").groupBy("code").agg(F.min("lang").alias("lang"))
+
+
 def fit_lines(lines: DataFrame, codes: DataFrame, sample: int = SAMPLE) -> KernelModel:
     """Fit on at most `sample` labelled lines, taken in order of a hash of their text.
 
@@ -143,7 +148,7 @@ def fit_lines(lines: DataFrame, codes: DataFrame, sample: int = SAMPLE) -> Kerne
     lines in several languages are outvoted: a sentence takes its most frequent label,
     and a first fit sorts out labels that it finds unlikely before the second.
     """
-    labelled = lines.join(F.broadcast(codes), lines["label"] == codes["code"]).where("text is not null").select("text", "lang")
+    labelled = lines.select(F.col("label").alias("code"), "text").where("text is not null").join(F.broadcast(one_language(codes)), "code")
     rows = labelled.orderBy(F.xxhash64("text"), "lang").limit(sample).collect()
     votes: dict[str, Counter] = {}
     for r in rows:
@@ -178,8 +183,9 @@ def best_path(logs: np.ndarray, price: float = SWITCH_PRICE) -> np.ndarray:
     return path
 
 
-def segment_lines(lines: DataFrame, model: KernelModel, id_col: str = "row_id", text_col: str = "text") -> DataFrame:
-    """(id, seg_no, n_segments, lang, confidence, words) for each segment of each text.
+def segment_lines(lines: DataFrame, model: KernelModel, id_col: str = "row_id", text_col: str = "text", keep: str | None = None) -> DataFrame:
+    """(id, seg_no, n_segments, lang, confidence, words) for each segment of each text,
+    with the string column `keep` carried along if it is named.
 
     Segments are the longest runs of sentences in one language, numbered from 1; the
     confidence is the mean of its sentences'. Nulls, empty texts and texts without words
@@ -187,20 +193,21 @@ def segment_lines(lines: DataFrame, model: KernelModel, id_col: str = "row_id",
     columns are ignored; an empty table gives an empty result.
     """
     given = lines.sparkSession.sparkContext.broadcast(model)
-    picked = lines.select(F.col(id_col).cast("bigint").alias(id_col), F.col(text_col).alias("t")).where("t is not null")
+    kept = F.col(keep).cast("string") if keep else F.lit(None).cast("string")
+    picked = lines.select(F.col(id_col).cast("bigint").alias(id_col), kept.alias("k"), F.col(text_col).alias("t")).where("t is not null")
 
     def run(frames):
         model: KernelModel = given.value
         for frame in frames:
             for at in range(0, len(frame), CHUNK):
-                ids = frame[id_col].iloc[at : at + CHUNK].tolist()
+                ids = list(zip(frame[id_col].iloc[at : at + CHUNK].tolist(), frame["k"].iloc[at : at + CHUNK].tolist()))
                 parts = [sentences(t) for t in frame["t"].iloc[at : at + CHUNK]]
                 flat = [s for p in parts for s in p]
                 distinct = {s: n for n, s in enumerate(dict.fromkeys(flat))}
                 texts = list(distinct)
                 logs = np.concatenate([model.logs(texts[k : k + CHUNK]) for k in range(0, len(texts), CHUNK)]) if texts else None
                 out = []
-                for row, p in zip(ids, parts):
+                for (row, k), p in zip(ids, parts):
                     if not p:
                         continue
                     own = logs[[distinct[s] for s in p]]
@@ -208,17 +215,17 @@ def segment_lines(lines: DataFrame, model: KernelModel, id_col: str = "row_id",
                     sure = np.exp(own[np.arange(len(p)), path])
                     cuts = [0, *(np.flatnonzero(path[1:] != path[:-1]) + 1).tolist(), len(p)]
                     for no, (a, b) in enumerate(zip(cuts, cuts[1:]), 1):
-                        out.append((row, no, len(cuts) - 1, model.langs[path[a]], float(sure[a:b].mean()), "".join(p[a:b]).strip()))
-                yield pd.DataFrame(out, columns=[id_col, "seg_no", "n_segments", "lang", "confidence", "words"])
+                        out.append((row, no, len(cuts) - 1, model.langs[path[a]], float(sure[a:b].mean()), "".join(p[a:b]).strip(), k))
+                yield pd.DataFrame(out, columns=[id_col, "seg_no", "n_segments", "lang", "confidence", "words", "k"])
 
-    return spread(picked).mapInPandas(run, f"{id_col} bigint, seg_no int, n_segments int, lang string, confidence double, words string")
+    done = spread(picked).mapInPandas(run, f"{id_col} bigint, seg_no int, n_segments int, lang string, confidence double, words string, k string")
+    return done.withColumnRenamed("k", keep) if keep else done.drop("k")
 
 
-def label_cases(lines: DataFrame, codes: DataFrame, segments: DataFrame) -> DataFrame:
+def label_cases(lines: DataFrame, codes: DataFrame, model: KernelModel) -> DataFrame:
     """Segments of the lines whose label doesn't stand for their one language, and of all
-    lines in several languages: (row_id, seg_no, lang)."""
-    told = lines.select("row_id", "label").join(F.broadcast(codes.select(F.col("code").alias("label"), F.col("lang").alias("told"))), "label", "left").select("row_id", "told")
-    return (
-        segments.join(told, "row_id").where("n_segments > 1 or told is null or told != lang")
-        .select("row_id", "seg_no", "lang")
-    )
+    lines in several languages: (row_id, seg_no, lang). Null and unlisted labels stand
+    for none; the label travels with its line, so repeated rows come out each."""
+    told = F.broadcast(one_language(codes).select(F.col("code").alias("label"), F.col("lang").alias("told")))
+    found = segment_lines(lines, model, keep="label").join(told, "label", "left")
+    return found.where("n_segments > 1 or told is null or told != lang").select("row_id", "seg_no", "lang")

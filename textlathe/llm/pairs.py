@@ -120,7 +120,8 @@ def fit_languages(lines: DataFrame, codes: DataFrame, pairs: DataFrame, sample:
     Lines are taken in order of a hash of their text, labels by the exact spelling in
     `codes`. Wrong labels are outvoted: the lines are relabelled once by a first fit.
     """
-    labelled = lines.join(F.broadcast(codes), lines["label"] == codes["code"]).where("text is not null").select("text", "lang")
+    one = codes.where("code is not null and lang is not null").groupBy("code").agg(F.min("lang").alias("lang"))
+    labelled = lines.select(F.col("label").alias("code"), "text").where("text is not null").join(F.broadcast(one), "code")
     rows = labelled.orderBy(F.xxhash64("text"), "lang").limit(sample).collect()
     first = fit_bayes([r.text for r in rows], [r.lang for r in rows])
     kept = [(r.text, r.lang) for r in rows if first.langs[int(first.scores(r.text).argmax())] == r.lang]

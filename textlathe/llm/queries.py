@@ -19,7 +19,7 @@ def p1_segments(spark: SparkSession, sf: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     lines, codes = table(spark, sf, "benchmark_df"), table(spark, sf, "lang_code")
-    return langid.label_cases(lines, codes, langid.segment_lines(lines, langid.fit_lines(lines, codes)))
+    return langid.label_cases(lines, codes, langid.fit_lines(lines, codes))
 
 
 def p3_pieces(spark: SparkSession, sf: str) -> DataFrame:
