@@ -89,6 +89,14 @@ def test_once_and_report(spark, tmp_path):
     assert K.recall_report(r) == ["hybrid     exact-term     r@1=0.4 r@3=0.7"]
 
 
+def test_parameters_and_metric_file(spark, tmp_path):
+    K.save_parameters(spark, str(tmp_path), "glm", {"intercept": 1.5, "slopes": [0, 2]})
+    assert K.load_parameters(spark, str(tmp_path), "glm") == {"intercept": 1.5, "slopes": [0, 2]}
+    K.metric_file(spark.createDataFrame([("b", 2.0), ("A", 1.23456)], "model string, tau double").coalesce(1), str(tmp_path / "m"), "model", "tau")
+    lines = [x for f in (tmp_path / "m").glob("part-*") for x in f.read_text().split()]
+    assert lines == ["model,tau", "A,1.2346", "b,2.0000"]
+
+
 def test_streams_equal_batches(spark, tmp_path):
     src = "/root/testdata/sf0.001/events.parquet"
     folder = tmp_path / "in"

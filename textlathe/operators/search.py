@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,12 +44,84 @@ def lexical_rank(view: DataFrame, queries: DataFrame, top: int | None = 10) -> D
     return ranked(lexical_scores(view, queries), [F.desc("score"), F.asc("first_seq")], top=top)
 
 
+#: Query vectors that are sent to every task at once (checked by a count), rows of a block.
+MAX_QUERIES, BLOCK = 20_000, 4096
+
+
 def vector_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """Exhaustive inner products of a stated set of query vectors against all rows.
+    """All inner products of a stated set of query vectors against all rows, as rows."""
+    return queries.crossJoin(vectors).where("query_id != seq").select("query_id", "seq", "page_id", N.dot("query_vector", "vector").alias("score"))
+
 
-    The queries are the small side; whether they are broadcast is left to their size.
+def scored_blocks(vectors: DataFrame, queries: DataFrame, keep) -> DataFrame | None:
+    """Rows (query_id, seq, page_id, score) that `keep` picks of each block's scores.
+
+    The queries, if no more than `MAX_QUERIES`, go to every task as one matrix; blocks
+    of rows meet it in a matrix product, and only the picked pairs become rows. `keep`
+    gets scores (queries x rows), row ids and pages, and returns query and row places.
+    With more queries the result is None: the caller takes the joined path.
     """
-    return queries.crossJoin(vectors).where("query_id != seq").select("query_id", "seq", "page_id", N.dot("query_vector", "vector").alias("score"))
+    if queries.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
+        return None
+    rows = queries.select("query_id", "query_vector").collect()
+    ids, matrix = np.array([r.query_id for r in rows], np.int64), np.array([r.query_vector for r in rows], np.float64)
+    given = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
+
+    def run(frames):
+        ids, matrix = given.value
+        for frame in frames:
+            for at in range(0, len(frame), BLOCK):
+                part = frame.iloc[at : at + BLOCK]
+                if not len(ids):
+                    continue
+                seq, page = part["seq"].to_numpy(), part["page_id"].to_numpy()
+                scores = matrix @ np.stack(part["vector"].to_numpy()).astype(np.float64).T
+                scores[ids[:, None] == seq[None, :]] = -np.inf
+                q, r = keep(scores, seq, page)
+                good = np.isfinite(scores[q, r])
+                yield pd.DataFrame({"query_id": ids[q][good], "seq": seq[r][good], "page_id": page[r][good], "score": scores[q, r][good]})
+
+    return vectors.select("seq", "page_id", "vector").mapInPandas(run, "query_id bigint, seq bigint, page_id string, score double")
+
+
+def vector_topk(vectors: DataFrame, queries: DataFrame, top: int) -> DataFrame:
+    """(query_id, seq, page_id, score, rank): each query's best rows over all rows.
+
+    Each block gives its own best `top` rows of each query before anything is shuffled.
+    """
+
+    def best(scores, seq, page):
+        order = np.lexsort((np.broadcast_to(seq, scores.shape), -scores), axis=1)[:, :top]
+        return np.repeat(np.arange(len(scores)), order.shape[1]), order.ravel()
+
+    found = scored_blocks(vectors, queries, best)
+    return ranked(vector_scores(vectors, queries) if found is None else found, [F.desc("score"), F.asc("seq")], top=top)
+
+
+def vector_pages(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, page_id, score, seq): the best row of each page for each query; each
+    block gives one row a query and page."""
+
+    def best(scores, seq, page):
+        names, group = np.unique(page.astype(str), return_inverse=True)
+        order = np.lexsort((np.broadcast_to(seq, scores.shape), -scores, np.broadcast_to(group, scores.shape)), axis=1)
+        sorted_group = group[order]
+        first = np.concatenate([np.ones((len(order), 1), bool), sorted_group[:, 1:] != sorted_group[:, :-1]], axis=1)
+        q, k = np.nonzero(first)
+        return q, order[q, k]
+
+    found = scored_blocks(vectors, queries, best)
+    return rollup(vector_scores(vectors, queries) if found is None else found)
+
+
+def vector_pairs(vectors: DataFrame, queries: DataFrame, least: float) -> DataFrame:
+    """(query_id, seq, score) of cosine similarities from `least` on; only such pairs
+    become rows. Zero vectors are like nothing."""
+    unit = lambda df, c: df.withColumn("_n", N.norm(c)).where("_n > 0").withColumn(c, F.transform(c, lambda x: x.cast("double") / F.col("_n"))).drop("_n")
+    v, q = unit(vectors, "vector"), unit(queries, "query_vector")
+    found = scored_blocks(v, q, lambda scores, seq, page: np.nonzero(scores >= least))
+    pairs = vector_scores(v, q) if found is None else found
+    return pairs.where(F.col("score") >= least).select("query_id", "seq", "score")
 
 
 def rollup(scores: DataFrame) -> DataFrame:

@@ -14,10 +14,14 @@ def standard_error(c: str) -> Column:
     return F.stddev_samp(c) / F.sqrt(F.count(c))
 
 
-def describe(df: DataFrame, by: list[str], cols: list[str]) -> DataFrame:
-    """count, mean, std, min, quartiles (linear between ranks) and max of each column, long."""
+def describe(df: DataFrame, by: list[str], cols: list[str], exact: bool = True) -> DataFrame:
+    """count, mean, std, min, quartiles and max of each column, long.
+
+    Exact quartiles (linear between ranks) hold a group's distinct values in memory; for
+    groups of unbounded size `exact=False` takes sketches of bounded size instead.
+    """
     long = df.select(*by, F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("v")) for c in cols])).alias("x")).select(*by, "x.metric", "x.v")
-    q = F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    q = F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) if exact else F.percentile_approx("v", [0.25, 0.5, 0.75], 10_000)
     out = long.groupBy(*by, "metric").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("low"), q.alias("q"), F.max("v").alias("high"))
     r = lambda c: F.round(c, 4)
     return out.select(*by, "metric", "n", r("mean").alias("mean"), r("std").alias("std"), r("low").alias("low"), r(F.col("q")[0]).alias("q25"), r(F.col("q")[1]).alias("q50"), r(F.col("q")[2]).alias("q75"), r("high").alias("high"))

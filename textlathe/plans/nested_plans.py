@@ -12,6 +12,7 @@ from textlathe.functions import text as X
 from textlathe.functions import udfs as U
 from textlathe.operators import graphs as G
 from textlathe.operators import regression as R
+from textlathe.operators import search as S
 from textlathe.plans.base import Plans
 from textlathe.runtime import table
 
@@ -70,10 +71,13 @@ COS = "list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS
 @query(f"SELECT a.vec_id AS a, b.vec_id AS b, round({COS}, 6) AS similarity FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id AND {COS} >= 0.35")
 def cosine_pairs(spark, sf):
     """Every row whose id is divisible by 20 against all rows, by a similarity threshold."""
-    q = vectors(spark, sf).where("vec_id % 20 = 0").select(F.col("vec_id").alias("a"), F.col("embedding").alias("ea"), N.norm("embedding").alias("na"))
-    d = vectors(spark, sf).select(F.col("vec_id").alias("b"), F.col("embedding").alias("eb"), N.norm("embedding").alias("nb"))
-    s = F.try_divide(N.dot("ea", "eb"), F.col("na") * F.col("nb"))
-    return q.crossJoin(d).where("a != b").withColumn("s", s).where("s >= 0.35").select("a", "b", F.round("s", 6).alias("similarity"))
+    return similar_rows(spark, sf).select(F.col("query_id").alias("a"), F.col("seq").alias("b"), F.round("score", 6).alias("similarity"))
+
+
+def similar_rows(spark, sf):
+    v = vectors(spark, sf)
+    rows = v.select(F.col("vec_id").alias("seq"), F.col("label").cast("string").alias("page_id"), F.col("embedding").alias("vector"))
+    return S.vector_pairs(rows, v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")), 0.35)
 
 
 @query("SELECT event_id, TRY_CAST(json_extract(props, '$.k') AS DOUBLE) AS k, TRY_CAST(json_extract(props, '$.a.b') AS DOUBLE) AS deep FROM events")
@@ -131,21 +135,13 @@ def evaluation_summary(spark, sf):
     return r.groupBy("generated_by", "response_by").agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.col("reference_contexts").isNotNull(), F.size("reference_contexts"))), 6).alias("contexts"), F.count_if(F.col("reference").isNull() | (F.length("reference") < 16)).alias("short"))
 
 
-EDGES = "e AS (SELECT DISTINCT o_custkey AS src, o_orderkey + 10000000 AS dst FROM orders WHERE o_orderstatus = 'P' UNION SELECT l_suppkey + 20000000, l_orderkey + 10000000 FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus = 'P' AND l_linenumber = 1 AND l_quantity > 48)"
-
-
-def order_edges(spark, sf):
-    o = table(spark, sf, "orders").where("o_orderstatus = 'P'")
-    a = o.select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") + 10000000).alias("dst"))
-    l = table(spark, sf, "lineitem").where("l_linenumber = 1 and l_quantity > 48").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
-    return a.unionByName(l.select((F.col("l_suppkey") + 20000000).alias("src"), (F.col("l_orderkey") + 10000000).alias("dst"))).distinct()
-
-
-@query()
+@query(f"""WITH RECURSIVE e AS (SELECT a.vec_id AS src, b.vec_id AS dst FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id AND {COS} >= 0.35),
+  two AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), reach AS (SELECT vec_id AS id, vec_id AS r FROM embeddings UNION SELECT two.dst, r FROM reach JOIN two ON two.src = reach.id)
+SELECT id, min(r) AS component FROM reach GROUP BY id""")
 def graph_components(spark, sf):
-    edges = order_edges(spark, sf)
-    nodes = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-    return G.components(nodes, edges)
+    """Clusters of vectors: connected components over the similarity edges."""
+    edges = similar_rows(spark, sf).select(F.col("query_id").alias("src"), F.col("seq").alias("dst"))
+    return G.components(vectors(spark, sf).select(F.col("vec_id").alias("id")), edges)
 
 
 @query("WITH RECURSIVE t AS (SELECT 0 AS node, 0 AS level UNION SELECT b.k, t.level + 1 FROM t JOIN (SELECT n_nationkey AS k, n_nationkey // 2 AS parent FROM nation WHERE n_nationkey > 0) b ON b.parent = t.node AND t.node <> b.k) SELECT node, level FROM t")
@@ -159,7 +155,8 @@ def tally_edges(spark, sf):
     return table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("caller"), F.col("o_orderstatus").alias("callee")).agg(F.count("*").alias("calls"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT n_nationkey AS src, unnest([(n_nationkey * 3 + 1) % 25, (n_nationkey + 7) % 25]) AS dst FROM nation),
+  w AS (SELECT 0 AS node, 0 AS level UNION SELECT e.dst, level + 1 FROM w JOIN e ON e.src = w.node WHERE level < 25) SELECT node, min(level) AS level FROM w GROUP BY node""")
 def call_graph(spark, sf):
     """Breadth-first levels in a graph with cycles."""
     k = table(spark, sf, "nation").select(F.col("n_nationkey").alias("src"))

@@ -118,19 +118,19 @@ def term_freq(spark, sf):
 
 @query(f"WITH {VECTORS} SELECT query_id, seq, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seq) AS rank FROM sims QUALIFY rank <= 5")
 def vector_topk_many(spark, sf):
-    top = S.ranked(S.vector_scores(vectors_of(spark, sf), vector_queries(spark, sf)), [F.desc("score"), F.asc("seq")], top=5)
+    top = S.vector_topk(vectors_of(spark, sf), vector_queries(spark, sf), 5)
     return top.select("query_id", "seq", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
 @query(f"WITH {VECTORS} SELECT seq, round(score, 6) AS score FROM sims WHERE query_id = 0 ORDER BY score DESC, seq LIMIT 10")
 def vector_topk(spark, sf):
     one = vector_queries(spark, sf).where("query_id = 0")
-    return S.vector_scores(vectors_of(spark, sf), one).orderBy(F.desc("score"), "seq").limit(10).select("seq", F.round("score", 6).alias("score"))
+    return S.vector_topk(vectors_of(spark, sf), one, 10).select("seq", F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH {VECTORS} SELECT query_id, page_id, round(max(score), 6) AS score, arg_min(seq, (-score, seq)) AS seq FROM sims GROUP BY query_id, page_id""")
 def vector_rollup(spark, sf):
-    r = S.rollup(S.vector_scores(vectors_of(spark, sf), vector_queries(spark, sf)))
+    r = S.vector_pages(vectors_of(spark, sf), vector_queries(spark, sf))
     return r.select("query_id", "page_id", F.round("score", 6).alias("score"), "seq")
 
 
@@ -138,7 +138,7 @@ HYBRID = f"""WITH {LEXICAL},
   s AS (SELECT q.item_id AS query_id, d.doc_id AS page_id, max({DOT.format("e.embedding", "v.embedding")}) AS score
     FROM eval_item q JOIN embeddings e ON e.vec_id = q.item_id JOIN embeddings v ON v.vec_id <> e.vec_id JOIN pages d ON d.n = v.vec_id GROUP BY ALL),
   sem AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, page_id) AS rank FROM s WHERE score > 0)"""
-PAGES = f"pages AS (SELECT page_id AS doc_id, row_number() OVER (ORDER BY page_id) AS n FROM (SELECT DISTINCT {ROUTE} AS page_id FROM search_record))"
+PAGES = f"pages AS (SELECT page_id AS doc_id, CAST('0x' || substr(md5(page_id), 1, 7) AS BIGINT) % (SELECT count(*) FROM embeddings) AS n FROM (SELECT DISTINCT {ROUTE} AS page_id FROM search_record))"
 HYBRID = HYBRID.replace("WITH ", f"WITH {PAGES}, ", 1)
 FUSED = """k AS (SELECT query_id, page_id, rank AS kr FROM lex WHERE rank <= 10), m AS (SELECT query_id, page_id, rank AS sr FROM sem WHERE rank <= 10),
   f AS (SELECT coalesce(k.query_id, m.query_id) AS query_id, coalesce(k.page_id, m.page_id) AS page_id, kr, sr,
@@ -147,13 +147,14 @@ FUSED = """k AS (SELECT query_id, page_id, rank AS kr FROM lex WHERE rank <= 10)
 
 
 def semantic_pages(spark, sf):
-    """Vectors stand for pages by the page's place in the order of ids, item vectors for queries by id."""
-    pages = table(spark, sf, "search_record").select(X.canonical_route("route").alias("page_id")).distinct()
-    placed = pages.withColumn("seq", F.row_number().over(Window.orderBy("page_id")).cast("bigint"))
-    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("seq"), F.col("embedding").alias("vector")).join(placed, "seq")
-    asked = table(spark, sf, "eval_item").select(F.col("item_id").alias("query_id")).join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")), "query_id")
-    best = S.rollup(S.vector_scores(vectors, asked)).where("score > 0")
-    return S.ranked(best, [F.desc("score"), F.asc("page_id")])
+    """Each page borrows the vector at its hash's place, each item the vector of its id."""
+    vectors = table(spark, sf, "embeddings")
+    size = vectors.agg(F.count("*").alias("size"))
+    place = F.conv(F.substring(F.md5("page_id"), 1, 7), 16, 10).cast("bigint") % F.col("size")
+    pages = table(spark, sf, "search_record").select(X.canonical_route("route").alias("page_id")).distinct().crossJoin(F.broadcast(size)).select("page_id", place.alias("seq"))
+    rows = pages.join(vectors.select(F.col("vec_id").alias("seq"), F.col("embedding").alias("vector")), "seq")
+    asked = table(spark, sf, "eval_item").select(F.col("item_id").alias("query_id")).join(vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")), "query_id")
+    return S.ranked(S.vector_pages(rows, asked).where("score > 0"), [F.desc("score"), F.asc("page_id")])
 
 
 @query(f"{HYBRID}, {FUSED} SELECT query_id, page_id, kr AS keyword_rank, sr AS semantic_rank, round(score, 8) AS score, rank FROM hyb")

@@ -120,18 +120,19 @@ def micro_f1(spark, sf):
     return b.groupBy("corpus").agg(F.count("*").alias("n"), F.round(F.avg(right.cast("double")), 6).alias("micro_f1"))
 
 
-@query("""WITH a AS (SELECT o_custkey AS k, count(*) AS orders, sum(o_totalprice) AS spent FROM orders WHERE o_custkey % 3 <> 0 GROUP BY 1), b AS (SELECT c_custkey AS k, c_acctbal AS balance FROM customer WHERE c_custkey % 2 = 0),
+@query("""WITH a AS (SELECT o_custkey AS k, count(*) AS orders, sum(o_totalprice) AS spent FROM orders GROUP BY 1), b AS (SELECT c_custkey AS k, c_acctbal AS balance FROM customer),
   c AS (SELECT s_suppkey AS k, s_acctbal AS supplies FROM supplier) SELECT k, orders, round(spent, 2) AS spent, balance, supplies FROM a FULL JOIN b USING (k) FULL JOIN c USING (k)""")
 def outer_features(spark, sf):
-    a = t(spark, sf, "orders").where("o_custkey % 3 <> 0").groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("spent"))
-    b = t(spark, sf, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("balance"))
+    a = t(spark, sf, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("spent"))
+    b = t(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("balance"))
     c = t(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("supplies"))
     return a.join(b, "k", "full_outer").join(c, "k", "full_outer")
 
 
-@query("SELECT c_custkey, n_name FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 2 = 0) ON c_nationkey = n_nationkey")
+@query("SELECT c_custkey, n_name FROM customer LEFT JOIN (SELECT n.* FROM nation n JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA') ON c_nationkey = n_nationkey")
 def left_join_index(spark, sf):
-    return t(spark, sf, "customer").join(t(spark, sf, "nation").where("n_nationkey % 2 = 0"), F.col("c_nationkey") == F.col("n_nationkey"), "left").select("c_custkey", "n_name")
+    far = t(spark, sf, "nation").join(t(spark, sf, "region").where("r_name != 'ASIA'"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return t(spark, sf, "customer").join(far, F.col("c_nationkey") == F.col("n_nationkey"), "left").select("c_custkey", "n_name")
 
 
 @query("SELECT doc_id, lang FROM documents WHERE lang IN (SELECT lang FROM lang_code)")

@@ -73,3 +73,13 @@ def recall_report(recall: DataFrame) -> list[str]:
     """Aligned lines of a recall table: one for each condition and subset, a few rows."""
     rows = recall.orderBy("condition", "subset").select(F.format_string("%-10s %-14s r@1=%.1f r@3=%.1f", "condition", "subset", "recall_1", "recall_3").alias("line"))
     return [r.line for r in rows.limit(1000).collect()]
+
+
+def save_parameters(spark: SparkSession, path: str, name: str, parameters: dict) -> None:
+    """A fitted model as one row of JSON: its name, inputs, coefficients and metrics."""
+    text = json.dumps(parameters, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    spark.createDataFrame([(name, text)], "name string, parameters string").write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def load_parameters(spark: SparkSession, path: str, name: str) -> dict:
+    return json.loads(spark.read.parquet(f"{path}/{name}").first().parameters)
