@@ -71,3 +71,23 @@ def test_breadcrumb(spark):
     titles = spark.createDataFrame([("/blog", "Blog"), ("/blog/example", "Example"), ("/x/y", "Y")], "route string, title string")
     got = {r.route: r.crumb for r in S.breadcrumbs(titles).collect()}
     assert got == {"/blog": "Blog", "/blog/example": "Blog > Example", "/x/y": "Y"}
+
+
+def test_vector_blocks_equal_joined_path(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    rows = [(n, f"p{n % 7}", rng.standard_normal(8).tolist()) for n in range(60)] + [(60, "p0", [0.0] * 8)]
+    v = spark.createDataFrame(rows, "seq bigint, page_id string, vector array<double>").repartition(3)
+    q = spark.createDataFrame([(n, rows[n][2]) for n in (0, 20, 40)], "query_id bigint, query_vector array<double>")
+    rounded = lambda df, *c: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.select(*c).collect())
+    runs = {
+        "top": lambda: rounded(S.vector_topk(v, q, 5), "query_id", "seq", "rank", "score"),
+        "pages": lambda: rounded(S.vector_pages(v, q), "query_id", "page_id", "seq", "score"),
+        "pairs": lambda: rounded(S.vector_pairs(v, q, 0.2), "query_id", "seq", "score"),
+        "none": lambda: rounded(S.vector_topk(v.limit(0), q, 5), "query_id"),
+    }
+    blocks = {k: f() for k, f in runs.items()}
+    monkeypatch.setattr(S, "MAX_QUERIES", 0)
+    assert {k: f() for k, f in runs.items()} == blocks
+    assert len(blocks["top"]) == 15 and blocks["none"] == []

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textlathe.runtime import cut_lineage, spread
+from textlathe.runtime import cut_lineage
 
 OTHER = "\x00other"
 
@@ -189,7 +189,7 @@ def fill_missing(df: DataFrame, row_id: str, group: str, numeric: list[str], cat
     whole = states.where(~gaps).select(
         row_id, group, *[x for c in names for x in (F.col(c), F.lit(None).cast("string").alias(f"{c}_fill"), F.lit(None).cast("double").alias(f"{c}_confidence"))]
     )
-    return spread(states.where(gaps)).mapInPandas(run, schema).unionByName(whole)
+    return states.where(gaps).mapInPandas(run, schema).unionByName(whole)
 
 
 def filled_batch(frame: pd.DataFrame, model: TreeModel, row_id: str, group: str) -> pd.DataFrame:

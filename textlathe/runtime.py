@@ -33,7 +33,8 @@ def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
     """Give a CPU-heavy stage enough tasks when its input has too few partitions.
 
     A scan that already has `per_core` tasks for each core is left alone, so large
-    inputs are never shuffled for it.
+    inputs are never shuffled for it. Only for plans without a shuffle: counting another
+    plan's partitions would run it.
     """
     want = per_core * df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
