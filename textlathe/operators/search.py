@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from textlathe.functions import numbers as N
 from textlathe.functions import text as X
+from textlathe.runtime import broadcast_if
 
 
 def lexical_view(records: DataFrame) -> DataFrame:
@@ -24,12 +25,20 @@ def term_counts(df: DataFrame, key: list[str], text: str, name: str) -> DataFram
     return df.select(*key, F.explode(X.tokens(text)).alias("term")).groupBy(*key, "term").agg(F.count("*").alias(name))
 
 
+#: Rows of query terms that may be broadcast.
+MAX_TERMS = 500_000
+
+
 def lexical_scores(view: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, page_id, score, first_seq): the best section's score and the first
-    section with any. Sections and queries meet on terms, so sections without a common
-    term never enter the shuffle."""
-    q = term_counts(queries, ["query_id"], "query", "qtf")
-    wanted = q.select("term").distinct()
+    section with any.
+
+    Sections and queries meet on terms. The queries' terms, if a count finds them few,
+    are broadcast: words of no query never enter a shuffle, and frequent words don't
+    gather in one task.
+    """
+    q = broadcast_if(term_counts(queries, ["query_id"], "query", "qtf"), MAX_TERMS)
+    wanted = broadcast_if(queries.select(F.explode(X.tokens("query")).alias("term")).distinct(), MAX_TERMS)
     d = view.select("seq", "page_id", F.explode(X.tokens("text")).alias("term")).join(wanted, "term", "left_semi").groupBy("seq", "page_id", "term").agg(F.count("*").alias("dtf"))
     section = d.join(q, "term").groupBy("query_id", "page_id", "seq").agg(F.sum(F.col("qtf") * F.col("dtf")).alias("score"))
     return section.groupBy("query_id", "page_id").agg(F.max("score").alias("score"), F.min("seq").alias("first_seq"))
@@ -75,7 +84,8 @@ def scored_blocks(vectors: DataFrame, queries: DataFrame, keep) -> DataFrame | N
                 if not len(ids):
                     continue
                 seq, page = part["seq"].to_numpy(), part["page_id"].to_numpy()
-                scores = matrix @ np.stack(part["vector"].to_numpy()).astype(np.float64).T
+                # rounded, as a product's last digits depend on a row's place: equal vectors score alike
+                scores = np.round(matrix @ np.stack(part["vector"].to_numpy()).astype(np.float64).T, 12)
                 scores[ids[:, None] == seq[None, :]] = -np.inf
                 q, r = keep(scores, seq, page)
                 good = np.isfinite(scores[q, r])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +41,12 @@ def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
 
 
+def broadcast_if(df: DataFrame, most: int) -> DataFrame:
+    """`df` marked for broadcast if a count finds no more than `most` rows, else as it is:
+    the join then shuffles."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A session for tests and benchmarks on one machine."""
     return (
