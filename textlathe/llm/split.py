@@ -32,30 +32,46 @@ BOUNDARIES = [
     ("space", 2.0, re.compile(rf"{W}+")),
 ]
 HARD, HARD_STEP = 12.0, 16
+#: Zero-width joiner and the emoji variation selector: nothing is parted before or after them.
+JOINING = "\u200d\ufe0f"
 KINDS = [k for k, _, _ in BOUNDARIES] + ["inside", "end"]
 WHITE_RUN = re.compile(f"{W}+")
 
 
+#: Kinds that count everywhere; the others only in stretches that these leave too long.
+STRONG = 3
+
+
 def boundaries(text: str, room: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Positions to cut at, their penalties and kinds.
 
-    Inside stretches longer than `room` without a boundary every `HARD_STEP`-th position
-    counts too, unless it would part a letter from its combining mark.
+    Ends of paragraphs, lines and sentences count everywhere. In stretches of more than
+    half a piece without one, ends of clauses and white space count too, and in stretches
+    longer than `room` without any, every `HARD_STEP`-th position, unless it would part
+    a letter from its combining mark.
     """
     best: dict[int, tuple[float, int]] = {}
-    for k, (_, penalty, rx) in enumerate(BOUNDARIES):
-        for m in rx.finditer(text):
-            best.setdefault(m.end(), (penalty, k))
     n = len(text)
-    best.pop(0, None)
-    best.pop(n, None)
-    at = [0, *sorted(best), n]
-    for a, b in zip(at, at[1:]):
-        if b - a > room:
-            for p in range(a + HARD_STEP, b, HARD_STEP):
-                while p > a + 1 and (unicodedata.combining(text[p]) or text[p] in "‍️" or text[p - 1] == "‍"):
-                    p -= 1
-                best.setdefault(p, (HARD, 5))
+
+    def add(kinds: list, at: int, end: int) -> None:
+        for k, penalty, rx in kinds:
+            for m in rx.finditer(text, at, end):
+                if 0 < m.end() < n:
+                    best.setdefault(m.end(), (penalty, k))
+
+    def gaps(over: int) -> list[tuple[int, int]]:
+        at = [0, *sorted(best), n]
+        return [(a, b) for a, b in zip(at, at[1:]) if b - a > over]
+
+    known = [(k, penalty, rx) for k, (_, penalty, rx) in enumerate(BOUNDARIES)]
+    add(known[:STRONG], 0, n)
+    for a, b in gaps(room // 2):
+        add(known[STRONG:], a, b)
+    for a, b in gaps(room):
+        for p in range(a + HARD_STEP, b, HARD_STEP):
+            while p > a + 1 and (unicodedata.combining(text[p]) or text[p] in JOINING or text[p - 1] == JOINING[0]):
+                p -= 1
+            best.setdefault(p, (HARD, 5))
     pos = sorted(best)
     return np.array(pos, np.int64), np.array([best[p][0] for p in pos]), np.array([best[p][1] for p in pos], np.int64)
 
