@@ -100,6 +100,13 @@ def test_fuse_rule_and_edges(spark):
     assert fuse.fuse_releases(harvest(spark, []), sources).count() == 0
 
 
+def test_fuse_hot_release(spark):
+    sources = spark.createDataFrame([("card", 1), ("site", 2)], "source string, trust_rank int")
+    rows = [(n, "Hot 1 7B", None, f"{7 + n % 3}B", 0.5, None, "site" if n else "card", None, "z") for n in range(600)] + [(1000 + n, f"Cc {n // 2} 3B", None, "3B", None, None, "site", None, "z") for n in range(100)]
+    got = fuse.fuse_releases(harvest(spark, rows), sources)
+    assert got.count() == 52 and got.where("group_id = 0 and field = 'totalParams'").first().record_id == 0
+
+
 def test_copied_votes_are_discounted():
     accuracy = np.full(4, 0.8)
     free, copied = np.ones((4, 4)), np.ones((4, 4))
