@@ -8,6 +8,7 @@ response and reference of the table into hashed tables of fixed size.
 
 from __future__ import annotations
 
+import functools
 import re
 from dataclasses import dataclass
 
@@ -104,6 +105,9 @@ class NaiveBayes:
     def scores(self, text: str) -> np.ndarray:
         return self.logs[gram_ids(text)].sum(0)
 
+    def best(self, text: str) -> str:
+        return self.langs[int(self.scores(text).argmax())]
+
 
 def fit_bayes(texts: list[str], labels: list[str]) -> NaiveBayes:
     langs = sorted(set(labels)) or ["en"]
@@ -145,14 +149,17 @@ def marked(text: str) -> str:
     return "\x02" + re.sub(r" ?\n[\n ]*", "\n", t).strip()
 
 
-def contexts(text: str) -> list[np.ndarray]:
+def contexts(text: str, begins: list[int] | None = None) -> list[np.ndarray]:
     """For each order, the bucket of the characters before each position from 1 on; a
-    context never reaches over a line's or sentence's start."""
+    context never reaches over a line's or sentence's start. Several marked texts may
+    come as one, with the places where each begins."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     n = len(codes)
     starts = np.zeros(n + 1, np.int64)
     for m in re.finditer(r"\n|(?<=[.!?])\s(?=[^\W\d_]|[¿¡])", text):
         starts[m.end()] = m.end() - 1
+    if begins:
+        starts[np.array(begins) + 1] = begins
     starts = np.maximum.accumulate(starts)
     mul = np.uint64(0x9E3779B97F4A7C15)
     power = np.ones(n + 1, np.uint64)
@@ -203,14 +210,15 @@ def end_table(pairs: DataFrame) -> np.ndarray:
     def run(frames):
         table = np.zeros((len(ORDERS), 2, END_BUCKETS), np.int32)
         for frame in frames:
-            for t in frame["t"]:
-                m = marked(t)
-                if len(m) < 2:
+            for at in range(0, len(frame), 2000):
+                texts = [m for m in map(marked, frame["t"].iloc[at : at + 2000]) if len(m) > 1]
+                if not texts:
                     continue
-                ends = may_end(m)
-                for k, c in enumerate(contexts(m)):
-                    np.add.at(table[k, 1], c[ends], 1)
-                    np.add.at(table[k, 0], c[~ends], 1)
+                ends = np.concatenate([may_end(m) for m in texts])
+                begins = np.concatenate([[0], np.cumsum([len(m) for m in texts])[:-1]]).tolist()
+                for k, c in enumerate(contexts("".join(texts), begins)):
+                    table[k, 1] += np.bincount(c[ends], minlength=END_BUCKETS).astype(np.int32)
+                    table[k, 0] += np.bincount(c[~ends], minlength=END_BUCKETS).astype(np.int32)
         for k in range(len(ORDERS)):
             used = np.flatnonzero(table[k].any(0))
             yield pd.DataFrame({"k": np.int32(k), "b": used.astype(np.int32), "cont": table[k, 0][used].astype(np.int64), "fin": table[k, 1][used].astype(np.int64)})
@@ -296,14 +304,15 @@ def asked_language(question: str) -> str | None:
     return found[-1] if found else None
 
 
-def other_language(question: str, response: str, model: NaiveBayes) -> str | None:
-    """The response's language if it is neither the question's nor one it asks for."""
+def other_language(question: str, response: str, model: NaiveBayes, spoken=None) -> str | None:
+    """The response's language if it is neither the question's nor one it asks for.
+    `spoken` may tell a question's language from memory."""
     text = FENCED.sub(" ", response)
     text = re.sub(r"[\"“][^\"”]{0,60}[\"”]|\([^()]{0,60}\)", " ", text)
     if min(sum(map(len, LETTERS.findall(x))) for x in (text, question)) < MIN_LETTERS:
         return None
     s = model.scores(text)
-    allowed = {model.langs[int(model.scores(question).argmax())], asked_language(question)}
+    allowed = {spoken(question) if spoken else model.best(question), asked_language(question)}
     best = int(s.argmax())
     if model.langs[best] in allowed:
         return None
@@ -325,7 +334,7 @@ def is_truncated(response: str, table: np.ndarray) -> bool:
     return end_likelihood(text, table) < END_LIKELY
 
 
-def defect_of(question: str | None, response: str | None, model: NaiveBayes, table: np.ndarray) -> str | None:
+def defect_of(question: str | None, response: str | None, model: NaiveBayes, table: np.ndarray, spoken=None) -> str | None:
     question = question or ""
     if is_empty(response):
         return "empty"
@@ -333,7 +342,7 @@ def defect_of(question: str | None, response: str | None, model: NaiveBayes, tab
         return "copied_question"
     if is_refusal(question, response):
         return "refusal"
-    if other_language(question, response, model):
+    if other_language(question, response, model, spoken):
         return "other_language"
     return "truncated" if is_truncated(response, table) else None
 
@@ -353,8 +362,9 @@ def flag_pairs(pairs: DataFrame, lines: DataFrame, codes: DataFrame, model: Naiv
 
     def run(frames):
         model, table = given.value
+        spoken = functools.lru_cache(10_000)(model.best)
         for frame in frames:
-            found = [defect_of(q if isinstance(q, str) else None, r if isinstance(r, str) else None, model, table) for q, r in zip(frame["user_input"], frame["response"])]
+            found = [defect_of(q if isinstance(q, str) else None, r if isinstance(r, str) else None, model, table, spoken) for q, r in zip(frame["user_input"], frame["response"])]
             out = pd.DataFrame({"response_id": frame["response_id"], "defect": found})
             yield out[out["defect"].notna()]
 
