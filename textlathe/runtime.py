@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +33,35 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make sure that Python workers can import this package, once a context.
+
+    Where they can't (the folder isn't on their path), a zip of it is put into the shared
+    folder and handed to them.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_textlathe_shipped", False):
+        return
+
+    def importable(_):
+        import importlib.util
+
+        yield importlib.util.find_spec("textlathe") is not None
+
+    tasks = max(2, sc.defaultParallelism)
+    if not all(sc.parallelize(range(tasks), tasks).mapPartitions(importable).collect()):
+        home, buffer = Path(__file__).resolve().parent, io.BytesIO()
+        with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in sorted(home.rglob("*.py")):
+                z.write(f, f.relative_to(home.parent).as_posix())
+        target = sc._jvm.org.apache.hadoop.fs.Path(f"{scratch(spark)}/textlathe.zip")
+        out = target.getFileSystem(sc._jsc.hadoopConfiguration()).create(target, True)
+        out.write(bytearray(buffer.getvalue()))
+        out.close()
+        sc.addPyFile(target.toString())
+    sc._textlathe_shipped = True
+
+
 def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
     """Give a CPU-heavy stage enough tasks when its input has too few partitions.
 
