@@ -123,7 +123,7 @@ def passages(documents: DataFrame, items) -> DataFrame:
                         ids.append(doc)
                         found.append(r)
                 seen[np.unique(numbers)] += 1  # -1 counts in the last place
-            yield pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "run": found})
+            yield pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "run": pd.Series(found, dtype=object)})
         counts = np.concatenate([[-1, n], seen[:-1]]).astype(np.int32)
         yield pd.DataFrame({"doc_id": pd.array([None], "Int64"), "run": [counts]})
 
