@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textlathe.llm import bpe, fuse, langid, leaks, pairs, pii, split
+from textlathe.llm.batches import parts
 from textlathe.llm.boosting import BoostedTrees
 from textlathe.llm.pii_lines import write_lines
 from textlathe.runtime import table
@@ -12,6 +13,12 @@ from textlathe.runtime import table
 SF = "/root/testdata/sf0.001"
 
 
+def test_parts_cover_all():
+    texts = ["a" * 5, None, "b" * 50, "", "c" * 5, "d" * 5]
+    assert [texts[p] for p in parts(texts, 2, 10)] == [["a" * 5, None], ["b" * 50], ["", "c" * 5], ["d" * 5]]
+    assert list(parts([], 2)) == []
+
+
 # ---- splitting
 
 

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from textlathe.llm.batches import parts
+
 #: The public tokenizers' folder and the file used unless another is given.
 TOKENIZER_DIR = os.environ.get("TEXTLATHE_TOKENIZERS", "/opt/tokenizers")
 BYTE_BPE = f"{TOKENIZER_DIR}/byte_bpe_50k.json"
@@ -203,9 +205,10 @@ def encode_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches):
         encoder = _worker_encoder(path, tok.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, CHUNK):
-                part = batch.slice(at, CHUNK)
-                yield pa.RecordBatch.from_arrays([part.column(0), encoder.encode(part.column(1).to_pylist())], names=[id_col, "ids"])
+            texts = batch.column(1).to_pylist()
+            for rows in parts(texts, CHUNK):
+                ids = batch.column(0).slice(rows.start, rows.stop - rows.start)
+                yield pa.RecordBatch.from_arrays([ids, encoder.encode(texts[rows])], names=[id_col, "ids"])
 
     given = df.select(id_col, df[text_col].cast("string").alias("text"))
     kind = T.StructType([T.StructField(id_col, given.schema[0].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])

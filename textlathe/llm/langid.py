@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textlathe.llm.batches import parts
 from textlathe.runtime import spread
 
 #: Labelled lines the classifier may be fitted on, landmarks, n-gram buckets, ridge.
@@ -163,7 +164,7 @@ def fit_lines(lines: DataFrame, codes: DataFrame, sample: int = SAMPLE) -> Kerne
     weights = np.array([min(MOST_WEIGHT, votes[t][c]) for t, c in zip(texts, labels)], float)
     first = fit_kernel(texts, labels, weights)
     place = np.array([first.langs.index(c) for c in labels])
-    logs = np.concatenate([first.logs(texts[at : at + CHUNK]) for at in range(0, len(texts), CHUNK)])
+    logs = np.concatenate([first.logs(texts[p]) for p in parts(texts, CHUNK)])
     keep = np.flatnonzero((logs[np.arange(len(texts)), place] > np.log(LEAST_LIKELY)) | (weights >= 5))
     return fit_kernel([texts[i] for i in keep], [labels[i] for i in keep], weights[keep]) if len(keep) else first
 
@@ -201,15 +202,15 @@ def segment_lines(lines: DataFrame, model: KernelModel, id_col: str = "row_id",
     def run(frames):
         model: KernelModel = given.value
         for frame in frames:
-            for at in range(0, len(frame), CHUNK):
-                ids = list(zip(frame[id_col].iloc[at : at + CHUNK].tolist(), frame["k"].iloc[at : at + CHUNK].tolist()))
-                parts = [sentences(t) for t in frame["t"].iloc[at : at + CHUNK]]
-                flat = [s for p in parts for s in p]
+            for rows in parts(frame["t"].tolist(), CHUNK):
+                ids = list(zip(frame[id_col].iloc[rows].tolist(), frame["k"].iloc[rows].tolist()))
+                cut = [sentences(t) for t in frame["t"].iloc[rows]]
+                flat = [s for p in cut for s in p]
                 distinct = {s: n for n, s in enumerate(dict.fromkeys(flat))}
                 texts = list(distinct)
-                logs = np.concatenate([model.logs(texts[k : k + CHUNK]) for k in range(0, len(texts), CHUNK)]) if texts else None
+                logs = np.concatenate([model.logs(texts[p]) for p in parts(texts, CHUNK)]) if texts else None
                 out = []
-                for (row, k), p in zip(ids, parts):
+                for (row, k), p in zip(ids, cut):
                     if not p:
                         continue
                     own = logs[[distinct[s] for s in p]]

@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textlathe.llm.batches import parts
 from textlathe.runtime import spread
 
 #: Labelled lines the language model may be fitted on, own texts it is refitted with.
@@ -210,8 +211,8 @@ def end_table(pairs: DataFrame) -> np.ndarray:
     def run(frames):
         table = np.zeros((len(ORDERS), 2, END_BUCKETS), np.int32)
         for frame in frames:
-            for at in range(0, len(frame), 2000):
-                texts = [m for m in map(marked, frame["t"].iloc[at : at + 2000]) if len(m) > 1]
+            for rows in parts(frame["t"].tolist(), 2000, 1_000_000):
+                texts = [m for m in map(marked, frame["t"].iloc[rows]) if len(m) > 1]
                 if not texts:
                     continue
                 ends = np.concatenate([may_end(m) for m in texts])
@@ -284,10 +285,10 @@ def is_copy(question: str, response: str) -> bool:
 
 def is_refusal(question: str, response: str) -> bool:
     """At least one sentence declines, and no other is more than courtesy or the question."""
-    parts = [p for p in (re.sub(r"^\W+", "", bare(s)) for s in SENTENCES.split(response)) if re.search(r"\w", p)]
+    said = [p for p in (re.sub(r"^\W+", "", bare(s)) for s in SENTENCES.split(response)) if re.search(r"\w", p)]
     asked = words_of(question)
     declined = False
-    for p in parts:
+    for p in said:
         if words_of(p) and " ".join(words_of(p)) in " ".join(asked):
             continue
         if DECLINES.search(p):
