@@ -70,3 +70,12 @@ def test_payload_records():
 
 def test_html_lines():
     assert U.html_lines("<h1>A <b>b</b></h1><p>one\n two</p><pre>x\n  y</pre>") == ["A b", "one two", "x\n  y"]
+
+
+def test_key_tree(spark):
+    from textlathe.operators.nested import key_tree
+
+    rows = ['{"a": 1, "b": {"c": "x"}, "l": [{"m": 1.5}, {"m": null}], "e": [], "p": [1, "2"], "t": true}', '{"a": null, "b": 3, "t": false}', "oops", None]
+    df = spark.createDataFrame([(r,) for r in rows], "j string")
+    got = {r.path: r.kind for r in key_tree(df, "j").collect()}
+    assert got == {"a": "mixed", "b": "nested", "b.c": "str", "l": "nested", "l[]": "nested", "l[].m": "mixed", "e": "nested", "e[]": "empty", "p": "nested", "p[]": "primitive", "t": "bool"}

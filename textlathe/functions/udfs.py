@@ -185,51 +185,34 @@ def changed_words(a: str, b: str) -> list[tuple[str, str]]:
     return out
 
 
+#: What kinds of places in a JSON value are called.
+KINDS = {type(None): "null", bool: "bool", int: "int", float: "float", str: "str"}
+
+
 def key_kinds(value, path: str = "") -> list[tuple[str, str]]:
-    """(path, kind) of every place of a parsed JSON value."""
+    """(path, kind) of every place of a parsed JSON value; objects and lists of objects
+    are `nested` themselves, other lists `primitive`, lists without a member `empty`."""
     if isinstance(value, dict):
-        return [x for k, v in value.items() for x in key_kinds(v, f"{path}.{k}" if path else k)] or [(path, "object")]
-    if isinstance(value, list):
-        if not value:
-            return [(path, "empty")]
-        if all(isinstance(v, dict) for v in value):
-            return [x for v in value for x in key_kinds(v, f"{path}[]")]
-        return [(path, "primitive")]
-    return [(path, "null" if value is None else "bool" if isinstance(value, bool) else "number" if isinstance(value, (int, float)) else "string")]
-
-
-def bracketed(text: str, start: int) -> str | None:
-    """The bracketed JSON value that begins at `start`, strings respected."""
-    depth, quoted, at = 0, False, start
-    while at < len(text):
-        c = text[at]
-        if quoted:
-            at += c == "\\"
-            quoted = c != '"'
-        elif c == '"':
-            quoted = True
-        elif c in "[{":
-            depth += 1
-        elif c in "]}":
-            depth -= 1
-            if not depth:
-                return text[start : at + 1]
-        at += 1
-    return None
+        inside = [x for k, v in value.items() for x in key_kinds(v, f"{path}.{k}" if path else k)]
+        return [(path, "nested"), *inside] if path else inside
+    if not isinstance(value, list):
+        return [(path, KINDS[type(value)])]
+    if not value or not all(isinstance(v, dict) for v in value):
+        return [(path, "nested"), (f"{path}[]", "primitive" if value else "empty")]
+    return [(path, "nested"), *(x for v in value for x in key_kinds(v, f"{path}[]"))]
 
 
 def embedded_records(text: str, keys: tuple[str, ...] = ("models", "data", "defaultData")) -> list[str]:
     """JSON records of the arrays that stand under the given keys in any text; arrays that
     don't parse are skipped."""
-    out = []
-    for m in re.finditer(r'"(?:%s)":\s*(?=\[)' % "|".join(map(re.escape, keys)), text):
-        found = bracketed(text, m.end())
-        if found is None:
-            continue
+    read, out, at = json.JSONDecoder().raw_decode, [], 0
+    mark = re.compile(r'"(?:%s)":\s*(?=\[)' % "|".join(map(re.escape, keys)))
+    while m := mark.search(text, at):
         try:
-            out += [json.dumps(x, sort_keys=True, ensure_ascii=False) for x in json.loads(found) if isinstance(x, dict)]
+            found, at = read(text, m.end())
         except ValueError:
-            continue
+            found, at = [], m.end()
+        out += [json.dumps(x, sort_keys=True, ensure_ascii=False) for x in found if isinstance(x, dict)]
     return out
 
 

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import functions as F
 
 from textlathe.functions import numbers as N
 from textlathe.functions import text as X
-from textlathe.functions import udfs as U
 from textlathe.operators import graphs as G
+from textlathe.operators import nested as J
 from textlathe.operators import regression as R
 from textlathe.operators import search as S
 from textlathe.plans.base import Plans
@@ -94,27 +91,10 @@ def json_metrics(spark, sf):
     return e.where(F.schema_of_variant("v").rlike("^(BIGINT|DOUBLE|DECIMAL.*)$")).groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg(F.try_variant_get("v", "$", "double")), 6).alias("k_mean"))
 
 
-def _key_rows(df, c):
-    @F.pandas_udf("array<struct<path:string, kind:string>>")
-    def kinds(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            try:
-                found = U.key_kinds(json.loads(t)) if t is not None else []
-            except ValueError:
-                found = []
-            out.append([{"path": p, "kind": k} for p, k in found])
-        return pd.Series(out)
-
-    return df.select(F.explode(kinds(c)).alias("x")).select("x.*")
-
-
-@query("SELECT path, 'number' AS kind, count(*) AS n FROM (SELECT unnest(json_keys(props)) AS path FROM events) GROUP BY path")
+@query("SELECT path, 'int' AS kind, count(*) AS n FROM (SELECT unnest(json_keys(props)) AS path FROM events) GROUP BY path")
 def json_key_types(spark, sf):
-    """Every path with its kind: one if all agree, nested before plain, else `mixed`."""
-    k = _key_rows(table(spark, sf, "events"), "props").groupBy("path", "kind").agg(F.count("*").alias("n"))
-    told = k.groupBy("path").agg(F.collect_set(F.when(F.col("kind") != "null", F.col("kind"))).alias("s"), F.sum("n").alias("n"))
-    return told.select("path", F.when(F.size("s") == 0, "null").when(F.size("s") == 1, F.col("s")[0]).otherwise("mixed").alias("kind"), "n")
+    """Every path of the records with its kind and how often it occurs."""
+    return J.key_tree(table(spark, sf, "events"), "props")
 
 
 @query("SELECT event_id, CASE WHEN json_extract(props, '$.k') IS NOT NULL THEN '{\"k\":' || CAST(json_extract(props, '$.k') AS VARCHAR) || '}' ELSE '{}' END AS kept FROM events")
