@@ -167,13 +167,13 @@ def hybrid_rrf(spark, sf):
 RECALL = "SELECT '{0}' AS condition, subset, count(*) AS queries, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0 END), 6) AS recall_1, round(avg(CASE WHEN rank <= 3 THEN 1.0 ELSE 0 END), 6) AS recall_3 FROM eval_item e LEFT JOIN {1} r ON r.query_id = e.item_id AND r.page_id = e.expected_page_id GROUP BY subset"
 
 
-@query(f"{HYBRID}, {FUSED} " + " UNION ALL ".join(RECALL.format(c, t) for c, t in (("keyword", "lex"), ("semantic", "sem"), ("hybrid", "hyb"))))
+@query(f"{HYBRID}, {FUSED} " + " UNION ALL ".join(RECALL.format(c, t) for c, t in (("keyword-only", "lex"), ("semantic-only", "sem"), ("hybrid", "hyb"))))
 def recall_at_k(spark, sf):
     labels = table(spark, sf, "eval_item").select(F.col("item_id").alias("query_id"), "subset", "expected_page_id")
     keyword = S.lexical_rank(S.lexical_view(table(spark, sf, "search_record")), queries_of(spark, sf), None)
     semantic = semantic_pages(spark, sf)
     out = None
-    for name, ranks in (("keyword", keyword), ("semantic", semantic), ("hybrid", S.fuse(keyword, semantic))):
+    for name, ranks in (("keyword-only", keyword), ("semantic-only", semantic), ("hybrid", S.fuse(keyword, semantic))):
         r = S.recall(ranks, labels).select(F.lit(name).alias("condition"), "subset", "queries", F.round("recall_1", 6).alias("recall_1"), F.round("recall_3", 6).alias("recall_3"))
         out = r if out is None else out.unionByName(r)
     return out

@@ -5,9 +5,11 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textlathe.functions import text as X
+
 
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
@@ -69,10 +71,46 @@ def metric_file(df: DataFrame, path: str, name: str, value: str) -> None:
     df.orderBy(F.lower(name), name).select(name, F.format_string("%.4f", F.col(value).cast("double")).alias(value)).write.mode("overwrite").option("header", True).csv(path)
 
 
-def recall_report(recall: DataFrame) -> list[str]:
-    """Aligned lines of a recall table: one for each condition and subset, a few rows."""
-    rows = recall.orderBy("condition", "subset").select(F.format_string("%-10s %-14s r@1=%.1f r@3=%.1f", "condition", "subset", "recall_1", "recall_3").alias("line"))
-    return [r.line for r in rows.limit(1000).collect()]
+#: The order of conditions and subsets in reports, and the lines' formats.
+CONDITIONS, SUBSETS = ("keyword-only", "semantic-only", "hybrid"), ("exact-term", "paraphrase", "navigational")
+RECALL_HEAD = "condition     subset       queries  recall@1  recall@3"
+RECALL_LINE = "%-13s %-13s %7d %9s %9s"
+COUNTS_LINE = "%s: total=%d legitimate_empty=%d suspicious_empty=%d"
+RATES = " suspicious_rate=%.3f%% limit=%.3f%% legitimate_rate=%.3f%% legit_limit=%.3f%%"
+
+
+def place(column: str, order: tuple[str, ...]) -> Column:
+    """Where a value stands in a fixed order; others come last."""
+    return F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(x) for x in order]), F.col(column)), F.lit(0)), F.lit(99))
+
+
+def recall_report(recall: DataFrame) -> str:
+    """A recall table (condition, subset, queries, recall_1, recall_3) as aligned lines."""
+    share = lambda c: F.format_string("%.1f%%", F.col(c) * 100)
+    line = F.format_string(RECALL_LINE, "condition", "subset", F.col("queries").cast("bigint"), share("recall_1"), share("recall_3"))
+    rows = recall.orderBy(place("condition", CONDITIONS), "condition", place("subset", SUBSETS), "subset").select(line.alias("line")).limit(1000)
+    return "\n".join([RECALL_HEAD, *(r.line for r in rows.collect())])
+
+
+def gate_lines(records: DataFrame, suspicious_limit: float = 0.01, legitimate_limit: float = 0.10) -> DataFrame:
+    """(part, seq, line) of a gate report, to be read in the order of part and seq: counts
+    of each source, totals with rates and limits, suspicious sections, the verdict.
+
+    The lines stay a table, as a bad corpus may have any number of suspicious sections.
+    """
+    told = records.select("seq", "route", "heading_key", X.emptiness("heading_key", "fragment_text").alias("kind"), X.source_of("route").alias("source"))
+    count = lambda kind: F.count_if(F.col("kind") == kind)
+    n, legitimate, suspicious = F.count("*"), count("legitimate"), count("suspicious")
+    share = lambda c: F.coalesce(F.try_divide(c, n), F.lit(0.0))
+    by = told.groupBy("source").agg(n.alias("n"), legitimate.alias("l"), suspicious.alias("s"))
+    names = records.sparkSession.createDataFrame([("blog",), ("treadmill",)], "source string").join(by, "source", "left").na.fill(0)
+    first = names.select(F.lit(0).alias("part"), place("source", ("blog", "treadmill")).cast("bigint").alias("seq"), F.format_string(COUNTS_LINE, "source", "n", "l", "s").alias("line"))
+    rates = F.format_string(COUNTS_LINE + RATES, F.lit("total"), n, legitimate, suspicious, share(suspicious) * 100, F.lit(suspicious_limit * 100), share(legitimate) * 100, F.lit(legitimate_limit * 100))
+    passed = (n > 0) & (share(suspicious) <= suspicious_limit) & (share(legitimate) <= legitimate_limit)
+    total = told.agg(rates.alias("t"), F.when(passed, "gate: PASS").otherwise("gate: FAIL").alias("v"))
+    ends = total.select(F.explode(F.array(F.struct(F.lit(1).alias("part"), F.lit(0).cast("bigint").alias("seq"), F.col("t").alias("line")), F.struct(F.lit(3).alias("part"), F.lit(0).cast("bigint").alias("seq"), F.col("v").alias("line")))).alias("x")).select("x.*")
+    bad = told.where("kind = 'suspicious'").select(F.lit(2).alias("part"), "seq", F.concat(F.lit("suspicious: "), "route", F.lit(" '"), "heading_key", F.lit("'")).alias("line"))
+    return first.unionByName(ends).unionByName(bad)
 
 
 def save_parameters(spark: SparkSession, path: str, name: str, parameters: dict) -> None:
