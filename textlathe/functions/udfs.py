@@ -149,6 +149,11 @@ def wordpieces(word: str, vocab: dict[str, int], longest: int = 100) -> list[int
     return out
 
 
+def words_and_signs(text: str) -> list[str]:
+    """Lower-case runs without blanks and punctuation, and each punctuation sign."""
+    return re.findall(r"[^\W_]+|[^\w\s]|_", text.lower())
+
+
 def plain_word(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn")
 

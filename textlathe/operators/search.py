@@ -161,12 +161,18 @@ def recall(ranks: DataFrame, labels: DataFrame, cutoffs=(1, 3)) -> DataFrame:
 
 
 def breadcrumbs(titles: DataFrame) -> DataFrame:
-    """(route, crumb): titles of every prefix of a route that has one, from the root on;
-    a part that isn't the last adds " > " even if later parts are missing."""
-    parts = titles.select("route", F.posexplode(F.filter(F.split("route", "/"), lambda x: x != "")).alias("pos", "part"), F.filter(F.split("route", "/"), lambda x: x != "").alias("all"))
-    prefix = parts.select("route", "pos", F.size("all").alias("n"), F.concat(F.lit("/"), F.array_join(F.slice("all", F.lit(1), F.col("pos") + 1), "/")).alias("prefix"))
-    named = prefix.join(titles.select(F.col("route").alias("prefix"), F.col("title")), "prefix", "left").where("title is not null")
-    step = F.struct("pos", F.when(F.col("pos") < F.col("n") - 1, F.concat("title", F.lit(" > "))).otherwise(F.col("title")).alias("t"))
+    """(route, crumb): titles of every prefix of a route that has one, from the root on.
+
+    A part that isn't the last adds " > " even if later parts have no title; a title
+    `_index` shows the part with blanks for hyphens; parts that begin with a number sign
+    don't count. Routes come without slashes at their end.
+    """
+    used = F.filter(F.split("route", "/"), lambda x: (x != "") & ~x.startswith("#"))
+    parts = titles.select("route").distinct().select("route", used.alias("all")).select("route", "all", F.posexplode("all").alias("pos", "part"))
+    prefix = parts.select("route", "pos", "part", F.size("all").alias("n"), F.concat(F.lit("/"), F.array_join(F.slice("all", F.lit(1), F.col("pos") + 1), "/")).alias("prefix"))
+    named = prefix.join(titles.select(F.col("route").alias("prefix"), "title"), "prefix").where("title is not null")
+    shown = F.when(F.col("title") == "_index", F.replace("part", F.lit("-"), F.lit(" "))).otherwise(F.col("title"))
+    step = F.struct("pos", F.when(F.col("pos") < F.col("n") - 1, F.concat(shown, F.lit(" > "))).otherwise(shown).alias("t"))
     return named.groupBy("route").agg(F.array_sort(F.collect_list(step)).alias("s")).select("route", F.array_join(F.transform("s", lambda x: x["t"]), "").alias("crumb"))
 
 

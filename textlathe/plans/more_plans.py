@@ -172,3 +172,27 @@ def query_vectors(spark, sf):
     v = S.pooled_vectors(t, table(spark, sf, "embeddings").select(F.col("vec_id").alias("token_id"), F.col("embedding").alias("vector")), "item_id")
     weights = F.transform(F.sequence(F.lit(1), F.size("vector")), lambda k: k.cast("double"))
     return v.select("item_id", F.round(N.dot("vector", weights), 6).alias("moment"))
+
+
+@query()
+def index_search(spark, sf):
+    """The whole way: gate, chunk, tokenize, embed, quantize, publish, read back, rank.
+
+    The vocabulary is the corpus's frequent words, its vectors are drawn by a seed.
+    """
+    import uuid
+
+    import numpy as np
+
+    from textlathe.operators import index as I
+
+    records = table(spark, sf, "search_record").withColumn("fragment_text", F.coalesce("fragment_text", F.lit("")))
+    titles = records.groupBy("route").agg(F.min("title").alias("title"))
+    words = records.select(F.explode(X.basic_units("fragment_text")).alias("w")).where("length(w) > 1").groupBy("w").count().orderBy(F.desc("count"), "w").limit(4000)
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789"
+    vocab = {w: n for n, w in enumerate([*letters, *[f"##{c}" for c in letters], *[r.w for r in words.collect()]])}
+    vectors = np.random.default_rng(7).standard_normal((len(vocab), 64))
+    path = f"{scratch(spark)}/index-{uuid.uuid4().hex}"
+    I.build_index(spark, records, titles, vocab, vectors, path, suspicious_limit=1.0, legitimate_limit=1.0)
+    ranks = I.semantic_rank(spark, path, Q.queries_of(spark, sf))
+    return ranks.where("rank <= 10").select("query_id", "page_id", F.round("score", 6).alias("score"), "rank")
