@@ -12,7 +12,7 @@ from textlathe.functions import numbers as N
 from textlathe.functions import text as X
 from textlathe.functions import udfs as U
 from textlathe.operators import search as S
-from textlathe.runtime import cut_lineage
+from textlathe.runtime import cut_lineage, spread
 from textlathe.sources import sinks as K
 
 #: Megabytes of token vectors that may be sent to every task.
@@ -34,12 +34,19 @@ def chunks(records: DataFrame, titles: DataFrame, vocab: dict[str, int], target:
     """Sections as chunks within `target` tokens of the vocabulary, with their place:
     (seq, piece_no, chunk_id, page_id, url, title, heading, crumb, text)."""
 
+    known: dict[str, int] = {}  # sizes of words met before, in each worker
+
     def count(text: str) -> int:
-        return sum(len(U.wordpieces(U.plain_word(w), vocab)) for w in U.words_and_signs(text))
+        total = 0
+        for w in U.words_and_signs(text):
+            if w not in known:
+                known[w] = len(U.wordpieces(U.plain_word(w), vocab))
+            total += known[w]
+        return total
 
     heading = X.heading_of("heading_key", "title")
     context = F.when(heading == F.col("title"), F.col("title")).otherwise(F.concat_ws("\n", "title", heading))
-    placed = records.select("seq", "route", "heading_key", "title", heading.alias("heading"), X.canonical_route("route").alias("page_id"), X.section_url("route", "heading_key").alias("url"), context.alias("context"), F.posexplode(U.pack_udf(target, count)("fragment_text", context)).alias("piece_no", "body"))
+    placed = spread(records).select("seq", "route", "heading_key", "title", heading.alias("heading"), X.canonical_route("route").alias("page_id"), X.section_url("route", "heading_key").alias("url"), context.alias("context"), F.posexplode(U.pack_udf(target, count)("fragment_text", context)).alias("piece_no", "body"))
     crumbs = S.breadcrumbs(titles.select(X.canonical_route("route").alias("route"), "title"))
     named = placed.join(crumbs.withColumnRenamed("route", "page_id"), "page_id", "left")
     return named.select("seq", "piece_no", F.concat_ws("|", "route", "heading_key", F.col("piece_no").cast("string")).alias("chunk_id"), "page_id", "url", "title", "heading", F.coalesce("crumb", F.lit("")).alias("crumb"), F.concat_ws("\n\n", "context", "body").alias("text"))
