@@ -93,10 +93,10 @@ class KernelModel:
         return z - np.log(np.exp(z).sum(1, keepdims=True))
 
 
-def rows_times(buckets: np.ndarray, begin: np.ndarray, block: np.ndarray) -> np.ndarray:
-    """Normalised presence rows times a dense (buckets x k) block."""
+def rows_times(buckets: np.ndarray, begin: np.ndarray, block: np.ndarray, row_of: np.ndarray) -> np.ndarray:
+    """Normalised presence rows times a dense block; `row_of` gives a bucket's row in it."""
     size = np.diff(np.append(begin, len(buckets)))
-    return np.add.reduceat(block[buckets], begin, axis=0) / np.sqrt(size)[:, None]
+    return np.add.reduceat(block[row_of[buckets]], begin, axis=0) / np.sqrt(size).astype(np.float32)[:, None]
 
 
 def fit_kernel(texts: list[str], labels: list[str], weights: np.ndarray | None = None, landmarks: int = LANDMARKS) -> KernelModel:
@@ -111,21 +111,25 @@ def fit_kernel(texts: list[str], labels: list[str], weights: np.ndarray | None =
         own = rng.permutation(np.flatnonzero(y == k))
         often = own[np.argsort(-weights[own], kind="stable")][: share // 2]
         picked += [*often, *own[~np.isin(own, often)][: share - len(often)]]
-    dense = np.zeros((BUCKETS, len(picked)), np.float32)
-    for n, i in enumerate(picked):
-        b, _ = presences([texts[i]])
-        dense[b, n] = 1 / np.sqrt(len(b))
+    # rows only for buckets that a landmark has, and one of zeros for all others
+    buckets, begin = presences([texts[i] for i in picked])
+    owner = np.repeat(np.arange(len(picked)), np.diff(np.append(begin, len(buckets))))
+    used, place = np.unique(buckets, return_inverse=True)
+    dense = np.zeros((len(used) + 1, len(picked)), np.float32)
+    dense[place, owner] = 1 / np.sqrt(np.bincount(owner))[owner]
+    row_of = np.full(BUCKETS, len(used))
+    row_of[used] = np.arange(len(used))
     kernel = dense.T @ dense
     value, vector = np.linalg.eigh(kernel.astype(np.float64))
     good = value > 1e-6 * value.max()
-    root = vector[:, good] / np.sqrt(value[good])
-    features = np.concatenate([rows_times(*presences(texts[at : at + 500]), dense) for at in range(0, len(texts), 500)]) @ root
+    root = (vector[:, good] / np.sqrt(value[good])).astype(np.float32)
+    features = np.concatenate([rows_times(*presences(texts[at : at + 100]), dense, row_of) @ root for at in range(0, len(texts), 100)])
     held = np.arange(len(texts)) % 5 == 0
     target = np.eye(len(langs))[y]
 
     def solve(rows: np.ndarray) -> np.ndarray:
-        z, w = features[rows], weights[rows][:, None]
-        return np.linalg.solve(z.T @ (w * z) + RIDGE * max(1.0, w.sum()) / 100 * np.eye(z.shape[1]), z.T @ (w * target[rows]))
+        z, w = features[rows], weights[rows][:, None].astype(np.float32)
+        return np.linalg.solve((z.T @ (w * z)).astype(np.float64) + RIDGE * max(1.0, w.sum()) / 100 * np.eye(z.shape[1]), z.T @ (w * target[rows]))
 
     heat = 0.1
     if held.sum() > 50:
@@ -136,7 +140,9 @@ def fit_kernel(texts: list[str], labels: list[str], weights: np.ndarray | None =
             loss = -(z[np.arange(len(z)), y[held]] - np.log(np.exp(z).sum(1))).mean()
             if best is None or loss < best:
                 best, heat = loss, t
-    return KernelModel(langs, (dense @ (root @ solve(np.ones(len(texts), bool))).astype(np.float32)), heat)
+    matrix = np.zeros((BUCKETS, len(langs)), np.float32)
+    matrix[used] = dense[:-1] @ (root @ solve(np.ones(len(texts), bool))).astype(np.float32)
+    return KernelModel(langs, matrix, heat)
 
 
 def one_language(codes: DataFrame) -> DataFrame:
