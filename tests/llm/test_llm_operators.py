@@ -157,6 +157,31 @@ def test_no_pairs(spark):
     assert pairs.flag_pairs(df, table(spark, SF, "benchmark_df"), table(spark, SF, "lang_code")).count() == 0
 
 
+def test_contexts_have_keys_of_their_own():
+    """As many keys as contexts, also for far more contexts than any fixed table has room for."""
+    r = random.Random(5)
+    text = "".join(chr(r.randint(0x4E00, 0x9FFF)) for _ in range(600_000))
+    assert len(np.unique(np.concatenate(pairs.contexts(text)))) == len({text[max(0, n - k) : n] for k in pairs.ORDERS for n in range(1, len(text) + 1)}) + sum(min(a, b) for a, b in zip(pairs.ORDERS[1:], pairs.ORDERS))
+
+
+def test_ends_of_a_crowded_table(spark, pair_parts):
+    """Contexts that others have, however many, say nothing about one that nobody has."""
+    r = random.Random(6)
+    noise = [(n, Q, "Yes.", "".join(chr(r.randint(0x4E00, 0x9FFF)) for _ in range(700))) for n in range(3000)]
+    own = [(10_000 + n, Q, f"It is kept in the {w}" , None) for n, w in enumerate(["zyxab", "qwvut", "jkhgf", "xzqpo", "vbnmq", "wrtyp"])]
+    df = spark.createDataFrame(noise + own, "response_id bigint, user_input string, response string, reference string")
+    model = pairs.fit_bayes([Q], ["en"])
+    assert pairs.flag_pairs(df, None, None, model).count() == 0
+
+
+def test_joined_ends_equal_single_ones(spark, pair_parts):
+    model, ends = pair_parts
+    rows = table(spark, "/root/testdata/sf0.01", "rag_response_df")
+    want = {(r.response_id, d) for r in rows.collect() if (d := pairs.defect_of(r.user_input, r.response, model, ends))}
+    got = {tuple(r) for r in pairs.flag_pairs(rows, None, None, model).collect()}
+    assert got == want and "truncated" in {d for _, d in got}
+
+
 # ---- encoding
 
 

@@ -3,7 +3,7 @@
 Languages come from a naive Bayes over character n-grams, fitted on a bounded sample of
 labelled lines and refitted with the pairs' own texts. Whether a text may end where it
 does comes from the likelihood of an end after its last characters, counted over every
-response and reference of the table into hashed tables of fixed size.
+response and reference of the table by a 64-bit key of each context.
 """
 
 from __future__ import annotations
@@ -18,11 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textlathe.llm.batches import parts
-from textlathe.runtime import spread
+from textlathe.runtime import cut_lineage, spread
 
 #: Labelled lines the language model may be fitted on, own texts it is refitted with.
 SAMPLE, OWN = 8000, 4000
-GRAM_BUCKETS, END_BUCKETS, ORDERS = 1 << 15, 1 << 19, (28, 16, 8, 4)
+GRAM_BUCKETS, ORDERS = 1 << 15, (28, 16, 8, 4)
+#: 64-bit words of the filter that lets go of contexts nobody asks for before a shuffle.
+FILTER_WORDS = 1 << 21
+#: What a defect is called as long as only the likelihood of its end can tell.
+OPEN = "open"
 END_LIKELY, LANGUAGE_MARGIN, MIN_LETTERS = 0.25, 4.0, 12
 
 #: Stand-ins for a missing answer, after markup and case are taken away.
@@ -151,10 +155,10 @@ def marked(text: str) -> str:
 
 
 def contexts(text: str, begins: list[int] | None = None) -> list[np.ndarray]:
-    """For each order, the bucket of the characters before each position from 1 on; a
+    """For each order, a 64-bit key of the characters before each position from 1 on; a
     context never reaches over a line's or sentence's start. Several marked texts may
     come as one, with the places where each begins."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
     n = len(codes)
     starts = np.zeros(n + 1, np.int64)
     for m in re.finditer(r"\n|(?<=[.!?])\s(?=[^\W\d_]|[¿¡])", text):
@@ -177,10 +181,16 @@ def contexts(text: str, begins: list[int] | None = None) -> list[np.ndarray]:
             begin = np.maximum(np.maximum(ends - k, starts[1:]), 0)
             h = (total[ends] - total[begin]) * back[begin] + np.uint64(k) * np.uint64(0xC2B2AE3D27D4EB4F)
             h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
-            out.append(((h ^ (h >> np.uint64(32))) % np.uint64(END_BUCKETS)).astype(np.int64))
+            out.append((h ^ (h >> np.uint64(32))).view(np.int64))
     return out
 
 
+def end_keys(text: str) -> list[int]:
+    """Keys of a text's last context for each order; none for a text without signs."""
+    m = marked(text)
+    return [int(c[-1]) for c in contexts(m)] if len(m) > 1 else []
+
+
 def may_end(text: str) -> np.ndarray:
     """Whether the text may be over at each position from 1 on: before a stop, a line's
     end outside tables and code, or its own end."""
@@ -201,15 +211,24 @@ def may_end(text: str) -> np.ndarray:
     return out
 
 
-def end_table(pairs: DataFrame) -> np.ndarray:
-    """Counts (order, bucket, [goes on, may end]) over all responses and references.
+def end_counts(pairs: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """(h, cont, fin): how often a context goes on and may end, over all responses and
+    references.
 
-    Each partition adds up its own table; at most one row a used bucket leaves it.
+    With `asked`, a column `h` of keys, contexts outside a bit table of those keys are let
+    go before the shuffle. The table drops no key that is asked for; the few others that
+    pass it are left to a join.
     """
     texts = pairs.select(F.explode(F.array("response", "reference")).alias("t")).where("t is not null")
+    given = None
+    if asked is not None:
+        bits = asked.groupBy(F.shiftright("h", 6).bitwiseAND(FILTER_WORDS - 1).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 as int)))").alias("b")).toPandas()
+        words = np.zeros(FILTER_WORDS, np.int64)
+        words[bits["w"].to_numpy(np.int64)] = bits["b"].to_numpy(np.int64)
+        given = pairs.sparkSession.sparkContext.broadcast(words)
 
     def run(frames):
-        table = np.zeros((len(ORDERS), 2, END_BUCKETS), np.int32)
+        words = given.value if given else None
         for frame in frames:
             for rows in parts(frame["t"].tolist(), 2000, 1_000_000):
                 texts = [m for m in map(marked, frame["t"].iloc[rows]) if len(m) > 1]
@@ -217,34 +236,42 @@ def end_table(pairs: DataFrame) -> np.ndarray:
                     continue
                 ends = np.concatenate([may_end(m) for m in texts])
                 begins = np.concatenate([[0], np.cumsum([len(m) for m in texts])[:-1]]).tolist()
-                for k, c in enumerate(contexts("".join(texts), begins)):
-                    table[k, 1] += np.bincount(c[ends], minlength=END_BUCKETS).astype(np.int32)
-                    table[k, 0] += np.bincount(c[~ends], minlength=END_BUCKETS).astype(np.int32)
-        for k in range(len(ORDERS)):
-            used = np.flatnonzero(table[k].any(0))
-            yield pd.DataFrame({"k": np.int32(k), "b": used.astype(np.int32), "cont": table[k, 0][used].astype(np.int64), "fin": table[k, 1][used].astype(np.int64)})
-
-    rows = spread(texts, 1).mapInPandas(run, "k int, b int, cont bigint, fin bigint").groupBy("k", "b").agg(F.sum("cont").alias("cont"), F.sum("fin").alias("fin")).toPandas()
-    out = np.zeros((len(ORDERS), END_BUCKETS, 2), np.float32)
-    out[rows["k"], rows["b"], 0] = rows["cont"]
-    out[rows["k"], rows["b"], 1] = rows["fin"]
-    return out
+                for c in contexts("".join(texts), begins):
+                    kept = slice(None) if words is None else (words[(c >> 6) & (FILTER_WORDS - 1)] >> (c & 63) & 1).astype(bool)
+                    keys, place = np.unique(c[kept], return_inverse=True)
+                    n, fin = np.bincount(place, minlength=len(keys)), np.bincount(place[ends[kept]], minlength=len(keys))
+                    yield pd.DataFrame({"h": keys, "cont": n - fin, "fin": fin})
+
+    return spread(texts, 1).mapInPandas(run, "h bigint, cont bigint, fin bigint").groupBy("h").agg(F.sum("cont").alias("cont"), F.sum("fin").alias("fin"))
+
 
+def end_table(pairs: DataFrame) -> dict[int, tuple[int, int]]:
+    """All counts of a small table at hand, to judge single texts; `flag_pairs` joins."""
+    return {r.h: (r.cont, r.fin) for r in end_counts(pairs).collect()}
 
-def end_likelihood(text: str, table: np.ndarray) -> float:
+
+def end_likelihood(text: str, table: dict[int, tuple[int, int]]) -> float:
     """Likelihood that a text ends here, by the longest context others have too."""
-    m = marked(text)
-    if len(m) < 2:
+    keys = end_keys(text)
+    if not keys:
         return 1.0
-    last = [c[-1] for c in contexts(m)]
-    for k, b in enumerate(last):
-        cont, fin = table[k, b]
-        fin = max(0.0, fin - 1)  # without the text itself
+    for h in keys:
+        cont, fin = table.get(h, (0, 0))
+        fin = max(0, fin - 1)  # without the text itself
         if cont + fin >= 2:
-            return float((fin + 0.1) / (cont + fin + 0.2))
+            return (fin + 0.1) / (cont + fin + 0.2)
     return 0.5
 
 
+def unlikely_ends(pairs: DataFrame, keys: DataFrame) -> DataFrame:
+    """(h0): the longest contexts of `keys` (a column of `end_keys`) after which no end is
+    likely, by the same rule as `end_likelihood`."""
+    asked = keys.select(F.col("keys")[0].alias("h0"), F.posexplode("keys").alias("k", "h")).distinct()
+    fin = F.greatest(F.col("fin") - 1, F.lit(0))
+    told = asked.join(end_counts(pairs, asked), "h").withColumn("n", F.col("cont") + fin).where("n >= 2")
+    return told.groupBy("h0").agg(F.min_by((fin + 0.1) / (F.col("n") + 0.2), "k").alias("like")).where(F.col("like") < END_LIKELY).select("h0")
+
+
 # ---- defects
 
 
@@ -321,7 +348,8 @@ def other_language(question: str, response: str, model: NaiveBayes, spoken=None)
     return model.langs[best] if s[best] - held > LANGUAGE_MARGIN else None
 
 
-def is_truncated(response: str, table: np.ndarray) -> bool:
+def is_cut(response: str) -> bool | None:
+    """Whether a response is cut off by its signs; None where they can't tell."""
     text = INVISIBLE.sub("", response).rstrip()
     if text.count("```") % 2 or OPEN_ITEM.search(text) or OPEN_END.search(text):
         return True
@@ -332,10 +360,11 @@ def is_truncated(response: str, table: np.ndarray) -> bool:
         above = rows[-2].count("|") if len(rows) > 1 and rows[-2].startswith("|") else 0
         if rows[-1].count("|") < above or not rows[-1].endswith("|"):
             return True
-    return end_likelihood(text, table) < END_LIKELY
+    return None
 
 
-def defect_of(question: str | None, response: str | None, model: NaiveBayes, table: np.ndarray, spoken=None) -> str | None:
+def first_defect(question: str | None, response: str | None, model: NaiveBayes, spoken=None) -> str | None:
+    """The defect, `OPEN` where only the likelihood of the response's end can tell."""
     question = question or ""
     if is_empty(response):
         return "empty"
@@ -345,7 +374,14 @@ def defect_of(question: str | None, response: str | None, model: NaiveBayes, tab
         return "refusal"
     if other_language(question, response, model, spoken):
         return "other_language"
-    return "truncated" if is_truncated(response, table) else None
+    return {True: "truncated", False: None, None: OPEN}[is_cut(response)]
+
+
+def defect_of(question: str | None, response: str | None, model: NaiveBayes, table: dict[int, tuple[int, int]], spoken=None) -> str | None:
+    found = first_defect(question, response, model, spoken)
+    if found != OPEN:
+        return found
+    return "truncated" if end_likelihood(response, table) < END_LIKELY else None
 
 
 def flag_pairs(pairs: DataFrame, lines: DataFrame, codes: DataFrame, model: NaiveBayes | None = None) -> DataFrame:
@@ -358,15 +394,20 @@ def flag_pairs(pairs: DataFrame, lines: DataFrame, codes: DataFrame, model: Naiv
     copied_question, refusal, other_language, truncated counts.
     """
     model = model or fit_languages(lines, codes, pairs)
-    given = pairs.sparkSession.sparkContext.broadcast((model, end_table(pairs)))
+    given = pairs.sparkSession.sparkContext.broadcast(model)
     picked = pairs.select("response_id", "user_input", "response")
 
     def run(frames):
-        model, table = given.value
+        model = given.value
         spoken = functools.lru_cache(10_000)(model.best)
         for frame in frames:
-            found = [defect_of(q if isinstance(q, str) else None, r if isinstance(r, str) else None, model, table, spoken) for q, r in zip(frame["user_input"], frame["response"])]
-            out = pd.DataFrame({"response_id": frame["response_id"], "defect": found})
+            found = [first_defect(q if isinstance(q, str) else None, r if isinstance(r, str) else None, model, spoken) for q, r in zip(frame["user_input"], frame["response"])]
+            keys = [end_keys(r) if d == OPEN else None for d, r in zip(found, frame["response"])]
+            out = pd.DataFrame({"response_id": frame["response_id"], "defect": found, "keys": pd.Series(keys, frame.index, object)})
             yield out[out["defect"].notna()]
 
-    return spread(picked).mapInPandas(run, "response_id bigint, defect string")
+    # the narrow rows are read for the contexts asked for and for the result
+    judged = cut_lineage(spread(picked).mapInPandas(run, "response_id bigint, defect string, keys array<bigint>"))
+    asked = judged.where((F.col("defect") == OPEN) & (F.size("keys") > 0)).select("response_id", "keys", F.col("keys")[0].alias("h0"))
+    cut = asked.join(unlikely_ends(pairs, asked), "h0", "left_semi")
+    return judged.where(F.col("defect") != OPEN).select("response_id", "defect").unionByName(cut.select("response_id", F.lit("truncated").alias("defect")))
