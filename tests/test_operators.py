@@ -59,6 +59,14 @@ def test_tree_posterior_follows_strongest_link(spark):
     assert out.x == 1.0 and out.x_fill == "tree" and out.x_confidence > 0.9
 
 
+def test_fill_counts_all_votes_of_a_large_group(spark):
+    """A bin of 60 records of a group doesn't weigh as much as one of 5,000, whatever the tree expects."""
+    rows = [(n, "hot", 1.0, "a") for n in range(5000)] + [(5000 + n, "hot", 100.0, "b") for n in range(60)]
+    rows += [(6000 + n, f"g{n}", 100.0, "b") for n in range(6000)] + [(99_999, "hot", None, "b")]
+    out = I.fill_missing(spark.createDataFrame(rows, "id bigint, g string, x double, c string"), "id", "g", ["x"], ["c"]).where("id = 99999").first()
+    assert out.x == 1.0 and out.x_fill == "group" and out.x_confidence > 0.99
+
+
 def test_statistics(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 3.0), ("a", None), ("b", 5.0)], "g string, v double")
     d = {r.g: r for r in A.describe(df, ["g"], ["v"]).collect()}

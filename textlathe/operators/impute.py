@@ -215,8 +215,7 @@ def filled_batch(frame: pd.DataFrame, model: TreeModel, row_id: str, group: str)
         total = v.sum(1, keepdims=True)
         told = missing[k] & (total[:, 0] > 0)
         # a group member's bin is right but for an error spread over the other bins
-        like = np.exp(np.minimum(v, 50) * np.log(20.0))
-        evidence[k][told] = (like / like.max(1, keepdims=True))[told]
+        evidence[k][told] = np.exp((v - v.max(1, keepdims=True)) * np.log(20.0))[told]
     post = posteriors(model, evidence)
     out = {row_id: frame[row_id], group: frame[group]}
     for k, c in enumerate(names):
