@@ -32,6 +32,16 @@ def test_index_from_gate_to_ranks(spark, tmp_path):
     assert S.hybrid(keyword, ranks).where("query_id = 2").first().page_id == "/z"
 
 
+@pytest.mark.parametrize("most", [0, 1000])
+def test_query_ids_hide_no_chunk(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(S, "MAX_QUERIES", most)
+    path = str(tmp_path / "index")
+    I.build_index(spark, *corpus(spark, [(1, "/x", "", "X", "alpha")]), VOCAB, VECTORS, path)
+    ids = [1, 4096, I.SECTION]
+    ranks = I.semantic_rank(spark, path, spark.createDataFrame([(n, "alpha") for n in ids], "query_id bigint, query string"))
+    assert sorted((r.query_id, r.page_id) for r in ranks.collect()) == [(n, "/x") for n in ids]
+
+
 def test_rejected_corpus_keeps_the_published_set(spark, tmp_path):
     path = str(tmp_path / "index")
     good = corpus(spark, [(0, "/x", "", "X", "alpha")])

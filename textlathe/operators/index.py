@@ -15,6 +15,9 @@ from textlathe.operators import search as S
 from textlathe.runtime import cut_lineage, spread
 from textlathe.sources import sinks as K
 
+#: Places from one section to the next; a section has fewer pieces.
+SECTION = 1 << 31
+
 #: Megabytes of token vectors that may be sent to every task.
 MOST_TABLE_MB = 512
 
@@ -94,7 +97,7 @@ def build_index(spark: SparkSession, records: DataFrame, titles: DataFrame, voca
     rows = rows.withColumn("scale", N.row_scale("vector"))
     tables = {
         "chunks": kept.select("seq", "piece_no", "chunk_id", "page_id", "url", "title", "heading", "crumb"),
-        "documents": kept.select("chunk_id", (F.col("seq") * 4096 + F.col("piece_no")).alias("place"), "page_id", N.quantized("vector", F.lit(scale)).cast("array<tinyint>").alias("q")),
+        "documents": kept.select("chunk_id", (F.col("seq") * SECTION + F.col("piece_no")).alias("place"), "page_id", N.quantized("vector", F.lit(scale)).cast("array<tinyint>").alias("q")),
         "tokens": rows.select("token_id", N.quantized("vector", "scale").cast("array<tinyint>").alias("q"), "scale"),
         "vocabulary": spark.createDataFrame(sorted(vocab.items()), "piece string, token_id int"),
     }
@@ -117,6 +120,6 @@ def semantic_rank(spark: SparkSession, path: str, queries: DataFrame) -> DataFra
     table = np.stack(rows["q"].to_numpy()).astype(float) * rows["scale"].to_numpy()[:, None]
     asked = embedded(queries.select("query_id", U.wordpiece_udf(vocab)(X.basic_units("query")).alias("ids")), "ids", table, "query_vector")
     docs = tables["documents"].select(F.col("place").alias("seq"), "page_id", F.transform("q", lambda x: x.cast("double")).alias("vector"))
-    best = S.vector_pages(docs, asked.where("query_vector is not null").select("query_id", "query_vector"))
+    best = S.vector_pages(docs, asked.where("query_vector is not null").select("query_id", "query_vector"), itself=False)  # places and query ids have nothing in common
     scored = best.withColumn("score", F.col("score") * meta["scale"]).where("score > 0")
     return S.ranked(scored, [F.desc("score"), F.asc("seq")]).select("query_id", "page_id", "score", "rank")

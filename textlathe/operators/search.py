@@ -57,18 +57,20 @@ def lexical_rank(view: DataFrame, queries: DataFrame, top: int | None = 10) -> D
 MAX_QUERIES, BLOCK = 20_000, 4096
 
 
-def vector_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """All inner products of a stated set of query vectors against all rows, as rows."""
-    return queries.crossJoin(vectors).where("query_id != seq").select("query_id", "seq", "page_id", N.dot("query_vector", "vector").alias("score"))
+def vector_scores(vectors: DataFrame, queries: DataFrame, itself: bool = True) -> DataFrame:
+    """All inner products of a stated set of query vectors against all rows, as rows; with
+    `itself`, where queries are rows of the same table, none of a row with itself."""
+    return queries.crossJoin(vectors).where("query_id != seq" if itself else "true").select("query_id", "seq", "page_id", N.dot("query_vector", "vector").alias("score"))
 
 
-def scored_blocks(vectors: DataFrame, queries: DataFrame, keep) -> DataFrame | None:
+def scored_blocks(vectors: DataFrame, queries: DataFrame, keep, itself: bool = True) -> DataFrame | None:
     """Rows (query_id, seq, page_id, score) that `keep` picks of each block's scores.
 
     The queries, if no more than `MAX_QUERIES`, go to every task as one matrix; blocks
     of rows meet it in a matrix product, and only the picked pairs become rows. `keep`
     gets scores (queries x rows), row ids and pages, and returns query and row places.
-    With more queries the result is None: the caller takes the joined path.
+    With more queries the result is None: the caller takes the joined path. `itself` as
+    for `vector_scores`.
     """
     if queries.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
         return None
@@ -86,7 +88,8 @@ def scored_blocks(vectors: DataFrame, queries: DataFrame, keep) -> DataFrame | N
                 seq, page = part["seq"].to_numpy(), part["page_id"].to_numpy()
                 # rounded, as a product's last digits depend on a row's place: equal vectors score alike
                 scores = np.round(matrix @ np.stack(part["vector"].to_numpy()).astype(np.float64).T, 12)
-                scores[ids[:, None] == seq[None, :]] = -np.inf
+                if itself:
+                    scores[ids[:, None] == seq[None, :]] = -np.inf
                 q, r = keep(scores, seq, page)
                 good = np.isfinite(scores[q, r])
                 yield pd.DataFrame({"query_id": ids[q][good], "seq": seq[r][good], "page_id": page[r][good], "score": scores[q, r][good]})
@@ -108,9 +111,9 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, top: int) -> DataFrame:
     return ranked(vector_scores(vectors, queries) if found is None else found, [F.desc("score"), F.asc("seq")], top=top)
 
 
-def vector_pages(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+def vector_pages(vectors: DataFrame, queries: DataFrame, itself: bool = True) -> DataFrame:
     """(query_id, page_id, score, seq): the best row of each page for each query; each
-    block gives one row a query and page."""
+    block gives one row a query and page. `itself` as for `vector_scores`."""
 
     def best(scores, seq, page):
         names, group = np.unique(page.astype(str), return_inverse=True)
@@ -120,8 +123,8 @@ def vector_pages(vectors: DataFrame, queries: DataFrame) -> DataFrame:
         q, k = np.nonzero(first)
         return q, order[q, k]
 
-    found = scored_blocks(vectors, queries, best)
-    return rollup(vector_scores(vectors, queries) if found is None else found)
+    found = scored_blocks(vectors, queries, best, itself)
+    return rollup(vector_scores(vectors, queries, itself) if found is None else found)
 
 
 def vector_pairs(vectors: DataFrame, queries: DataFrame, least: float) -> DataFrame:
