@@ -207,6 +207,20 @@ def test_encoding_equals_library(spark, reference):
     assert bpe.encode_corpus(df.limit(0)).count() == 0
 
 
+def test_words_without_blanks(reference):
+    """Long words come in parts whose seams are settled, in the memory of one worker."""
+    r = random.Random(8)
+    encoder = bpe.Encoder(bpe.read_tokenizer())
+    signs = [chr(0x4E00 + int(abs(r.gauss(0, 1500)))) for _ in range(400)]
+    texts = ["".join(r.choices(a, k=r.randint(60, 700))) for a in ("ab", "aab-", "ÃÂ", "etaoinshr", "的一是了我不人在他有这个上们来到时大", "AaBb", "--__") for _ in range(20)]
+    texts += [c * k for c in ("a", "-", "ab", "的", "ÃÂ", "\n") for k in (63, 64, 65, 127, 1001)]
+    assert encoder.encode(texts).to_pylist() == [reference(t) for t in texts]
+    texts = ["，".join("".join(r.choices(signs, k=r.randint(20, 60))) for _ in range(40)) for _ in range(500)]
+    assert encoder.encode(texts).to_pylist() == [reference(t) for t in texts]
+    word = "".join(r.choices("etaoinshrdlucmfw", k=1_000_000))
+    assert encoder.encode([word]).to_pylist() == [reference(word)]
+
+
 # ---- leaks
 
 

@@ -3,10 +3,15 @@
 Words are cut by the tokenizer's published pattern. Each worker keeps the words that it
 has met; new ones of a chunk become token-position rows, a recursive query joins every
 neighbouring pair with the merge table, contracts each word's leftmost pair of least
-rank and ends when no word has a pair left. Words over `LONG_BYTES` take the same steps
-from table to table, so that they need no more than their own length of memory.
+rank and ends when no word has a pair left.
 
-Nulls and empty texts give an empty list; texts of any length are encoded whole.
+The query keeps all its steps, so its rows grow with the square of a word's length.
+Words are therefore encoded in parts of `PART` bytes, batches are bounded by the rows
+that they can give, and parts are joined in pairs: tokens at a seam are encoded anew by
+the same query, further to the left where needed, until each two neighbours are what
+their joined bytes encode to, which only a word's true encoding fulfils.
+
+Nulls and empty texts give an empty list; texts and words of any length are encoded whole.
 """
 
 from __future__ import annotations
@@ -29,7 +34,8 @@ BYTE_BPE = f"{TOKENIZER_DIR}/byte_bpe_50k.json"
 #: Fixed value: the published word pattern of this family of byte-level tokenizers.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-LONG_BYTES = 192
+#: Bytes encoded at once, and rows that all steps of a query may give together.
+PART, STATE_ROWS = 64, 2_000_000
 #: Words a worker remembers before it starts afresh, and documents of one chunk.
 REMEMBERED, CHUNK = 400_000, 500
 
@@ -63,28 +69,6 @@ RECURSIVE = f"""
     FROM state JOIN last USING (w, step) GROUP BY w
 """
 
-#: One step of a long word: its pair of least rank, wherever it stands; of overlapping
-#: occurrences the first, third and so on, as leftmost contraction takes them.
-LONG_STEP = """
-    CREATE OR REPLACE TEMP TABLE after AS
-    WITH p AS (
-        SELECT row_number() OVER (ORDER BY pos) AS pos, tok, lead(tok) OVER (ORDER BY pos) AS follower FROM long
-    ), best AS (
-        SELECT l, r, merged FROM p JOIN merges ON tok = l AND follower = r ORDER BY rank LIMIT 1
-    ), occ AS (
-        SELECT pos, merged, pos - row_number() OVER (ORDER BY pos) AS run
-        FROM p JOIN best ON tok = l AND follower = r
-    ), hit AS (
-        SELECT pos, merged FROM (
-            SELECT pos, merged, row_number() OVER (PARTITION BY run ORDER BY pos) AS n FROM occ
-        ) WHERE n % 2 = 1
-    )
-    SELECT p.pos, coalesce(h.merged, p.tok) AS tok
-    FROM p LEFT JOIN hit h ON h.pos = p.pos LEFT JOIN hit g ON g.pos = p.pos - 1
-    WHERE g.pos IS NULL
-"""
-
-
 @functools.cache
 def byte_letters() -> dict[int, str]:
     """The letter that stands for each byte in such vocabularies.
@@ -121,50 +105,95 @@ class Encoder:
         import regex
 
         self.find = regex.compile(WORD_PATTERN).findall
-        self.byte_ids = tok["bytes"]
+        self.byte_ids, self.pieces = tok["bytes"], tok["pieces"]
         self.known: dict[str, bytes] = {}
+        self.tokens: dict[bytes, tuple[int, ...]] = {}
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
         merges = pa.table({"l": tok["l"], "r": tok["r"], "merged": tok["merged"], "rank": np.arange(len(tok["l"]), dtype=np.int32)})
         self.db.register("given", merges)
         self.db.execute("CREATE TABLE merges AS SELECT * FROM given")
         self.db.unregister("given")
 
-    def learn(self, words: list[str]) -> None:
-        """Encode words that aren't remembered, by whole sets."""
-        raw = [w.encode("utf-8", "surrogatepass") for w in words]
-        short = [k for k, b in enumerate(raw) if len(b) <= LONG_BYTES]
-        for at in range(0, len(short), 20_000):
-            part = short[at : at + 20_000]
-            sizes = np.array([len(raw[k]) for k in part])
-            flat = np.frombuffer(b"".join(raw[k] for k in part), np.uint8)
+    def contract(self, raw: list[bytes]) -> None:
+        """Encode byte strings that aren't remembered, by whole sets."""
+        fresh = sorted({b for b in raw if b not in self.tokens}, key=len)
+        at = 0
+        while at < len(fresh):
+            end, rows = at, 0
+            while end < len(fresh) and (end == at or rows + len(fresh[end]) * (len(fresh[end]) + 1) // 2 <= STATE_ROWS):
+                rows += len(fresh[end]) * (len(fresh[end]) + 1) // 2
+                end += 1
+            part = fresh[at:end]
+            sizes = np.array([len(b) for b in part])
             start = pa.table({
                 "w": np.repeat(np.arange(len(part), dtype=np.int32), sizes),
-                "pos": (np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32),
-                "tok": self.byte_ids[flat],
+                "pos": (np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32),
+                "tok": self.byte_ids[np.frombuffer(b"".join(part), np.uint8)],
             })
             self.db.register("start", start)
             got = self.db.sql(RECURSIVE).to_arrow_table()
             self.db.unregister("start")
             lists = got["toks"].combine_chunks()
-            ends, ids = lists.offsets.to_numpy(), lists.values.to_numpy().astype("<i4")
+            ends, ids = lists.offsets.to_pylist(), lists.values.to_pylist()
             for n, w in enumerate(got["w"].to_pylist()):
-                self.known[words[part[w]]] = ids[ends[n] : ends[n + 1]].tobytes()
-        for k, b in enumerate(raw):
-            if len(b) > LONG_BYTES:
-                self.known[words[k]] = self.long(b)
-
-    def long(self, raw: bytes) -> bytes:
-        self.db.register("given", pa.table({"pos": np.arange(len(raw)), "tok": self.byte_ids[np.frombuffer(raw, np.uint8)]}))
-        self.db.execute("CREATE OR REPLACE TEMP TABLE long AS SELECT * FROM given")
-        self.db.unregister("given")
-        left = len(raw)
-        while True:
-            self.db.execute(LONG_STEP)
-            self.db.execute("CREATE OR REPLACE TEMP TABLE long AS SELECT * FROM after")
-            now = self.db.execute("SELECT count(*) FROM long").fetchone()[0]
-            if now == left:
-                return self.db.execute("SELECT tok FROM long ORDER BY pos").fetchnumpy()["tok"].astype("<i4").tobytes()
-            left = now
+                self.tokens[part[w]] = tuple(ids[ends[n] : ends[n + 1]])
+            at = end
+
+    def join(self, left: list[int], right: list[int]):
+        """A coroutine that joins the tokens of two neighbouring parts: asks for the
+        encodings of byte strings and returns the tokens of both together."""
+        at = 0
+        while at < len(right):
+            last, nxt = left[-1], right[at]
+            if (yield self.pieces[last] + self.pieces[nxt]) == (last, nxt):
+                break
+            k = 1
+            while True:
+                made = yield b"".join(self.pieces[t] for t in left[-k:]) + self.pieces[nxt]
+                if k >= len(left):
+                    left = list(made)
+                    break
+                before = left[-k - 1]
+                if (yield self.pieces[before] + self.pieces[made[0]]) == (before, made[0]):
+                    left[-k:] = made
+                    break
+                k = min(2 * k, len(left))
+            at += 1
+        return left + right[at:]
+
+    def settle(self, joins: list) -> list[list[int]]:
+        """Run coroutines side by side: what all of them ask for is encoded in one set."""
+        done: list = [None] * len(joins)
+        asked = {n: next(j) for n, j in enumerate(joins)}
+        while asked:
+            self.contract(list(asked.values()))
+            for n in list(asked):
+                try:
+                    while asked[n] in self.tokens:
+                        asked[n] = joins[n].send(self.tokens[asked[n]])
+                except StopIteration as end:
+                    done[n] = end.value
+                    del asked[n]
+        return done
+
+    def learn(self, words: list[str]) -> None:
+        """Encode words that aren't remembered."""
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        cut = [[b[at : at + PART] for at in range(0, len(b), PART)] for b in raw]
+        self.contract([p for parts_ in cut for p in parts_])
+        open_ = {}
+        for w, parts_ in zip(words, cut):
+            if len(parts_) == 1:
+                self.known[w] = np.array(self.tokens[parts_[0]], "<i4").tobytes()
+            else:
+                open_[w] = [list(self.tokens[p]) for p in parts_]
+        while open_:
+            pairs = [(w, k) for w, segs in open_.items() for k in range(0, len(segs) - 1, 2)]
+            done = iter(self.settle([self.join(open_[w][k], open_[w][k + 1]) for w, k in pairs]))
+            for w, segs in list(open_.items()):
+                open_[w] = [next(done) for _ in range(len(segs) // 2)] + (segs[-1:] if len(segs) % 2 else [])
+                if len(open_[w]) == 1:
+                    self.known[w] = np.array(open_.pop(w)[0], "<i4").tobytes()
 
     def encode(self, texts: list[str | None]) -> pa.ListArray:
         cut = [self.find(t) if t else [] for t in texts]
@@ -174,6 +203,7 @@ class Encoder:
                 self.known.clear()
                 fresh = set().union(*cut)
             self.learn(sorted(fresh))
+            self.tokens.clear()
         known = self.known.__getitem__
         rows = [b"".join(map(known, words)) for words in cut]
         ends = np.concatenate([[0], np.cumsum([len(r) // 4 for r in rows])]).astype(np.int32)
