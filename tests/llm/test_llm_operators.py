@@ -119,9 +119,39 @@ def test_copied_votes_are_discounted():
     free, copied = np.ones((4, 4)), np.ones((4, 4))
     copied[:3, :3] = 0.05
     np.fill_diagonal(copied, 1)
-    votes = [[0, 1, 2], [3]]
-    assert fuse.posterior(votes, accuracy, free)[0] > 0.99
-    assert fuse.posterior(votes, accuracy, copied)[0] < 0.65
+    voters = [[0, 1, 2], [3]]
+    assert fuse.posterior(fuse.votes(voters, accuracy, free))[0] > 0.99
+    assert fuse.posterior(fuse.votes(voters, accuracy, copied))[0] < 0.65
+    assert fuse.parsed("0,2#1|3#0|#2") == ([[0, 2], [3], []], [1, 0, 2])
+
+
+def test_planted_copiers_lose(spark):
+    """Two sources copy a third one's errors. Where five honest ones contradict them it is
+    seen; then they no longer outvote two honest ones, which plain votes would let them."""
+    r = random.Random(12)
+    rows, truth = [], {}
+    for k in range(360):
+        true, wrong = 10 + k % 40, k % 2 == 0 or k >= 300
+        honest = 5 if k < 300 else 2
+        told = {f"honest {x}": true if r.random() < 0.95 else r.randint(100, 200) for x in range(honest)}
+        told |= dict.fromkeys(("copied", "copier a", "copier b"), r.randint(60, 90) if wrong else true)
+        truth[len(rows) + 1] = (k, true)
+        rows += [(len(rows) + 1 + x, f"M {k} 1B", None, None, None, float(v), s, None, "z") for x, (s, v) in enumerate(told.items())]
+    sources = spark.createDataFrame([("copied", 1)], "source string, trust_rank int")
+    by_id, late = {r[0]: r[5] for r in rows}, {}
+    for prior in ("votes", "trust"):
+        got = fuse.fuse_releases(harvest(spark, rows), sources, prior).collect()
+        assert len(got) == 360 and all(by_id[g.record_id] == g.value for g in got)  # the record survives that has the value
+        late[prior] = sum(g.value == truth[g.group_id][1] for g in got if truth[g.group_id][0] >= 300)
+    assert late["votes"] >= 50 and late["trust"] == 0
+
+
+def test_further_sources_vote_for_themselves(spark, monkeypatch):
+    monkeypatch.setattr(fuse, "MAX_SOURCES", 1)
+    rows = [(n, "A 1 7B", None, None, None, 5.0 if n < 3 else 9.0, s, None, "z") for n, s in enumerate(["common", "x", "y", "u", "v", "w", "t"])]
+    rows += [(100 + n, f"B {n} 7B", None, None, None, 5.0, "common", None, "z") for n in range(5)]
+    got = fuse.fuse_releases(harvest(spark, rows), spark.createDataFrame([], "source string, trust_rank int"), "votes").collect()
+    assert [g.value for g in got] == [9.0]
 
 
 # ---- pairs
