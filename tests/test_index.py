@@ -42,6 +42,17 @@ def test_query_ids_hide_no_chunk(spark, tmp_path, monkeypatch, most):
     assert sorted((r.query_id, r.page_id) for r in ranks.collect()) == [(n, "/x") for n in ids]
 
 
+def test_index_without_arrow(spark, tmp_path):
+    path = str(tmp_path / "index")
+    spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "false")
+    try:
+        I.build_index(spark, *corpus(spark, [(1, "/x", "", "X", "alpha"), (2, "/y", "", "Y", "beta")]), VOCAB, VECTORS, path)
+        ranks = I.semantic_rank(spark, path, spark.createDataFrame([(1, "alpha")], "query_id bigint, query string"), top=1).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
+    assert [(r.query_id, r.page_id, r["rank"]) for r in ranks] == [(1, "/x", 1)]
+
+
 def test_rejected_corpus_keeps_the_published_set(spark, tmp_path):
     path = str(tmp_path / "index")
     good = corpus(spark, [(0, "/x", "", "X", "alpha")])

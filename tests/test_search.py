@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from textlathe.functions import text as X
 from textlathe.operators import search as S
@@ -73,21 +74,36 @@ def test_breadcrumb(spark):
     assert got == {"/blog": "Blog", "/blog/example": "Blog > Example", "/x/y": "Y"}
 
 
-def test_vector_blocks_equal_joined_path(spark, monkeypatch):
+def test_vector_blocks_equal_brute_force(spark, monkeypatch):
     import numpy as np
 
     rng = np.random.default_rng(2)
-    rows = [(n, f"p{n % 7}", rng.standard_normal(8).tolist()) for n in range(60)] + [(60, "p0", [0.0] * 8)]
+    rows = [(n, f"p{n % 7}", rng.standard_normal(8).tolist()) for n in range(60)] + [(60, "p0", [0.0] * 8), (61, "p1", [1.0] * 8), (62, "p1", [1.0] * 8), (63, "p2", [1.0] * 8)]
     v = spark.createDataFrame(rows, "seq bigint, page_id string, vector array<double>").repartition(3)
-    q = spark.createDataFrame([(n, rows[n][2]) for n in (0, 20, 40)], "query_id bigint, query_vector array<double>")
-    rounded = lambda df, *c: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.select(*c).collect())
-    runs = {
-        "top": lambda: rounded(S.vector_topk(v, q, 5), "query_id", "seq", "rank", "score"),
-        "pages": lambda: rounded(S.vector_pages(v, q), "query_id", "page_id", "seq", "score"),
-        "pairs": lambda: rounded(S.vector_pairs(v, q, 0.2), "query_id", "seq", "score"),
-        "none": lambda: rounded(S.vector_topk(v.limit(0), q, 5), "query_id"),
+    asked = [(n, rows[n][2]) for n in (0, 20, 40, 61)]
+    q = spark.createDataFrame(asked, "query_id bigint, query_vector array<double>").repartition(2)
+    scores = {i: sorted(((-round(float(np.dot(x, w)), 9), n, p) for n, p, w in rows if n != i)) for i, x in asked}
+    unit = lambda x: np.array(x) / (np.linalg.norm(x) or 1)
+    pages = {i: {} for i in scores}
+    for i, found in scores.items():
+        for s, n, p in found:
+            pages[i].setdefault(p, (n, s))
+    want = {
+        "top": sorted((i, n, k) for i, found in scores.items() for k, (_, n, _) in enumerate(found[:5], 1)),
+        "pages": sorted((i, p, n) for i, ps in pages.items() for p, (n, _) in ps.items()),
+        "pairs": sorted((i, n) for i, x in asked for n, _, w in rows if n != i and np.any(w) and np.dot(unit(x), unit(w)) >= 0.2),
+        "best pages": sorted((i, p) for i, ps in pages.items() for p, _ in sorted(ps.items(), key=lambda x: (x[1][1], x[1][0]))[:3]),
+        "none": [],
     }
-    blocks = {k: f() for k, f in runs.items()}
-    monkeypatch.setattr(S, "MAX_QUERIES", 0)
-    assert {k: f() for k, f in runs.items()} == blocks
-    assert len(blocks["top"]) == 15 and blocks["none"] == []
+    plain = lambda df, *c: sorted(tuple(r) for r in df.select(*c).collect())
+    for queries, most in ((1000, 4_000_000), (1000, 12), (1, 40), (0, 1)):  # one block, small ones, and products of blocks
+        monkeypatch.setattr(S, "MAX_QUERIES", queries)
+        monkeypatch.setattr(S, "MAX_SCORES", most)
+        best = S.ranked(S.vector_pages(v, q, top=3), [F.desc("score"), F.asc("seq")], top=3)
+        assert want == {
+            "top": plain(S.vector_topk(v, q, 5), "query_id", "seq", "rank"),
+            "pages": plain(S.vector_pages(v, q), "query_id", "page_id", "seq"),
+            "pairs": plain(S.vector_pairs(v, q, 0.2), "query_id", "seq"),
+            "best pages": plain(best, "query_id", "page_id"),
+            "none": plain(S.vector_topk(v.limit(0), q, 5), "query_id") + plain(S.vector_topk(v, q.limit(0), 5), "query_id"),
+        }

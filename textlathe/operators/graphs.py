@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,9 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFram
 
     Each round every node takes the least label around it and then its label's own
     label (pointer jumping), so long chains take a logarithmic number of rounds. Lineage
-    is cut by checkpoints every round; only a count of changes reaches the driver.
+    is cut by checkpoints every round; only a count of changes reaches the driver. Labels
+    that still change after `rounds` rounds raise an error: no half-joined component is
+    ever returned.
     """
     both = cut_lineage(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src != dst").distinct())
     label = nodes.select("id", F.col("id").alias("component"))
@@ -27,19 +30,23 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFram
         if new.where("old != component").isEmpty():
             return new.select("id", "component")
         label = new.select("id", "component")
-    return label
+    raise RuntimeError(f"components still change after {rounds} rounds")
 
 
-def levels(edges: DataFrame, start: DataFrame, depth: int = 30) -> DataFrame:
-    """(node, level): steps from the start nodes along directed edges, cycles included."""
+def levels(edges: DataFrame, start: DataFrame, depth: int | None = None) -> DataFrame:
+    """(node, level): steps from the start nodes along directed edges, cycles included.
+
+    Every node that can be reached comes out, however deep, unless `depth` asks for the
+    nodes of the first levels only.
+    """
     found = cut_lineage(start.select(F.col("node"), F.lit(0).alias("level")).distinct())
     front = found
-    for n in range(1, depth + 1):
+    for n in itertools.count(1) if depth is None else range(1, depth + 1):
         nxt = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct().join(found, "node", "left_anti")
         front = cut_lineage(nxt.withColumn("level", F.lit(n)))
         if front.isEmpty():
             break
-        found = found.unionByName(front)
+        found = cut_lineage(found.unionByName(front)) if n % 10 == 0 else found.unionByName(front)
     return found
 
 

@@ -93,7 +93,7 @@ def build_index(spark: SparkSession, records: DataFrame, titles: DataFrame, voca
         raise Rejected("document vectors must be finite and not zero")
     scale = counts.top / 127.0 if counts.top else 1.0
     kept = docs.where(F.size("ids") > 0)
-    rows = spark.createDataFrame(pd.DataFrame({"token_id": np.arange(len(vectors)), "vector": list(vectors.astype(float))}))
+    rows = spark.createDataFrame(list(enumerate(vectors.astype(float).tolist())), "token_id int, vector array<double>")
     rows = rows.withColumn("scale", N.row_scale("vector"))
     tables = {
         "chunks": kept.select("seq", "piece_no", "chunk_id", "page_id", "url", "title", "heading", "crumb"),
@@ -105,8 +105,9 @@ def build_index(spark: SparkSession, records: DataFrame, titles: DataFrame, voca
     return meta | {"version": K.publish(spark, path, tables, meta)}
 
 
-def semantic_rank(spark: SparkSession, path: str, queries: DataFrame) -> DataFrame | None:
-    """(query_id, page_id, score, rank) of a published index; None where there is none.
+def semantic_rank(spark: SparkSession, path: str, queries: DataFrame, top: int | None = None) -> DataFrame | None:
+    """(query_id, page_id, score, rank) of a published index, the first `top` pages of each
+    query where it is given; None where there is no index.
 
     Queries without a known token have no rows. Token vectors are taken back from their
     row scales, scores from the documents' one scale; only scores above zero are ranked.
@@ -116,10 +117,10 @@ def semantic_rank(spark: SparkSession, path: str, queries: DataFrame) -> DataFra
         return None
     meta, tables = found
     vocab = {r.piece: r.token_id for r in tables["vocabulary"].collect()}
-    rows = tables["tokens"].orderBy("token_id").toPandas()
-    table = np.stack(rows["q"].to_numpy()).astype(float) * rows["scale"].to_numpy()[:, None]
+    rows = tables["tokens"].orderBy("token_id").collect()  # no more than `MOST_TABLE_MB`, as the set was built within it
+    table = np.array([r.q for r in rows], float) * np.array([r.scale for r in rows])[:, None]
     asked = embedded(queries.select("query_id", U.wordpiece_udf(vocab)(X.basic_units("query")).alias("ids")), "ids", table, "query_vector")
     docs = tables["documents"].select(F.col("place").alias("seq"), "page_id", F.transform("q", lambda x: x.cast("double")).alias("vector"))
-    best = S.vector_pages(docs, asked.where("query_vector is not null").select("query_id", "query_vector"), itself=False)  # places and query ids have nothing in common
+    best = S.vector_pages(docs, asked.where("query_vector is not null").select("query_id", "query_vector"), itself=False, top=top)  # places and query ids have nothing in common
     scored = best.withColumn("score", F.col("score") * meta["scale"]).where("score > 0")
-    return S.ranked(scored, [F.desc("score"), F.asc("seq")]).select("query_id", "page_id", "score", "rank")
+    return S.ranked(scored, [F.desc("score"), F.asc("seq")], top=top).select("query_id", "page_id", "score", "rank")

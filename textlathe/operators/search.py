@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from textlathe.functions import numbers as N
 from textlathe.functions import text as X
-from textlathe.runtime import broadcast_if
 
 
 def lexical_view(records: DataFrame) -> DataFrame:
@@ -37,8 +36,10 @@ def lexical_scores(view: DataFrame, queries: DataFrame) -> DataFrame:
     are broadcast: words of no query never enter a shuffle, and frequent words don't
     gather in one task.
     """
-    q = broadcast_if(term_counts(queries, ["query_id"], "query", "qtf"), MAX_TERMS)
-    wanted = broadcast_if(queries.select(F.explode(X.tokens("query")).alias("term")).distinct(), MAX_TERMS)
+    q = term_counts(queries, ["query_id"], "query", "qtf")
+    wanted = q.select("term").distinct()
+    if q.limit(MAX_TERMS + 1).count() <= MAX_TERMS:
+        q, wanted = F.broadcast(q), F.broadcast(wanted)
     d = view.select("seq", "page_id", F.explode(X.tokens("text")).alias("term")).join(wanted, "term", "left_semi").groupBy("seq", "page_id", "term").agg(F.count("*").alias("dtf"))
     section = d.join(q, "term").groupBy("query_id", "page_id", "seq").agg(F.sum(F.col("qtf") * F.col("dtf")).alias("score"))
     return section.groupBy("query_id", "page_id").agg(F.max("score").alias("score"), F.min("seq").alias("first_seq"))
@@ -53,88 +54,132 @@ def lexical_rank(view: DataFrame, queries: DataFrame, top: int | None = 10) -> D
     return ranked(lexical_scores(view, queries), [F.desc("score"), F.asc("first_seq")], top=top)
 
 
-#: Query vectors that are sent to every task at once (checked by a count), rows of a block.
-MAX_QUERIES, BLOCK = 20_000, 4096
+#: Query vectors of one block (the only ones that are broadcast, after a count), and
+#: scores that a task holds at once: a block's rows follow from its queries.
+MAX_QUERIES, MAX_SCORES = 20_000, 4_000_000
 
 
-def vector_scores(vectors: DataFrame, queries: DataFrame, itself: bool = True) -> DataFrame:
-    """All inner products of a stated set of query vectors against all rows, as rows; with
-    `itself`, where queries are rows of the same table, none of a row with itself."""
-    return queries.crossJoin(vectors).where("query_id != seq" if itself else "true").select("query_id", "seq", "page_id", N.dot("query_vector", "vector").alias("score"))
+def picked(ids, matrix, seq, page, rows, keep, itself: bool) -> pd.DataFrame:
+    """The pairs that `keep` takes of a block of queries and a block of rows."""
+    out = []
+    step = max(1, MAX_SCORES // max(1, len(ids)))
+    for at in range(0, len(seq) if len(ids) else 0, step):
+        part = slice(at, at + step)
+        # rounded, as a product's last digits depend on a row's place: equal vectors score alike
+        scores = np.round(matrix @ rows[part].T, 12)
+        if itself:
+            scores[ids[:, None] == seq[None, part]] = -np.inf
+        q, r = keep(scores, seq[part], page[part])
+        good = np.isfinite(scores[q, r])
+        q, r = q[good], r[good]
+        out.append(pd.DataFrame({"query_id": ids[q], "seq": seq[part][r], "page_id": page[part][r], "score": scores[q, r]}))
+    return pd.concat(out) if out else pd.DataFrame(columns=["query_id", "seq", "page_id", "score"]).astype({"query_id": "int64", "seq": "int64", "score": "float64"})
 
 
-def scored_blocks(vectors: DataFrame, queries: DataFrame, keep, itself: bool = True) -> DataFrame | None:
-    """Rows (query_id, seq, page_id, score) that `keep` picks of each block's scores.
+def stacked(vectors: pd.Series) -> np.ndarray:
+    return np.stack(vectors.to_numpy()).astype(np.float64)
 
-    The queries, if no more than `MAX_QUERIES`, go to every task as one matrix; blocks
-    of rows meet it in a matrix product, and only the picked pairs become rows. `keep`
-    gets scores (queries x rows), row ids and pages, and returns query and row places.
-    With more queries the result is None: the caller takes the joined path. `itself` as
-    for `vector_scores`.
+
+PAIRS = "query_id bigint, seq bigint, page_id string, score double"
+
+
+def scored_blocks(vectors: DataFrame, queries: DataFrame, keep, itself: bool = True) -> DataFrame:
+    """Rows (query_id, seq, page_id, score) of a stated set of queries against all rows,
+    as far as `keep` picks them from a block's scores.
+
+    Both sides meet in blocks by a matrix product; only picked pairs become rows. Up to
+    `MAX_QUERIES` queries are one block that every task has; more of them are packed into
+    such blocks, and so are the rows, and each pair of blocks is a row of the product.
+    `keep` gets scores (queries x rows), row ids and pages, and returns query and row
+    places. With `itself`, where queries are rows of the same table, no row meets itself.
     """
-    if queries.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
-        return None
-    rows = queries.select("query_id", "query_vector").collect()
-    ids, matrix = np.array([r.query_id for r in rows], np.int64), np.array([r.query_vector for r in rows], np.float64)
-    given = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
-
-    def run(frames):
-        ids, matrix = given.value
-        for frame in frames:
-            for at in range(0, len(frame), BLOCK):
-                part = frame.iloc[at : at + BLOCK]
-                if not len(ids):
-                    continue
-                seq, page = part["seq"].to_numpy(), part["page_id"].to_numpy()
-                # rounded, as a product's last digits depend on a row's place: equal vectors score alike
-                scores = np.round(matrix @ np.stack(part["vector"].to_numpy()).astype(np.float64).T, 12)
-                if itself:
-                    scores[ids[:, None] == seq[None, :]] = -np.inf
-                q, r = keep(scores, seq, page)
-                good = np.isfinite(scores[q, r])
-                yield pd.DataFrame({"query_id": ids[q][good], "seq": seq[r][good], "page_id": page[r][good], "score": scores[q, r][good]})
-
-    return vectors.select("seq", "page_id", "vector").mapInPandas(run, "query_id bigint, seq bigint, page_id string, score double")
+    asked, rows = queries.select("query_id", "query_vector"), vectors.select("seq", "page_id", "vector")
+    if asked.limit(MAX_QUERIES + 1).count() <= MAX_QUERIES:
+        got = asked.collect()
+        given = vectors.sparkSession.sparkContext.broadcast((np.array([r.query_id for r in got], np.int64), np.array([r.query_vector for r in got], np.float64)))
+
+        def run(frames):
+            ids, matrix = given.value
+            for f in frames:
+                if len(f):
+                    yield picked(ids, matrix, f["seq"].to_numpy(), f["page_id"].to_numpy(), stacked(f["vector"]), keep, itself)
+
+        return rows.mapInPandas(run, PAIRS)
+    most = max(1, MAX_QUERIES)
+
+    def packed(id_name: str, vector_name: str):
+        def run(frames):
+            for f in frames:
+                for at in range(0, len(f), most):
+                    p = f.iloc[at : at + most]
+                    page = p["page_id"].tolist() if "page_id" in p else []
+                    yield pd.DataFrame({"ids": [p[id_name].to_numpy()], "page": [page], "flat": [stacked(p[vector_name]).ravel()]})
+
+        return run
+
+    shape = "{0}ids array<bigint>, {0}page array<string>, {0}flat array<double>"
+    a = asked.mapInPandas(packed("query_id", "query_vector"), shape.format("")).toDF("q_ids", "q_page", "q_flat").drop("q_page")
+    b = rows.mapInPandas(packed("seq", "vector"), shape.format(""))
+
+    def meet(frames):
+        for f in frames:
+            for r in f.itertuples(index=False):
+                ids, seq = np.asarray(r.q_ids), np.asarray(r.ids)
+                yield picked(ids, np.asarray(r.q_flat).reshape(len(ids), -1), seq, np.asarray(r.page, object), np.asarray(r.flat).reshape(len(seq), -1), keep, itself)
+
+    return b.crossJoin(a).mapInPandas(meet, PAIRS)
 
 
 def vector_topk(vectors: DataFrame, queries: DataFrame, top: int) -> DataFrame:
     """(query_id, seq, page_id, score, rank): each query's best rows over all rows.
 
-    Each block gives its own best `top` rows of each query before anything is shuffled.
+    Each block gives its own best `top` rows of each query, and what equals the last of
+    them, before anything is shuffled.
     """
 
     def best(scores, seq, page):
-        order = np.lexsort((np.broadcast_to(seq, scores.shape), -scores), axis=1)[:, :top]
-        return np.repeat(np.arange(len(scores)), order.shape[1]), order.ravel()
+        return np.nonzero(scores >= least_of(scores, top))
+
+    return ranked(scored_blocks(vectors, queries, best), [F.desc("score"), F.asc("seq")], top=top)
 
-    found = scored_blocks(vectors, queries, best)
-    return ranked(vector_scores(vectors, queries) if found is None else found, [F.desc("score"), F.asc("seq")], top=top)
 
+def least_of(scores: np.ndarray, top: int) -> np.ndarray:
+    """Each row's score at place `top`, as a column; the least if there are fewer."""
+    if scores.shape[1] <= top:
+        return scores.min(1, keepdims=True)
+    return np.partition(scores, scores.shape[1] - top, axis=1)[:, scores.shape[1] - top, None]
 
-def vector_pages(vectors: DataFrame, queries: DataFrame, itself: bool = True) -> DataFrame:
-    """(query_id, page_id, score, seq): the best row of each page for each query; each
-    block gives one row a query and page. `itself` as for `vector_scores`."""
+
+def vector_pages(vectors: DataFrame, queries: DataFrame, itself: bool = True, top: int | None = None) -> DataFrame:
+    """(query_id, page_id, score, seq): the best row of each page for each query; with
+    `top`, at least of every page that can be among a query's first `top` pages.
+
+    Each block gives one row a query and page, no more than `top` pages of it and what
+    equals the last of them. `itself` as for `scored_blocks`.
+    """
 
     def best(scores, seq, page):
-        names, group = np.unique(page.astype(str), return_inverse=True)
-        order = np.lexsort((np.broadcast_to(seq, scores.shape), -scores, np.broadcast_to(group, scores.shape)), axis=1)
-        sorted_group = group[order]
-        first = np.concatenate([np.ones((len(order), 1), bool), sorted_group[:, 1:] != sorted_group[:, :-1]], axis=1)
-        q, k = np.nonzero(first)
-        return q, order[q, k]
+        order = np.lexsort((seq, page.astype(str)))  # a page's rows side by side, the earliest first
+        names = page[order].astype(str)
+        begin = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
+        s = scores[:, order]
+        most = np.maximum.reduceat(s, begin, axis=1)
+        wanted = most >= least_of(most, top) if top else np.ones(most.shape, bool)
+        q, p = np.nonzero(wanted)
+        place = np.searchsorted(begin, np.arange(len(order)), side="right") - 1
+        at = np.where(s == most[:, place], np.arange(len(order)), len(order))
+        first = np.minimum.reduceat(at, begin, axis=1)
+        return q, order[first[q, p]]
 
-    found = scored_blocks(vectors, queries, best, itself)
-    return rollup(vector_scores(vectors, queries, itself) if found is None else found)
+    return rollup(scored_blocks(vectors, queries, best, itself))
 
 
 def vector_pairs(vectors: DataFrame, queries: DataFrame, least: float) -> DataFrame:
     """(query_id, seq, score) of cosine similarities from `least` on; only such pairs
     become rows. Zero vectors are like nothing."""
     unit = lambda df, c: df.withColumn("_n", N.norm(c)).where("_n > 0").withColumn(c, F.transform(c, lambda x: x.cast("double") / F.col("_n"))).drop("_n")
-    v, q = unit(vectors, "vector"), unit(queries, "query_vector")
-    found = scored_blocks(v, q, lambda scores, seq, page: np.nonzero(scores >= least))
-    pairs = vector_scores(v, q) if found is None else found
-    return pairs.where(F.col("score") >= least).select("query_id", "seq", "score")
+    pairs = scored_blocks(unit(vectors, "vector"), unit(queries, "query_vector"), lambda scores, seq, page: np.nonzero(scores >= least))
+    return pairs.select("query_id", "seq", "score")
 
 
 def rollup(scores: DataFrame) -> DataFrame:

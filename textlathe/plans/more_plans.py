@@ -194,5 +194,5 @@ def index_search(spark, sf):
     vectors = np.random.default_rng(7).standard_normal((len(vocab), 64))
     path = f"{scratch(spark)}/index-{uuid.uuid4().hex}"
     I.build_index(spark, records, titles, vocab, vectors, path, suspicious_limit=1.0, legitimate_limit=1.0)
-    ranks = I.semantic_rank(spark, path, Q.queries_of(spark, sf))
-    return ranks.where("rank <= 10").select("query_id", "page_id", F.round("score", 6).alias("score"), "rank")
+    ranks = I.semantic_rank(spark, path, Q.queries_of(spark, sf), top=10)
+    return ranks.select("query_id", "page_id", F.round("score", 6).alias("score"), "rank")

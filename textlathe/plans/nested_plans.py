@@ -155,10 +155,12 @@ def tree_paths(spark, sf):
 @query("""WITH p AS (SELECT CASE WHEN regexp_matches(route, '^/+$') THEN '/' ELSE regexp_replace(route, '/+$', '') END AS page, split_part(heading_key, '#', 1) AS anchor FROM search_record), l AS (SELECT chunk_id, split_part(url, '#', 1) AS page, split_part(url, '#', 2) AS anchor FROM chunk)
 SELECT chunk_id, bool_or(p.page IS NOT NULL) AS page_found, l.anchor = '' OR bool_or(p.anchor IS NOT NULL AND p.anchor = l.anchor) AS anchor_found FROM l LEFT JOIN p USING (page) GROUP BY chunk_id, l.anchor""")
 def link_check(spark, sf):
-    pages = table(spark, sf, "search_record").groupBy(X.canonical_route("route").alias("page")).agg(F.collect_set(X.anchor_of("heading_key")).alias("anchors"))
+    """Links met with pages, and with their anchors; a page's anchors are never gathered."""
+    sections = table(spark, sf, "search_record").select(X.canonical_route("route").alias("page"), X.anchor_of("heading_key").alias("anchor")).distinct()
+    pages = sections.select("page").distinct()
     links = table(spark, sf, "chunk").select("chunk_id", F.split_part("url", F.lit("#"), F.lit(1)).alias("page"), F.split_part("url", F.lit("#"), F.lit(2)).alias("anchor"))
-    found = links.join(pages, "page", "left")
-    return found.select("chunk_id", F.col("anchors").isNotNull().alias("page_found"), ((F.col("anchor") == "") | F.coalesce(F.array_contains("anchors", F.col("anchor")), F.lit(False))).alias("anchor_found"))
+    found = links.join(pages.withColumn("has_page", F.lit(True)), "page", "left").join(sections.withColumn("has_anchor", F.lit(True)), ["page", "anchor"], "left")
+    return found.select("chunk_id", F.col("has_page").isNotNull().alias("page_found"), ((F.col("anchor") == "") | F.col("has_anchor").isNotNull()).alias("anchor_found"))
 
 
 @query()

@@ -9,7 +9,7 @@ from textlathe.functions import numbers as N
 from textlathe.functions import text as X
 from textlathe.operators import search as S
 from textlathe.plans.base import Plans
-from textlathe.runtime import table
+from textlathe.runtime import cut_lineage, table
 
 plans = Plans()
 query = plans.query
@@ -146,15 +146,16 @@ FUSED = """k AS (SELECT query_id, page_id, rank AS kr FROM lex WHERE rank <= 10)
   hyb AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, coalesce(kr, 1000 + sr)) AS rank FROM f)"""
 
 
-def semantic_pages(spark, sf):
-    """Each page borrows the vector at its hash's place, each item the vector of its id."""
+def semantic_pages(spark, sf, top=10):
+    """Each page borrows the vector at its hash's place, each item the vector of its id;
+    the first `top` pages of each item."""
     vectors = table(spark, sf, "embeddings")
     size = vectors.agg(F.count("*").alias("size"))
     place = F.conv(F.substring(F.md5("page_id"), 1, 7), 16, 10).cast("bigint") % F.col("size")
     pages = table(spark, sf, "search_record").select(X.canonical_route("route").alias("page_id")).distinct().crossJoin(F.broadcast(size)).select("page_id", place.alias("seq"))
     rows = pages.join(vectors.select(F.col("vec_id").alias("seq"), F.col("embedding").alias("vector")), "seq")
     asked = table(spark, sf, "eval_item").select(F.col("item_id").alias("query_id")).join(vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")), "query_id")
-    return S.ranked(S.vector_pages(rows, asked).where("score > 0"), [F.desc("score"), F.asc("page_id")])
+    return S.ranked(S.vector_pages(rows, asked, top=top).where("score > 0"), [F.desc("score"), F.asc("page_id")], top=top)
 
 
 @query(f"{HYBRID}, {FUSED} SELECT query_id, page_id, kr AS keyword_rank, sr AS semantic_rank, round(score, 8) AS score, rank FROM hyb")
@@ -170,8 +171,9 @@ RECALL = "SELECT '{0}' AS condition, subset, count(*) AS queries, round(avg(CASE
 @query(f"{HYBRID}, {FUSED} " + " UNION ALL ".join(RECALL.format(c, t) for c, t in (("keyword-only", "lex"), ("semantic-only", "sem"), ("hybrid", "hyb"))))
 def recall_at_k(spark, sf):
     labels = table(spark, sf, "eval_item").select(F.col("item_id").alias("query_id"), "subset", "expected_page_id")
-    keyword = S.lexical_rank(S.lexical_view(table(spark, sf, "search_record")), queries_of(spark, sf), None)
-    semantic = semantic_pages(spark, sf)
+    # ten pages a query, each read for its own figures and for the fusion
+    keyword = cut_lineage(S.lexical_rank(S.lexical_view(table(spark, sf, "search_record")), queries_of(spark, sf)))
+    semantic = cut_lineage(semantic_pages(spark, sf))
     out = None
     for name, ranks in (("keyword-only", keyword), ("semantic-only", semantic), ("hybrid", S.fuse(keyword, semantic))):
         r = S.recall(ranks, labels).select(F.lit(name).alias("condition"), "subset", "queries", F.round("recall_1", 6).alias("recall_1"), F.round("recall_3", 6).alias("recall_3"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -19,11 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession) -> str:
     """The folder shared by all executors that `spark.checkpoint.dir` names.
 
-    Only a session without one (tests, local runs) gets a temporary folder.
+    Only a session on one machine (tests, local runs) may be without one and gets a
+    temporary folder; on a cluster that is an error.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="textlathe-checkpoint-"))
+        named = sc.getConf().get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="textlathe-checkpoint-"))
     return sc.getCheckpointDir()
 
 
@@ -62,23 +67,18 @@ def ship_package(spark: SparkSession) -> None:
     sc._textlathe_shipped = True
 
 
-def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
-    """Give a CPU-heavy stage enough tasks when its input has too few partitions.
+def spread(df: DataFrame, per_core: int = 1) -> DataFrame:
+    """Give a CPU-heavy stage enough tasks when its input has fewer than the cores.
 
-    A scan that already has `per_core` tasks for each core is left alone, so large
-    inputs are never shuffled for it. Only for plans without a shuffle: counting another
+    A scan that already has `per_core` tasks for each core is left alone, so inputs of
+    more files than cores are never shuffled for it: only a small file that can't be cut
+    (Parquet of one row group) would else leave cores idle. Only for plans without a shuffle: counting another
     plan's partitions would run it.
     """
     want = per_core * df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
 
 
-def broadcast_if(df: DataFrame, most: int) -> DataFrame:
-    """`df` marked for broadcast if a count finds no more than `most` rows, else as it is:
-    the join then shuffles."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A session for tests and benchmarks on one machine."""
     return (
