@@ -46,31 +46,31 @@ def test_cut_prefers_natural_boundaries():
     assert {k for *_, k in pieces_ok("x" * 500, 120, 10)} == {"inside", "end"}
 
 
-def test_cut_cost_is_least():
-    """The programme's path against all paths over the same positions."""
-    text = "aa bb. cc dd, ee ff. gg hh"
-    limit, overlap = 12, 2
-    pos, pen, _ = split.boundaries(text, limit - overlap - split.HARD_STEP if limit - overlap > split.HARD_STEP else 1)
-    n, room = len(text), limit - overlap
-    share = (n - overlap) / -(-(n - overlap) // room)
-    nodes = [0, *pos.tolist(), n]
-    cost = {p: c for p, c in zip(pos.tolist(), pen.tolist())} | {n: 0.0}
-
-    def best(i):
-        if i == 0:
-            return 0.0
-        out = np.inf
-        for j in range(i):
-            first = nodes[j] == 0
-            gain = nodes[i] - overlap if first else nodes[i] - nodes[j]
-            if (nodes[i] <= limit if first else gain <= room) and not (first and nodes[i] <= overlap):
-                out = min(out, best(j) + 4 * ((gain - share) / share) ** 2)
-        return out + cost[nodes[i]]
+def cost_of(ends, text, limit, overlap, pos, pen):
+    share = (len(text) - overlap) / -(-(len(text) - overlap) // (limit - overlap))
+    price = dict(zip(pos.tolist(), pen.tolist())) | {len(text): 0.0}
+    return sum(price[e] for e in ends) + sum(4 * (((e - overlap) if k == 0 else e - ends[k - 1]) / share - 1) ** 2 for k, e in enumerate(ends))
 
-    parts = split.cut(text, limit, overlap)
-    ends = [b for _, b, _ in parts]
-    total = sum(cost[e] for e in ends) + sum(4 * (((e - overlap) if k == 0 else e - ends[k - 1]) / share - 1) ** 2 for k, e in enumerate(ends))
-    assert total == pytest.approx(best(len(nodes) - 1))
+
+def test_cut_cost_is_least():
+    """The programme's path against all paths over all natural boundaries."""
+    r = random.Random(1)
+    parts = ["word ", "Sentence here. ", "\n\n", "标题。", "a, ", "\r\n", "some longer stretch of words, "]
+    for k in range(60):
+        limit, overlap = ((300, 30), (120, 10), (40, 4))[k % 3]
+        text = "".join(r.choice([*parts, "x" * r.randint(1, 90)]) for _ in range(r.randint(30, 200)))
+        pos, pen, _ = split.boundaries(text, limit - overlap - split.HARD_STEP)
+        n, room = len(text), limit - overlap
+        share = (n - overlap) / -(-(n - overlap) // room)
+        nodes, price = [0, *pos.tolist(), n], [0.0, *pen.tolist(), 0.0]
+        best = [0.0] + [np.inf] * (len(nodes) - 1)
+        for i in range(1, len(nodes)):
+            for j in range(i):
+                gain = nodes[i] - (nodes[j] if j else overlap)
+                if gain <= room and (j or gain > 0):
+                    best[i] = min(best[i], best[j] + price[i] + 4 * ((gain - share) / share) ** 2)
+        ends = [b for _, b, _ in split.cut(text, limit, overlap)]
+        assert cost_of(ends, text, limit, overlap, pos, pen) == pytest.approx(best[-1])
 
 
 def items(spark, rows):

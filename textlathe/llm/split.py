@@ -38,80 +38,91 @@ KINDS = [k for k, _, _ in BOUNDARIES] + ["inside", "end"]
 WHITE_RUN = re.compile(f"{W}+")
 
 
-#: Kinds that count everywhere; the others only in stretches that these leave too long.
-STRONG = 3
+#: Ends that are worked out together; see `cheapest`.
+BLOCK = 16
 
 
 def boundaries(text: str, room: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Positions to cut at, their penalties and kinds.
 
-    Ends of paragraphs, lines and sentences count everywhere. In stretches of more than
-    half a piece without one, ends of clauses and white space count too, and in stretches
-    longer than `room` without any, every `HARD_STEP`-th position, unless it would part
-    a letter from its combining mark.
+    Every end of a paragraph, line, sentence, clause or white space is one. In stretches
+    longer than `room` without any, every `HARD_STEP`-th position is, unless it would
+    part a letter from its combining mark.
     """
-    best: dict[int, tuple[float, int]] = {}
     n = len(text)
-
-    def add(kinds: list, at: int, end: int) -> None:
-        for k, penalty, rx in kinds:
-            for m in rx.finditer(text, at, end):
-                if 0 < m.end() < n:
-                    best.setdefault(m.end(), (penalty, k))
-
-    def gaps(over: int) -> list[tuple[int, int]]:
-        at = [0, *sorted(best), n]
-        return [(a, b) for a, b in zip(at, at[1:]) if b - a > over]
-
-    known = [(k, penalty, rx) for k, (_, penalty, rx) in enumerate(BOUNDARIES)]
-    add(known[:STRONG], 0, n)
-    for a, b in gaps(room // 2):
-        add(known[STRONG:], a, b)
-    for a, b in gaps(room):
-        for p in range(a + HARD_STEP, b, HARD_STEP):
-            while p > a + 1 and (unicodedata.combining(text[p]) or text[p] in JOINING or text[p - 1] == JOINING[0]):
+    kind = np.full(n + 1, -1, np.int8)
+    for k in reversed(range(len(BOUNDARIES))):  # the first kind that matches counts
+        kind[[m.end() for m in BOUNDARIES[k][2].finditer(text)]] = k
+    kind[0] = kind[n] = -1
+    at = np.concatenate([[0], np.flatnonzero(kind >= 0), [n]])
+    for g in np.flatnonzero(np.diff(at) > room):
+        for p in range(int(at[g]) + HARD_STEP, int(at[g + 1]), HARD_STEP):
+            while p > at[g] + 1 and (unicodedata.combining(text[p]) or text[p] in JOINING or text[p - 1] == JOINING[0]):
                 p -= 1
-            best.setdefault(p, (HARD, 5))
-    pos = sorted(best)
-    return np.array(pos, np.int64), np.array([best[p][0] for p in pos]), np.array([best[p][1] for p in pos], np.int64)
+            if kind[p] < 0:
+                kind[p] = len(BOUNDARIES)
+    pos = np.flatnonzero(kind >= 0)
+    penalty = np.array([*[x for _, x, _ in BOUNDARIES], HARD])
+    return pos, penalty[kind[pos]], kind[pos].astype(np.int64)
 
 
-def cut(text: str, limit: int, overlap: int) -> list[tuple[int, int, str]]:
-    """(start, end, kind of the cut at its end) of each piece of an oversized text."""
-    n, room = len(text), limit - overlap
-    pos, penalty, kind = boundaries(text, max(1, room - HARD_STEP))
-    pos = np.concatenate([[0], pos, [n]])
-    penalty = np.concatenate([[0.0], penalty, [0.0]])
-    kind = np.concatenate([[6], kind, [6]])
-    pieces = -(-(n - overlap) // room)
-    share = (n - overlap) / pieces
-    cost = np.full(len(pos), np.inf)
-    cost[0], back = 0.0, np.zeros(len(pos), np.int64)
-    # a piece after the first begins `overlap` before its predecessor's end, so ends lie more than `overlap` in
+def cheapest(pos: np.ndarray, penalty: np.ndarray, limit: int, overlap: int) -> list[int]:
+    """Places in `pos` (from 0 to the text's length) of the ends of the cheapest pieces.
+
+    Ends are worked out in blocks: what leads to a block's ends from before the block is
+    one matrix of costs; only what leads from within the block is taken one by one.
+    Among equal costs the earliest predecessor counts.
+    """
+    n, room = int(pos[-1]), limit - overlap
+    share = (n - overlap) / -(-(n - overlap) // room)
+    m = len(pos)
+    # the first piece has the whole limit: as if it began `overlap` late
+    x = pos.astype(float)
+    x[0] = overlap
     lows = np.searchsorted(pos, pos - room)
-    for i in range(1, len(pos)):
-        low = lows[i]
-        gain = pos[i] - pos[low:i]
-        if low == 0:
-            step = cost[low:i] + 4.0 * ((gain - share) / share) ** 2
-            step[0] = np.inf if pos[i] <= overlap and pos[i] < n else 4.0 * ((pos[i] - overlap - share) / share) ** 2
-        else:
-            step = cost[low:i] + 4.0 * ((gain - share) / share) ** 2
-            if low > 0 and pos[i] <= limit:  # the first piece has the whole limit
-                first = 4.0 * ((pos[i] - overlap - share) / share) ** 2
-                k = int(np.argmin(step))
-                if first <= step[k]:
-                    cost[i], back[i] = first + penalty[i], 0
-                    continue
-        k = int(np.argmin(step))
-        cost[i], back[i] = step[k] + penalty[i], low + k
-    path, i = [], len(pos) - 1
+    lows[pos <= limit] = 0
+    cost, back = np.full(m, np.inf), np.zeros(m, np.int64)
+    cost[0] = 0.0
+    scale, aim = 4.0 / share**2, x + share
+    places, xs, pen, low_of = np.arange(m), x.tolist(), penalty.tolist(), lows.tolist()
+    for a in range(1, m, BLOCK):
+        b = min(a + BLOCK, m)
+        low, edge = low_of[a], min(low_of[b - 1], a)
+        step = x[a:b, None] - aim[low:a]
+        step *= step
+        step *= scale
+        step += cost[low:a]
+        if low == 0:  # ends within the overlap are no piece; other pieces than the first have less room
+            gain = x[a:b, None] - x[:a]
+            step[(gain <= 0) | (gain > room)] = np.inf
+        if edge > low:
+            step[:, : edge - low][places[low:edge] < lows[a:b, None]] = np.inf
+        top = step.argmin(1)
+        least, prev = step[places[: b - a], top].tolist(), (top + low).tolist()
+        done: list[float] = []
+        for i in range(a, b):
+            best, want = least[i - a], xs[i] - share
+            for j in range(max(a, low_of[i]), i):
+                g = want - xs[j]
+                c = done[j - a] + scale * g * g
+                if c < best:
+                    best, prev[i - a] = c, j
+            done.append(best + pen[i])
+        cost[a:b], back[a:b] = done, prev
+    path, i = [], m - 1
     while i > 0:
         path.append(i)
         i = int(back[i])
-    path.reverse()
+    return path[::-1]
+
+
+def cut(text: str, limit: int, overlap: int) -> list[tuple[int, int, str]]:
+    """(start, end, kind of the cut at its end) of each piece of an oversized text."""
+    pos, penalty, kind = boundaries(text, max(1, limit - overlap - HARD_STEP))
+    pos = np.concatenate([[0], pos, [len(text)]])
+    penalty, kind = np.concatenate([[0.0], penalty, [0.0]]), np.concatenate([[6], kind, [6]])
     out, start = [], 0
-    for i in path:
+    for i in cheapest(pos, penalty, limit, overlap):
         out.append((start, int(pos[i]), KINDS[kind[i]]))
         start = max(0, int(pos[i]) - overlap)
     return out
