@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -207,11 +208,21 @@ def test_ends_of_a_crowded_table(spark, pair_parts):
 def test_joined_ends_equal_single_ones(spark, pair_parts):
     model, ends = pair_parts
     rows = table(spark, "/root/testdata/sf0.01", "rag_response_df")
-    want = {(r.response_id, d) for r in rows.collect() if (d := pairs.defect_of(r.user_input, r.response, model, ends))}
+    own = Counter((r.user_input, r.response) for r in rows.collect() if pairs.first_defect(r.user_input, r.response, model) == pairs.OPEN)
+    want = {(r.response_id, d) for r in rows.collect() if (d := pairs.defect_of(r.user_input, r.response, model, ends, own=own[r.user_input, r.response]))}
     got = {tuple(r) for r in pairs.flag_pairs(rows, None, None, model).collect()}
     assert got == want and "truncated" in {d for _, d in got}
 
 
+@pytest.mark.parametrize("copies", [1, 2, 3, 4, 10, 50])
+def test_copies_of_a_cut_text_hide_nothing(spark, copies):
+    whole = [(n, Q, f"The healer keeps the best passages of the second part in the list {w}.", None) for n, w in enumerate("one two three four five six seven eight".split())]
+    cut = [(100 + n, Q, "The healer keeps the best passages of the second part in the l", None) for n in range(copies)]
+    df = spark.createDataFrame(whole + cut, "response_id bigint, user_input string, response string, reference string")
+    got = pairs.flag_pairs(df, None, None, pairs.fit_bayes([Q], ["en"])).collect()
+    assert sorted(tuple(r) for r in got) == [(100 + n, "truncated") for n in range(copies)]
+
+
 # ---- encoding
 
 

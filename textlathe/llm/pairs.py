@@ -74,6 +74,7 @@ COURTESIES = re.compile(
 )
 SENTENCES = re.compile(r"(?<=[.!?])[\"'”’)]*\s+|\n+")
 FENCED = re.compile(r"```.*?(?:```|$)|^\|.*$|https?://\S+|`[^`]*`", re.S | re.M)
+QUOTED = re.compile(r"[\"“][^\"”\n]*[\"”]|\([^()\n]*\)")
 INVISIBLE = re.compile("[​-‏‪-‮⁠-⁤﻿­]")
 MARKUP = re.compile(r"<[^<>]{0,80}>|```\w*|[*_#>`~|\[\](){}\"“”„«»]+")
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -250,26 +251,27 @@ def end_table(pairs: DataFrame) -> dict[int, tuple[int, int]]:
     return {r.h: (r.cont, r.fin) for r in end_counts(pairs).collect()}
 
 
-def end_likelihood(text: str, table: dict[int, tuple[int, int]]) -> float:
-    """Likelihood that a text ends here, by the longest context others have too."""
+def end_likelihood(text: str, table: dict[int, tuple[int, int]], own: int = 1) -> float:
+    """Likelihood that a text ends here, by the longest context others have too; `own` is
+    the number of rows with this very question and text, whose ends say nothing about it."""
     keys = end_keys(text)
     if not keys:
         return 1.0
     for h in keys:
         cont, fin = table.get(h, (0, 0))
-        fin = max(0, fin - 1)  # without the text itself
+        fin = max(0, fin - own)
         if cont + fin >= 2:
             return (fin + 0.1) / (cont + fin + 0.2)
     return 0.5
 
 
-def unlikely_ends(pairs: DataFrame, keys: DataFrame) -> DataFrame:
-    """(h0): the longest contexts of `keys` (a column of `end_keys`) after which no end is
-    likely, by the same rule as `end_likelihood`."""
-    asked = keys.select(F.col("keys")[0].alias("h0"), F.posexplode("keys").alias("k", "h")).distinct()
-    fin = F.greatest(F.col("fin") - 1, F.lit(0))
-    told = asked.join(end_counts(pairs, asked), "h").withColumn("n", F.col("cont") + fin).where("n >= 2")
-    return told.groupBy("h0").agg(F.min_by((fin + 0.1) / (F.col("n") + 0.2), "k").alias("like")).where(F.col("like") < END_LIKELY).select("h0")
+def unlikely_ends(pairs: DataFrame, asked: DataFrame) -> DataFrame:
+    """(text): those of `asked` (text, a hash of question and response; keys, a column of `end_keys`; own) after
+    which no end is likely, by the same rule as `end_likelihood`."""
+    one = asked.select("text", "own", F.posexplode("keys").alias("k", "h"))
+    fin = F.greatest(F.col("fin") - F.col("own"), F.lit(0))
+    told = one.join(end_counts(pairs, one.select("h").distinct()), "h").withColumn("n", F.col("cont") + fin).where("n >= 2")
+    return told.groupBy("text").agg(F.min_by((fin + 0.1) / (F.col("n") + 0.2), "k").alias("like")).where(F.col("like") < END_LIKELY).select("text")
 
 
 # ---- defects
@@ -287,7 +289,7 @@ def is_empty(response: str | None) -> bool:
     inner = re.sub(r"[<>\[\]{}()]", "", text).strip().casefold()
     if not re.search(r"\w", text):
         return True
-    return core in STAND_INS and len(text) < 40 and (core != "a" or text.rstrip().endswith(":")) or (not core and inner in STAND_INS)
+    return core in STAND_INS and (core != "a" or text.rstrip().endswith(":")) or (not core and inner in STAND_INS)
 
 
 def is_copy(question: str, response: str) -> bool:
@@ -336,7 +338,9 @@ def other_language(question: str, response: str, model: NaiveBayes, spoken=None)
     """The response's language if it is neither the question's nor one it asks for.
     `spoken` may tell a question's language from memory."""
     text = FENCED.sub(" ", response)
-    text = re.sub(r"[\"“][^\"”]{0,60}[\"”]|\([^()]{0,60}\)", " ", text)
+    plain = QUOTED.sub(" ", text)
+    if sum(map(len, LETTERS.findall(plain))) >= MIN_LETTERS:  # quoted and bracketed terms may be in any language
+        text = plain
     if min(sum(map(len, LETTERS.findall(x))) for x in (text, question)) < MIN_LETTERS:
         return None
     s = model.scores(text)
@@ -377,11 +381,11 @@ def first_defect(question: str | None, response: str | None, model: NaiveBayes,
     return {True: "truncated", False: None, None: OPEN}[is_cut(response)]
 
 
-def defect_of(question: str | None, response: str | None, model: NaiveBayes, table: dict[int, tuple[int, int]], spoken=None) -> str | None:
+def defect_of(question: str | None, response: str | None, model: NaiveBayes, table: dict[int, tuple[int, int]], spoken=None, own: int = 1) -> str | None:
     found = first_defect(question, response, model, spoken)
     if found != OPEN:
         return found
-    return "truncated" if end_likelihood(response, table) < END_LIKELY else None
+    return "truncated" if end_likelihood(response, table, own) < END_LIKELY else None
 
 
 def flag_pairs(pairs: DataFrame, lines: DataFrame, codes: DataFrame, model: NaiveBayes | None = None) -> DataFrame:
@@ -403,11 +407,12 @@ def flag_pairs(pairs: DataFrame, lines: DataFrame, codes: DataFrame, model: Naiv
         for frame in frames:
             found = [first_defect(q if isinstance(q, str) else None, r if isinstance(r, str) else None, model, spoken) for q, r in zip(frame["user_input"], frame["response"])]
             keys = [end_keys(r) if d == OPEN else None for d, r in zip(found, frame["response"])]
-            out = pd.DataFrame({"response_id": frame["response_id"], "defect": found, "keys": pd.Series(keys, frame.index, object)})
+            out = pd.DataFrame({"response_id": frame["response_id"], "defect": found, "text": frame["text"], "keys": pd.Series(keys, frame.index, object)})
             yield out[out["defect"].notna()]
 
     # the narrow rows are read for the contexts asked for and for the result
-    judged = cut_lineage(spread(picked).mapInPandas(run, "response_id bigint, defect string, keys array<bigint>"))
-    asked = judged.where((F.col("defect") == OPEN) & (F.size("keys") > 0)).select("response_id", "keys", F.col("keys")[0].alias("h0"))
-    cut = asked.join(unlikely_ends(pairs, asked), "h0", "left_semi")
+    judged = cut_lineage(spread(picked.withColumn("text", F.xxhash64("user_input", "response"))).mapInPandas(run, "response_id bigint, defect string, text bigint, keys array<bigint>"))
+    still = judged.where((F.col("defect") == OPEN) & (F.size("keys") > 0))
+    asked = still.groupBy("text").agg(F.count("*").alias("own"), F.first("keys").alias("keys"))
+    cut = still.select("response_id", "text").join(unlikely_ends(pairs, asked), "text", "left_semi")
     return judged.where(F.col("defect") != OPEN).select("response_id", "defect").unionByName(cut.select("response_id", F.lit("truncated").alias("defect")))
