@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textlathe.llm import bpe, fuse, langid, leaks, pairs, pii, split
+from textlathe.llm import bpe, fuse, langid, leaks, pairs, pii, refusals, split
 from textlathe.llm.batches import parts
 from textlathe.llm.boosting import BoostedTrees
 from textlathe.llm.pii_lines import write_lines
@@ -183,6 +183,38 @@ def test_defects(pair_parts, q, r, want):
     assert pairs.defect_of(q, r, *pair_parts) == want
 
 
+@pytest.mark.parametrize("r", ["That's a question best left to somebody else.", "My apologies, but this request goes against my guidelines.", "As an AI language model, this topic is off limits for me.", "Mi rincresce, non sono nella posizione di rispondere."])
+def test_refusals_in_other_turns(pair_parts, r):
+    assert pairs.defect_of(Q, r, *pair_parts) == "refusal"
+
+
+@pytest.fixture(scope="module")
+def plain_sentences(spark):
+    d = "/root/testdata/sf0.01"
+    texts = [r[0] for r in table(spark, d, "rag_response_df").select(F.explode(F.array("reference", "user_input"))).distinct().collect() if r[0]]
+    texts += [r.text for r in table(spark, d, "benchmark_df").where("text is not null").limit(2000).collect()]
+    out = sorted({p for t in texts for p in pairs.said_in(t)})
+    random.Random(0).shuffle(out)
+    return out
+
+
+def test_held_out_turns(plain_sentences):
+    """In each of six splits a quarter of all beginnings, ends and whole turns is held out,
+    and half of all other sentences."""
+    half, hit, tried, wrong = len(plain_sentences) // 2, 0, 0, 0
+    for seed in range(1, 7):
+        r, train, test = random.Random(seed), [], []
+        for begin, end, whole in refusals.TURNS.values():
+            a, b, c = ({*r.sample(x, len(x) // 4)} for x in (begin, end, whole))
+            train += [f"{x} {y}" for x in begin if x not in a for y in end if y not in b] + [x for x in whole if x not in c]
+            test += [f"{x} {y}" for x in a for y in b] + list(c)
+        model = refusals.fit_declining(plain_sentences[:half], train)
+        hit += sum(model(t) or bool(pairs.DECLINES.search(t)) for t in test)
+        wrong += sum(model(t) for t in plain_sentences[half:])
+        tried += len(test)
+    assert hit / tried >= 0.9 and wrong / (6 * half) < 0.005
+
+
 def test_no_pairs(spark):
     df = spark.createDataFrame([], "response_id bigint, user_input string, response string, reference string, defect string")
     assert pairs.flag_pairs(df, table(spark, SF, "benchmark_df"), table(spark, SF, "lang_code")).count() == 0

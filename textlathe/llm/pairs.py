@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import functools
 import re
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -18,11 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textlathe.llm.batches import parts
+from textlathe.llm.bayes import LETTERS, NaiveBayes, fit_bayes
+from textlathe.llm.refusals import fit_declining
 from textlathe.runtime import cut_lineage, spread
 
 #: Labelled lines the language model may be fitted on, own texts it is refitted with.
 SAMPLE, OWN = 8000, 4000
-GRAM_BUCKETS, ORDERS = 1 << 15, (28, 16, 8, 4)
+#: Labelled lines among the sentences that don't decline.
+OTHER_LINES = 3000
+ORDERS = (28, 16, 8, 4)
 #: 64-bit words of the filter that lets go of contexts nobody asks for before a shuffle.
 FILTER_WORDS = 1 << 21
 #: What a defect is called as long as only the likelihood of its end can tell.
@@ -77,7 +80,6 @@ FENCED = re.compile(r"```.*?(?:```|$)|^\|.*$|https?://\S+|`[^`]*`", re.S | re.M)
 QUOTED = re.compile(r"[\"“][^\"”\n]*[\"”]|\([^()\n]*\)")
 INVISIBLE = re.compile("[​-‏‪-‮⁠-⁤﻿­]")
 MARKUP = re.compile(r"<[^<>]{0,80}>|```\w*|[*_#>`~|\[\](){}\"“”„«»]+")
-LETTERS = re.compile(r"[^\W\d_]+")
 #: A text that ends on a sign that something must follow, or on a quote that opens.
 OPEN_END = re.compile(r"(?:[,;:(\[{=+&/–—]|(?:^|\s)[\"“„«‘'(*_]+|\s-)$")
 OPEN_ITEM = re.compile(r"(?:^|\n)\s*(?:[-*•>#]+|\d+[.)])\s*$")
@@ -91,39 +93,6 @@ def words_of(text: str) -> list[str]:
 # ---- languages
 
 
-def gram_ids(text: str) -> np.ndarray:
-    """Buckets of all character n-grams of one to four letters, words bounded by blanks."""
-    codes = np.frombuffer((" " + " ".join(LETTERS.findall(text.lower())) + " ").encode("utf-32-le"), np.uint32).astype(np.uint64)
-    out, h = [], np.zeros(len(codes), np.uint64)
-    for n in range(1, 5):
-        if len(codes) < n:
-            break
-        h = h[: len(codes) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + codes[n - 1 :] * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(n)
-        out.append(((h ^ (h >> np.uint64(29))) % np.uint64(GRAM_BUCKETS)).astype(np.int64))
-    return np.concatenate(out) if out else np.zeros(0, np.int64)
-
-
-@dataclass
-class NaiveBayes:
-    langs: list[str]
-    logs: np.ndarray
-
-    def scores(self, text: str) -> np.ndarray:
-        return self.logs[gram_ids(text)].sum(0)
-
-    def best(self, text: str) -> str:
-        return self.langs[int(self.scores(text).argmax())]
-
-
-def fit_bayes(texts: list[str], labels: list[str]) -> NaiveBayes:
-    langs = sorted(set(labels)) or ["en"]
-    place = {c: k for k, c in enumerate(langs)}
-    counts = np.full((GRAM_BUCKETS, len(langs)), 0.05)
-    for t, c in zip(texts, labels):
-        np.add.at(counts[:, place[c]], gram_ids(t), 1.0)
-    return NaiveBayes(langs, np.log(counts / counts.sum(0)).astype(np.float32))
-
-
 def fit_languages(lines: DataFrame, codes: DataFrame, pairs: DataFrame, sample: int = SAMPLE, own: int = OWN) -> NaiveBayes:
     """A model from at most `sample` labelled lines and `own` texts of the pairs.
 
@@ -136,13 +105,16 @@ def fit_languages(lines: DataFrame, codes: DataFrame, pairs: DataFrame, sample:
     first = fit_bayes([r.text for r in rows], [r.lang for r in rows])
     kept = [(r.text, r.lang) for r in rows if first.langs[int(first.scores(r.text).argmax())] == r.lang]
     texts = pairs.select(F.explode(F.array("user_input", "reference")).alias("t")).where("t is not null").groupBy("t").count()
-    told = []
+    told, own_texts = [], []
     for r in texts.orderBy(F.xxhash64("t")).limit(own).collect():
+        own_texts.append(r.t)
         s = np.sort(first.scores(r.t))
         if len(s) > 1 and s[-1] - s[-2] > LANGUAGE_MARGIN:
             told.append((r.t, first.langs[int(first.scores(r.t).argmax())]))
     both = kept + told * 2
-    return fit_bayes([t for t, _ in both], [c for _, c in both]) if both else first
+    model = fit_bayes([t for t, _ in both], [c for _, c in both]) if both else first
+    model.declining = fit_declining([p for t in [*own_texts, *[r.text for r in rows[:OTHER_LINES]]] for p in said_in(t)])
+    return model
 
 
 # ---- ends of texts
@@ -312,15 +284,20 @@ def is_copy(question: str, response: str) -> bool:
     return prev[-1] >= 0.75 * len(target) and prev[-1] >= len(r) - max(2, 0.2 * len(r))
 
 
-def is_refusal(question: str, response: str) -> bool:
-    """At least one sentence declines, and no other is more than courtesy or the question."""
-    said = [p for p in (re.sub(r"^\W+", "", bare(s)) for s in SENTENCES.split(response)) if re.search(r"\w", p)]
+def said_in(text: str) -> list[str]:
+    return [p for p in (re.sub(r"^\W+", "", bare(s)) for s in SENTENCES.split(text)) if re.search(r"\w", p)]
+
+
+def is_refusal(question: str, response: str, declining=None) -> bool:
+    """At least one sentence declines, and no other is more than courtesy or the question.
+    A sentence declines by its turn, or by the fitted model of such sentences."""
+    said = said_in(response)
     asked = words_of(question)
     declined = False
     for p in said:
         if words_of(p) and " ".join(words_of(p)) in " ".join(asked):
             continue
-        if DECLINES.search(p):
+        if DECLINES.search(p) or (not COURTESIES.match(p) and declining and declining(p)):
             if re.search(r"[“\"][^”\"]*$|\b(?:but|yet|aber|mais|pero)\b(?!\s+(?:i|this|it|there|we|das|ich|je|no)\b)", p, re.I) and not re.match(r"(?:i['’]m\s+)?sorry|unfortunately|thanks?|désolé|lo siento|tut mir", p, re.I):
                 return False
             declined = True
@@ -374,7 +351,7 @@ def first_defect(question: str | None, response: str | None, model: NaiveBayes,
         return "empty"
     if is_copy(question, response):
         return "copied_question"
-    if is_refusal(question, response):
+    if is_refusal(question, response, model.declining):
         return "refusal"
     if other_language(question, response, model, spoken):
         return "other_language"
