@@ -387,6 +387,16 @@ def test_collapsed_kernel_equals_kernel():
     assert [m.langs[k] for k in m.scores([" ein anderes haus ", " another house "]).argmax(1)] == ["de", "en"]
 
 
+@pytest.mark.parametrize("text, want", [
+    ("“Das Haus ist gross und alt.” This is a house.", ["das haus ist gross und alt", "this is a house"]),
+    ("“Das Haus ist gross und alt und es steht dort schon seit vielen langen Jahren.” This is a house.", ["das haus ist gross und alt und es steht dort schon seit vielen langen jahren", "this is a house"]),
+    ('The word "Haus" is here.', ["the word is here"]), ('"LoRA" is a method.', ["is a method"]), ("(Das ist so.)", ["das ist so"]), ('a "b c" "d e" f', ["a f"]),
+    ('He said "nein und nochmals nein, das will ich nicht und das werde ich auch nicht tun, niemals" and left.', ["he said and left"]), ("Il a lu (prompt engineering)! Oui.", ["il a lu", "oui"]), ("[laughter] 12 x", []),
+])
+def test_terms_and_quoted_sentences(text, want):
+    assert [s.strip() for s in langid.sentences(text)] == want
+
+
 def test_segments(spark, kernel):
     mixed = "The whole committee measured all of the subtitles. This careful reader checked it.\nDiese sorgfältige Prüferin misst die Liste (prompt engineering)! / Le nouvel assistant vérifie les résultats [laughter] https://x.example/1"
     rows = [(1, mixed, "en", "x"), (2, None, "en", "x"), (3, "— 12 [3]", None, "x"), (4, "", "en", "x"), (5, "Le petit modèle ne lit jamais cette question étrange. " * 300, "fr", "x"), (6, "Il mio vicino ha spiegato quella strana domanda.", "en", "x"), (6, "Il mio vicino ha spiegato quella strana domanda.", "en", "x")]

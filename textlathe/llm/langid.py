@@ -10,6 +10,7 @@ sentences are joined to segments by the best path under a price for each change.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections import Counter
 from dataclasses import dataclass
@@ -30,23 +31,49 @@ LONGEST_GRAM = 4
 SWITCH_PRICE = 1.0
 CHUNK = 4000
 
-NOISE = re.compile(
-    r"""<[^<>]{0,200}>|\[[^\[\]]*\]|https?://\S+|www\.\S+|\S+@\S+|[@#]\w+|`[^`]*`
-    |["“„«][^"“”„«»\n]{0,60}["”»]|\([^()\n]{0,60}\)|&\w+;""",
-    re.X,
-)
+NOISE = re.compile(r"<[^<>]*>|\[[^\[\]]*\]|https?://\S+|www\.\S+|\S+@\S+|[@#]\w+|`[^`]*`|&\w+;")
+#: Quoted or bracketed stretches of one line; a term if it stands inside a sentence.
+QUOTED = re.compile(r"[\"“„«][^\"“”„«»\n]*[\"”»]|\([^()\n]*\)")
+SENTENCE_END = re.compile(r"[.!?…][\"'”’»)\]]*(?=\s|$)|[\r\n\v\f\x85\u2028\u2029]|\s[/|–—-]+\s")
+INNER_END = re.compile(r"[.!?…]\s+\S")
 SPLIT = re.compile(r"(?<=[.!?…])[\"'”’»)\]]*\s+|\s*[\r\n\v\f\x85\u2028\u2029]+\s*|\s+[/|–—-]+\s+|(?<=[.!?…])\s*[/|–—]\s*")
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
+def without_terms(text: str) -> str:
+    """The text without quoted and bracketed terms inside its sentences.
+
+    A stretch is inside a sentence if words of the same sentence stand before it, or, if
+    it doesn't end like a sentence itself, after it. One that holds the end of a sentence
+    and more behind it is no term, nor is one that is all that its sentence has.
+    """
+    if not QUOTED.search(text):
+        return text
+    ends = [m.end() for m in SENTENCE_END.finditer(text)] + [len(text)]
+    out, at, led = [], 0, -1
+    for m in QUOTED.finditer(text):
+        a, b = m.span()
+        if INNER_END.search(text, a + 1, b - 1):
+            continue
+        k = bisect.bisect_right(ends, a)
+        begin, end = ends[k - 1] if k else 0, ends[min(bisect.bisect_left(ends, b), len(ends) - 1)]
+        if LETTERS.search(text, max(begin, at), a):
+            led = begin
+        closed = text[b - 2] in ".!?…"
+        if led == begin or (not closed and LETTERS.search(QUOTED.sub(" ", text[b:end]))):
+            out.append(text[at:a])
+            at = b
+    return " ".join([*out, text[at:]])
+
+
 def sentences(text: str) -> list[str]:
     """Whole sentences and fragments that have words, as runs of letters and blanks.
 
-    Markup, links, handles, notes in square brackets, quoted or bracketed terms and
-    numbers are no words.
+    Markup, links, handles, notes in square brackets, quoted or bracketed terms inside a
+    sentence and numbers are no words; a single letter alone is none either.
     """
     out = []
-    for part in SPLIT.split(NOISE.sub(" ", text)):
+    for part in SPLIT.split(without_terms(NOISE.sub(" ", text))):
         found = LETTERS.findall(part.lower()) if part else []
         if found and sum(map(len, found)) > 1:
             out.append(" " + " ".join(found) + " ")
