@@ -23,6 +23,8 @@ from textlathe.runtime import cut_lineage, spread
 
 #: Labelled lines the language model may be fitted on, own texts it is refitted with.
 SAMPLE, OWN = 8000, 4000
+#: Length of lines and texts that the models may be fitted on.
+FIT_CHARS = 4_000
 #: Labelled lines among the sentences that don't decline.
 OTHER_LINES = 3000
 ORDERS = (28, 16, 8, 4)
@@ -100,11 +102,11 @@ def fit_languages(lines: DataFrame, codes: DataFrame, pairs: DataFrame, sample:
     `codes`. Wrong labels are outvoted: the lines are relabelled once by a first fit.
     """
     one = codes.where("code is not null and lang is not null").groupBy("code").agg(F.min("lang").alias("lang"))
-    labelled = lines.select(F.col("label").alias("code"), "text").where("text is not null").join(F.broadcast(one), "code")
+    labelled = lines.select(F.col("label").alias("code"), "text").where(F.length("text") <= FIT_CHARS).join(F.broadcast(one), "code")
     rows = labelled.orderBy(F.xxhash64("text"), "lang").limit(sample).collect()
     first = fit_bayes([r.text for r in rows], [r.lang for r in rows])
     kept = [(r.text, r.lang) for r in rows if first.langs[int(first.scores(r.text).argmax())] == r.lang]
-    texts = pairs.select(F.explode(F.array("user_input", "reference")).alias("t")).where("t is not null").groupBy("t").count()
+    texts = pairs.select(F.explode(F.array("user_input", "reference")).alias("t")).where(F.length("t") <= FIT_CHARS).groupBy("t").count()
     told, own_texts = [], []
     for r in texts.orderBy(F.xxhash64("t")).limit(own).collect():
         own_texts.append(r.t)
