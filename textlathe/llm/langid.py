@@ -25,6 +25,8 @@ from textlathe.runtime import spread
 
 #: Labelled lines the classifier may be fitted on, landmarks, n-gram buckets, ridge.
 SAMPLE, LANDMARKS, BUCKETS, RIDGE, SEED = 9_000, 600, 1 << 16, 1e-3, 5
+#: Length of lines that may be in the sample.
+FIT_CHARS = 4_000
 #: A sentence counts as often as it occurs in the sample, up to this; labels less likely than this are wrong.
 MOST_WEIGHT, LEAST_LIKELY = 25, 0.05
 LONGEST_GRAM = 4
@@ -121,9 +123,16 @@ class KernelModel:
 
 
 def rows_times(buckets: np.ndarray, begin: np.ndarray, block: np.ndarray, row_of: np.ndarray) -> np.ndarray:
-    """Normalised presence rows times a dense block; `row_of` gives a bucket's row in it."""
+    """Normalised presence rows times a dense block; `row_of` gives a bucket's row in it,
+    the last one for buckets without. Only rows that the batch has enter the product."""
     size = np.diff(np.append(begin, len(buckets)))
-    return np.add.reduceat(block[row_of[buckets]], begin, axis=0) / np.sqrt(size).astype(np.float32)[:, None]
+    owner, place = np.repeat(np.arange(len(begin)), size), row_of[buckets]
+    has = place < len(block) - 1
+    owner, place = owner[has], place[has]
+    used, column = np.unique(place, return_inverse=True)
+    rows = np.zeros((len(begin), len(used)), np.float32)
+    rows[owner, column] = (1 / np.sqrt(size)).astype(np.float32)[owner]
+    return rows @ block[used]
 
 
 def fit_kernel(texts: list[str], labels: list[str], weights: np.ndarray | None = None, landmarks: int = LANDMARKS) -> KernelModel:
@@ -150,7 +159,7 @@ def fit_kernel(texts: list[str], labels: list[str], weights: np.ndarray | None =
     value, vector = np.linalg.eigh(kernel.astype(np.float64))
     good = value > 1e-6 * value.max()
     root = (vector[:, good] / np.sqrt(value[good])).astype(np.float32)
-    features = np.concatenate([rows_times(*presences(texts[at : at + 100]), dense, row_of) @ root for at in range(0, len(texts), 100)])
+    features = np.concatenate([rows_times(*presences(texts[at : at + 200]), dense, row_of) @ root for at in range(0, len(texts), 200)])
     held = np.arange(len(texts)) % 5 == 0
     target = np.eye(len(langs))[y]
 
@@ -180,11 +189,13 @@ def one_language(codes: DataFrame) -> DataFrame:
 def fit_lines(lines: DataFrame, codes: DataFrame, sample: int = SAMPLE) -> KernelModel:
     """Fit on at most `sample` labelled lines, taken in order of a hash of their text.
 
-    A label stands for a language by its exact spelling in `codes`. Wrong labels and
-    lines in several languages are outvoted: a sentence takes its most frequent label,
-    and a first fit sorts out labels that it finds unlikely before the second.
+    Only lines of up to `FIT_CHARS` characters are taken, so the sample is bounded in
+    bytes too. A label stands for a language by its exact spelling in `codes`. Wrong
+    labels and lines in several languages are outvoted: a sentence takes its most
+    frequent label, and a first fit sorts out labels that it finds unlikely before the
+    second.
     """
-    labelled = lines.select(F.col("label").alias("code"), "text").where("text is not null").join(F.broadcast(one_language(codes)), "code")
+    labelled = lines.select(F.col("label").alias("code"), "text").where(F.length("text") <= FIT_CHARS).join(F.broadcast(one_language(codes)), "code")
     rows = labelled.orderBy(F.xxhash64("text"), "lang").limit(sample).collect()
     votes: dict[str, Counter] = {}
     for r in rows:
