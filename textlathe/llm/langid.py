@@ -231,7 +231,7 @@ def best_path(logs: np.ndarray, price: float = SWITCH_PRICE) -> np.ndarray:
 
 
 def segment_lines(lines: DataFrame, model: KernelModel, id_col: str = "row_id", text_col: str = "text", keep: str | None = None) -> DataFrame:
-    """(id, seg_no, n_segments, lang, confidence, words) for each segment of each text,
+    """(id, seg_no, n_segments, lang, confidence) for each segment of each text,
     with the string column `keep` carried along if it is named.
 
     Segments are the longest runs of sentences in one language, numbered from 1; the
@@ -249,23 +249,28 @@ def segment_lines(lines: DataFrame, model: KernelModel, id_col: str = "row_id",
             for rows in parts(frame["t"].tolist(), CHUNK):
                 ids = list(zip(frame[id_col].iloc[rows].tolist(), frame["k"].iloc[rows].tolist()))
                 cut = [sentences(t) for t in frame["t"].iloc[rows]]
-                flat = [s for p in cut for s in p]
-                distinct = {s: n for n, s in enumerate(dict.fromkeys(flat))}
+                distinct = {s: n for n, s in enumerate(dict.fromkeys(s for p in cut for s in p))}
                 texts = list(distinct)
-                logs = np.concatenate([model.logs(texts[p]) for p in parts(texts, CHUNK)]) if texts else None
+                logs = np.concatenate([model.logs(texts[p]) for p in parts(texts, CHUNK)]) if texts else np.zeros((0, 1))
+                top, most = logs.argmax(1).tolist(), np.exp(logs.max(1)).tolist() if texts else []
                 out = []
                 for (row, k), p in zip(ids, cut):
                     if not p:
                         continue
-                    own = logs[[distinct[s] for s in p]]
+                    at = [distinct[s] for s in p]
+                    first = top[at[0]]
+                    if all(top[n] == first for n in at):  # the likeliest of each sentence, and no change to pay for
+                        out.append((row, 1, 1, model.langs[first], sum(most[n] for n in at) / len(at), k))
+                        continue
+                    own = logs[at]
                     path = best_path(own)
                     sure = np.exp(own[np.arange(len(p)), path])
                     cuts = [0, *(np.flatnonzero(path[1:] != path[:-1]) + 1).tolist(), len(p)]
                     for no, (a, b) in enumerate(zip(cuts, cuts[1:]), 1):
-                        out.append((row, no, len(cuts) - 1, model.langs[path[a]], float(sure[a:b].mean()), "".join(p[a:b]).strip(), k))
-                yield pd.DataFrame(out, columns=[id_col, "seg_no", "n_segments", "lang", "confidence", "words", "k"])
+                        out.append((row, no, len(cuts) - 1, model.langs[path[a]], float(sure[a:b].mean()), k))
+                yield pd.DataFrame(out, columns=[id_col, "seg_no", "n_segments", "lang", "confidence", "k"])
 
-    done = spread(picked).mapInPandas(run, f"{id_col} bigint, seg_no int, n_segments int, lang string, confidence double, words string, k string")
+    done = spread(picked).mapInPandas(run, f"{id_col} bigint, seg_no int, n_segments int, lang string, confidence double, k string")
     return done.withColumnRenamed("k", keep) if keep else done.drop("k")
 
 
