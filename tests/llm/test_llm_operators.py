@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textlathe.llm import bpe, fuse, langid, leaks, pairs, pii, refusals, split
+from textlathe.llm import bpe, fuse, langid, leaks, pairs, pii, pii_lines, refusals, split
 from textlathe.llm.batches import parts
 from textlathe.llm.boosting import BoostedTrees
 from textlathe.llm.pii_lines import write_lines
@@ -349,6 +349,38 @@ def test_held_out_lines(models):
     assert hit / sum(len(g) for _, g in lines) > 0.97 and hit / max(1, sum(map(len, found))) > 0.97
 
 
+def test_held_out_frames(spark):
+    """Trees fitted on one half of the frames and of the cues, tried on the other half's lines."""
+    names = table(spark, SF, "name_list")
+    hit, found, true = Counter(), Counter(), Counter()
+    for seed in range(4):
+        r = random.Random(seed)
+        f, b, cf, cb = (r.sample(x, len(x)) for x in (pii_lines.FRAMES, pii_lines.BLANKS, pii_lines.cue_frames(), pii_lines.cue_blanks()))
+        m = pii.fit_models(names, frames=f[: len(f) // 2] * 6 + cf[: len(cf) // 2], blanks=b[: len(b) // 2] * 6 + cb[: len(cb) // 2])
+        lines = list(write_lines(sorted(m.given), sorted(m.family), 1000, seed=99, frames=f[len(f) // 2 :], blanks=b[len(b) // 2 :]))
+        for got, (_, gold) in zip(pii.spans_of([t for t, _ in lines], m), lines):
+            hit.update(k for k, *_ in set(got) & gold)
+            found.update(k for k, *_ in got)
+            true.update(k for k, *_ in gold)
+    for k in pii.TYPES:
+        assert hit[k] / true[k] >= 0.9 and hit[k] / found[k] >= 0.9, (k, hit[k], found[k], true[k])
+
+
+def test_whole_spans(models):
+    """Spans come whole, however long, and addresses in forms that no frame has."""
+    local = "a" * 80 + "." + "b" * 70
+    host = ".".join(["part" * 10] * 5) + ".example"
+    name = " ".join(["Anira"] + ["von"] * 40 + ["Brolund"])
+    for text, kind, want in [
+        (f"Mail to {local}@{host}.", "email", f"{local}@{host}"), ("Write to anna(dot)smith(at)mail(dot)com please.", "email", "anna(dot)smith(at)mail(dot)com"), ("Mail to anna.smith at mail dot example dot com.", "email", "anna.smith at mail dot example dot com"),
+        ("Mail to anna {at} mail.example.com.", "email", "anna {at} mail.example.com"), ("Adresse: 12 Kungsgatan, 11143 Stockholm", "address", "12 Kungsgatan, 11143 Stockholm"),
+        ("Address: PO Box 77, Leeds LS1 4AP", "address", "PO Box 77, Leeds LS1 4AP"), ("We shipped it to 5 Baker Mews, London NW1 6XE.", "address", "5 Baker Mews, London NW1 6XE"),
+    ]:
+        assert (kind, want) in {(k, text[a:b]) for k, a, b in pii.spans_of([text], models)[0]}, text
+    text = "Contact: " + name
+    assert pii.name_run(text, 9)[-1][1] == len(text)
+
+
 def test_redaction(spark, models):
     text = "Contact: Dr. Vasseldorp, pelvin.fitzorwell@mail.example.net\nThe Hartovel dataset, ISBN 000-0-220-6278-2."
     df = spark.createDataFrame([(1, text, "n"), (1, text, "n"), (2, None, "n"), (3, "", "n")], "doc_id bigint, text string, pii_type string")
