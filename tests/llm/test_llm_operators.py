@@ -329,6 +329,40 @@ def test_leaks_equal_brute_force(spark):
     assert leaks.find_leaks(df, none).count() == 0
 
 
+def test_planted_paraphrases(spark):
+    """Queries with words replaced by new ones and others put in; strangers give no row."""
+    ev = table(spark, SF, "eval_item")
+    r, docs, want = random.Random(9), [], set()
+    new = lambda: "".join(r.choices("bdfgklmnprstvz", k=3)) + r.choice("aeiou") + "xq"
+    it = leaks.prepare(ev.select("item_id", "query", "source_text").orderBy("item_id").collect())
+    words = list(it.vocab)
+    for n in range(0, len(it.ids), 2):
+        said, keys = [words[k] for k in it.queries[n]], {words[k] for k in it.keys[n]}
+        free = [k for k, w in enumerate(said) if w not in keys]
+        for k in r.sample(free, min(len(free), len(said) // 5)):
+            said[k] = new()
+        for _ in range(2):
+            said.insert(r.randrange(len(said)), new())
+        docs.append((n, " ".join([*(new() for _ in range(40)), *said, *(new() for _ in range(40))])))
+        want.add((n, int(it.ids[n])))
+    docs += [(1000 + n, " ".join(r.choices(words, k=200))) for n in range(60)]
+    got = {(x.doc_id, x.item_id) for x in leaks.find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), ev).where("kind = 'paraphrase'").collect()}
+    assert len(got & want) / len(want) >= 0.9 and len(got & want) / len(got) >= 0.9
+
+
+def test_one_word_query_keeps_no_other_runs():
+    from types import SimpleNamespace as Row
+
+    it = leaks.prepare([Row(item_id=1, query="zebra", source_text="one two three four five six seven eight nine ten eleven twelve thirteen"), Row(item_id=2, query="four five six", source_text="")])
+    assert it.shortest == 1 and (it.anchor < leaks.RUN).sum() == 2
+
+
+def test_hyphens_joined_and_apart_in_one_text(spark):
+    ev = spark.createDataFrame([(1, "despite well known limits the careful reader checks", None)], "item_id bigint, query string, source_text string")
+    df = spark.createDataFrame([(1, "So des-\npite well-\nknown limits the careful reader checks.")], "doc_id bigint, text string")
+    assert [tuple(r) for r in leaks.find_leaks(df, ev).collect()] == [(1, 1, "query")]
+
+
 def test_hyphenated_line_ends_and_links():
     assert ["despite", "careful"] in leaks.readings("des-\npite careful")
     assert leaks.words("[a word](https://x.example/y) &amp; <i>more</i>") == ["a", "word", "more"]

@@ -54,7 +54,7 @@ def p6_decoded(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
-    return p7_leaks(spark, sf).where("kind != 'paraphrase'").select("doc_id", "item_id")
+    return leaks.find_leaks(table(spark, sf, "documents"), table(spark, sf, "eval_item"), paraphrases=False).select("doc_id", "item_id")
 
 
 def p7_leaks(spark: SparkSession, sf: str) -> DataFrame:
