@@ -67,6 +67,42 @@ def test_fill_counts_all_votes_of_a_large_group(spark):
     assert out.x == 1.0 and out.x_fill == "group" and out.x_confidence > 0.99
 
 
+def test_masked_values_come_back(spark):
+    """A tenth of the stated values is hidden: nearly all come back where records of the
+    release state one. Elsewhere parameter counts follow from the sizes in names; scores
+    hang on nothing else in these records, so a guess is about as good as their median."""
+    import numpy as np
+
+    from textlathe.operators.records import FIELDS, with_releases
+
+    rows = with_releases(spark.read.parquet("/root/testdata/sf0.1/param_estimation.parquet")).toPandas()
+    rng = np.random.default_rng(4)
+    hidden = {c: rows[c].notna() & (rng.random(len(rows)) < 0.1) for c in FIELDS}
+    told = {c: rows[c].copy() for c in FIELDS}
+    for c in FIELDS:
+        rows.loc[hidden[c], c] = np.nan
+    df = spark.createDataFrame(rows.astype(object).where(rows.notna(), None), "record_id bigint, release string, totalParams double, mmlu_pro double, intelligenceIndex double, maker string, origin string, size string, variant string, quarter string")
+    got = I.fill_missing(df, "record_id", "release", list(FIELDS), ["maker", "size", "variant", "quarter"]).toPandas().set_index("record_id")
+    for c in FIELDS:
+        at, truth = rows["record_id"][hidden[c]], told[c][hidden[c]].to_numpy()
+        filled, how = got.loc[at, c].to_numpy(float), got.loc[at, f"{c}_fill"].to_numpy()
+        off = np.abs(filled / truth - 1)
+        middle = np.abs(np.nanmedian(rows[c].astype(float)) / truth - 1)
+        print(c, "group", (how == "group").sum(), (off[how == "group"] <= 0.1).mean(), np.median(off[how == "group"]), "tree", (how == "tree").sum(), np.median(off[how == "tree"]), np.median(middle[how == "tree"]))
+        assert (off[how == "group"] <= 0.1).mean() >= 0.85, (c, (off[how == "group"] <= 0.1).mean())
+        assert np.median(off[how == "tree"]) < np.median(middle[how == "tree"]) * (0.1 if c == "totalParams" else 1.25), c
+
+
+def test_levels_beyond_the_tree_are_filled(spark):
+    """Of the levels that share a state, the most frequent can be the mode; a group's own
+    level comes back however rare it is."""
+    rows = [(n, f"g{n}", float(n % 4), "common" if n % 4 < 2 else ("rare a" if n % 8 < 7 else f"rare {n}")) for n in range(400)]
+    rows += [(1000, "x", 3.0, None), (1001, "y", 0.0, None), (1002, "z", 0.0, "only here"), (1003, "z", 0.0, None), (1004, None, 0.0, None)]
+    model = I.fit_tree(spark.createDataFrame(rows, "id bigint, g string, x double, c string"), ["x"], ["c"], levels=1)
+    got = {r.id: (r.c, r.c_fill) for r in I.fill_missing(spark.createDataFrame(rows, "id bigint, g string, x double, c string"), "id", "g", ["x"], ["c"], model).where("id >= 1000").collect()}
+    assert got == {1000: ("rare a", "tree"), 1001: ("common", "tree"), 1002: ("only here", None), 1003: ("only here", "group"), 1004: ("common", "tree")}
+
+
 def test_statistics(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 3.0), ("a", None), ("b", 5.0)], "g string, v double")
     d = {r.g: r for r in A.describe(df, ["g"], ["v"]).collect()}

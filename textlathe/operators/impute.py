@@ -1,7 +1,8 @@
 """Filling missing fields by message passing over a Chow-Liu tree.
 
 Numeric fields are cut into quantile bins, categorical ones keep their most frequent
-levels (rarer ones share a level for the statistics only). Pair counts over all rows
+levels; rarer ones share a state, within which they are as likely as they are frequent.
+Pair counts over all rows
 give mutual informations, whose maximum spanning tree is the model. For a record with
 missing fields, its observed fields and what records of the same group say about a
 missing field enter as evidence; one sweep up and one down the tree give every missing
@@ -32,6 +33,8 @@ class TreeModel:
     edges: dict[str, list[float]] = field(default_factory=dict)
     medians: dict[str, list[float]] = field(default_factory=dict)
     levels: dict[str, list[str]] = field(default_factory=dict)
+    #: For each categorical field its most frequent rarer level, and that one's share of them.
+    rarer: dict[str, tuple[str, float]] = field(default_factory=dict)
     order: list[int] = field(default_factory=list)
     parent: list[int] = field(default_factory=list)
     root: np.ndarray | None = None
@@ -81,10 +84,15 @@ def fit_tree(df: DataFrame, numeric: list[str], categorical: list[str], bins: in
             df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in categorical])).alias("x"))
             .where("x.v is not null").groupBy("x.c", "x.v").count()
         )
-        # counted values only are ordered; at most `levels` rows of each column reach the driver
+        # counted values only are ordered; at most `levels` + 1 rows of each column reach the driver
         place = F.row_number().over(Window.partitionBy("c").orderBy(F.desc("count"), "v"))
-        for r in ranked.withColumn("n", place).where(F.col("n") <= levels).orderBy("c", "n").collect():
-            model.levels[r.c].append(r.v)
+        totals = {r.c: r.n for r in ranked.groupBy("c").agg(F.sum("count").alias("n")).collect()}
+        for r in ranked.withColumn("n", place).where(F.col("n") <= levels + 1).orderBy("c", "n").collect():
+            if r.n <= levels:
+                model.levels[r.c].append(r.v)
+                totals[r.c] -= r["count"]
+            else:
+                model.rarer[r.c] = (r.v, r["count"] / totals[r.c])
     if numeric:
         mid = [
             F.percentile_approx(F.when(bin_of(F.col(c), model.edges[c]) == b, F.col(c)), 0.5, 10_000).alias(f"{c}|{b}")
@@ -146,17 +154,26 @@ def posteriors(model: TreeModel, evidence: list[np.ndarray]) -> list[np.ndarray]
 
 
 def group_evidence(df: DataFrame, model: TreeModel, group: str) -> DataFrame:
-    """For each group and numeric field, its bins with counts and medians.
+    """For each group, as parallel arrays, the states of its fields (`pos`, numbered
+    through all fields), their counts, and each one's median or most frequent value.
 
-    Aggregated first by (group, field, bin), with partial sums before the shuffle, so a
-    group that holds a third of all rows still gives a few rows.
+    `df` has the state columns of `coded`. Rows are aggregated by (group, field, state,
+    value) first, with partial sums before the shuffle, so a group that holds a third of
+    all rows still gives no more rows than its fields have states.
     """
-    fields = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), bin_of(F.col(c), model.edges[c]).alias("b"), F.col(c).alias("v")) for k, c in enumerate(model.numeric)]))
-    return (
-        df.where(F.col(group).isNotNull()).select(group, fields.alias("x")).where("x.v is not null")
-        .groupBy(group, "x.k", "x.b").agg(F.count("*").alias("n"), F.percentile_approx("x.v", 0.5, 1000).alias("m"))
-        .groupBy(group).agg(F.collect_list(F.struct("k", "b", "n", "m")).alias("mates"))
+    entries, at = [], 0
+    for k, c in enumerate(model.nodes):
+        number = F.col(c) if c in model.numeric else F.lit(None).cast("double")
+        text = F.lit(None).cast("string") if c in model.numeric else F.col(c)
+        entries.append(F.struct((F.lit(at) + F.col(f"s{k}")).alias("pos"), number.alias("v"), text.alias("t")))
+        at += model.states(c)
+    counted = (
+        df.where(F.col(group).isNotNull()).select(group, F.explode(F.array(*entries)).alias("x")).where("x.pos is not null")
+        .groupBy(group, "x.pos", "x.t").agg(F.count("*").alias("n"), F.percentile_approx("x.v", 0.5, 1000).alias("m"))
+        .groupBy(group, "pos").agg(F.sum("n").alias("n"), F.max("m").alias("m"), F.max_by("t", F.struct("n", "t")).alias("t"))
     )
+    mates = F.collect_list(F.struct("pos", "n", "m", "t"))
+    return counted.groupBy(group).agg(mates.alias("mates")).select(group, *[F.col(f"mates.{c}").alias(f"mates_{c}") for c in ("pos", "n", "m", "t")])
 
 
 def fill_missing(df: DataFrame, row_id: str, group: str, numeric: list[str], categorical: list[str], model: TreeModel | None = None) -> DataFrame:
@@ -173,7 +190,8 @@ def fill_missing(df: DataFrame, row_id: str, group: str, numeric: list[str], cat
     # the narrow rows are read for every statistic of the tree: worked out and written once
     picked = cut_lineage(picked.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in numeric}))
     model = model or fit_tree(picked, numeric, categorical)
-    states = coded(picked, model).join(group_evidence(picked, model, group), group, "left")
+    stated = coded(picked, model)
+    states = stated.join(group_evidence(stated, model, group), group, "left")
     names = model.nodes
     schema = T.StructType([T.StructField(row_id, picked.schema[row_id].dataType), T.StructField(group, picked.schema[group].dataType)])
     for c in names:
@@ -194,57 +212,54 @@ def fill_missing(df: DataFrame, row_id: str, group: str, numeric: list[str], cat
 
 def filled_batch(frame: pd.DataFrame, model: TreeModel, row_id: str, group: str) -> pd.DataFrame:
     n, names = len(frame), model.nodes
-    evidence, missing, votes, mids = [], [], {}, {}
+    sizes = [model.states(c) for c in names]
+    ends = np.cumsum([0, *sizes])
+    votes, mids, texts = np.zeros((n, ends[-1])), np.full((n, ends[-1]), np.nan), np.full((n, ends[-1]), None, object)
+    has = np.array([p is not None for p in frame["mates_pos"]], bool)
+    if has.any():
+        flat = lambda c: np.concatenate([np.asarray(x, object if c == "t" else float) for x in frame[f"mates_{c}"][has]])
+        rows = np.repeat(np.flatnonzero(has), [len(p) for p in frame["mates_pos"][has]])
+        pos = flat("pos").astype(int)
+        votes[rows, pos], mids[rows, pos], texts[rows, pos] = flat("n"), flat("m"), flat("t")
+    evidence, missing = [], []
     for k, c in enumerate(names):
-        size = model.states(c)
         state = frame[f"s{k}"].to_numpy(dtype=float, na_value=np.nan)
         gone = np.isnan(state)
-        e = np.ones((n, size))
+        e = np.ones((n, sizes[k]))
         e[~gone] = 1e-9
         e[np.flatnonzero(~gone), state[~gone].astype(int)] = 1.0
+        v = votes[:, ends[k] : ends[k + 1]]
+        told = gone & (v.sum(1) > 0)
+        # a group member's state is right but for an error spread over the other states
+        e[told] = np.exp((v - v.max(1, keepdims=True)) * np.log(20.0))[told]
         evidence.append(e)
         missing.append(gone)
-        if c in model.numeric:
-            votes[k], mids[k] = np.zeros((n, size)), np.full((n, size), np.nan)
-    for r, mates in enumerate(frame["mates"]):
-        if mates is not None:
-            for m in mates:
-                k, b, count, mid = (m["k"], m["b"], m["n"], m["m"]) if isinstance(m, dict) else (m[0], m[1], m[2], m[3])
-                votes[k][r, b], mids[k][r, b] = count, mid
-    for k, v in votes.items():
-        total = v.sum(1, keepdims=True)
-        told = missing[k] & (total[:, 0] > 0)
-        # a group member's bin is right but for an error spread over the other bins
-        evidence[k][told] = np.exp((v - v.max(1, keepdims=True)) * np.log(20.0))[told]
     post = posteriors(model, evidence)
     out = {row_id: frame[row_id], group: frame[group]}
+    every = np.arange(n)
     for k, c in enumerate(names):
-        p, gone = post[k], missing[k]
+        p, gone, part = post[k], missing[k], slice(ends[k], ends[k + 1])
+        v = votes[:, part]
+        told = gone & (v.sum(1) > 0)
+        alone = gone & ~told
         fill, sure = np.full(n, None, object), np.full(n, np.nan)
+        among = np.where(v > 0, p, -1.0).argmax(1)
         if c in model.numeric:
             value = frame[c].to_numpy(dtype=float, na_value=np.nan).copy()
-            told = gone & (votes[k].sum(1) > 0)
-            if told.any():
-                among = np.where(votes[k] > 0, p, -1.0)
-                best = among.argmax(1)
-                value[told] = mids[k][np.arange(n), best][told]
-                sure[told] = p[np.arange(n), best][told]
-                fill[told] = "group"
-            alone = gone & ~told
-            best = p.argmax(1)
-            value[alone] = np.array(model.medians[c])[best][alone]
+            value[told] = mids[:, part][every, among][told]
+            value[alone] = np.array(model.medians[c])[p.argmax(1)][alone]
             sure[alone] = p.max(1)[alone]
-            fill[alone] = "tree"
-            out[c] = value
         else:
             value = frame[c].to_numpy(dtype=object).copy()
-            levels = model.levels[c]
-            if levels:
-                q = p[:, : len(levels)]
-                best = q.argmax(1)
-                value[gone] = np.array(levels, object)[best][gone]
-                sure[gone] = q.max(1)[gone]
-                fill[gone] = "tree"
-            out[c] = value
+            value[told] = texts[:, part][every, among][told]
+            rare, share = model.rarer.get(c, (None, 0.0))
+            q = np.concatenate([p[:, :-1], p[:, -1:] * share], axis=1)  # of the rarer levels only the most frequent can be the mode
+            value[alone] = np.array([*model.levels[c], rare], object)[q.argmax(1)][alone]
+            sure[alone] = q.max(1)[alone]
+            alone = alone & np.array([x is not None for x in value], bool)
+            sure[gone & ~told & ~alone] = np.nan
+        sure[told] = p[every, among][told]
+        fill[told], fill[alone] = "group", "tree"
+        out[c] = value
         out[f"{c}_fill"], out[f"{c}_confidence"] = fill, np.where(np.isnan(sure), None, sure)
     return pd.DataFrame(out)
