@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,7 +23,8 @@ class CorpusError(ValueError):
 def corpus(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(records, titles) of `{route: {title, data: {heading key: text}}}` files, strictly.
 
-    Records are (seq, route, heading_key, title, fragment_text) in file order; titles
+    Records are (seq, route, heading_key, title, fragment_text) in file order, `seq` unique
+    over all files and pages whatever their size; titles
     hold pages without sections too. Bad JSON, routes without a leading slash, other
     keys than title and data, and values that aren't strings raise `CorpusError`.
     """
@@ -47,7 +48,7 @@ def corpus(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
         raise CorpusError("a page breaks the contract")
     titled = body.select("page_no", "route", F.try_variant_get("p", "$.title", "string").alias("title"), F.from_json(F.col("m")["data"], "map<string,string>").alias("data"))
     flat = titled.select("page_no", "route", "title", F.posexplode("data").alias("pos", "heading_key", "fragment_text"))
-    records = flat.select((F.col("page_no").cast("bigint") * (1 << 20) + F.col("pos")).alias("seq"), "route", "heading_key", "title", "fragment_text")
+    records = flat.select(F.monotonically_increasing_id().alias("seq"), "route", "heading_key", "title", "fragment_text")
     return records, titled.select("route", "title")
 
 
@@ -87,8 +88,10 @@ def file_suffix(df: DataFrame, name: str) -> DataFrame:
 def labelled_lines(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
     """(label, line_no, text) of one text file a language, plain or gzipped; `most` keeps
     the first lines of each file, a sampling option."""
-    raw = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]*)", 1).alias("label"), "value")
-    rows = raw.select("label", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "text")).where("text != ''")
+    raw = spark.read.text(path).select(F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]*)", 1).alias("label"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), F.col("value").alias("text"))
+    # lines are rows from the start: a file's blocks follow each other, and a block's lines have growing places
+    number = F.row_number().over(Window.partitionBy("label").orderBy("block", "place")) - 1
+    rows = raw.select("label", number.alias("line_no"), "text").where("text != ''")
     return rows.where(F.col("line_no") < most) if most else rows
 
 
@@ -161,7 +164,7 @@ def page_sections(pages: DataFrame, page: str, keep: list[str]) -> DataFrame:
     any, has the empty key.
     """
     mark = r"(?s)<h[1-6][^>]*>(.*?)<span[^>]*\bid=\"([^\"]*)\"[^>]*></span>(.*?)</h[1-6]>"
-    plain = lambda c: X.collapsed(F.trim(F.regexp_replace(c, r"<[^>]+>", " ")))
+    plain = lambda c: F.trim(X.collapsed(F.regexp_replace(c, r"<[^>]+>", " ")))
     parts = F.split(F.regexp_replace(F.col(page), mark, "\x01$2#$1$3\x02"), "\x01")
     rows = pages.select(*keep, F.posexplode(parts).alias("pos", "part"))
     key = F.when(F.col("pos") == 0, "").otherwise(F.concat(F.split_part("part", F.lit("#"), F.lit(1)), F.lit("#"), plain(F.regexp_extract("part", r"(?s)^[^#]*#(.*?)\x02", 1))))
