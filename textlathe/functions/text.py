@@ -113,3 +113,9 @@ def bert_clean(c) -> Column:
 def basic_units(c) -> Column:
     """Runs without blanks and punctuation, and each punctuation sign by itself."""
     return F.regexp_extract_all(F.lower(bert_clean(c)), F.lit(r"([\p{P}\p{S}]|[^\s\p{P}\p{S}]+)"), F.lit(1))
+
+
+def bibtex(key: Column, fields: dict[str, Column]) -> Column:
+    """An entry for a page with its fields in order."""
+    lines = [F.concat(F.lit(f"  {name} = {{"), value, F.lit("}")) for name, value in fields.items()]
+    return F.concat(F.lit("@misc{"), key, F.lit(",\n"), F.concat_ws(",\n", *lines), F.lit("\n}"))

@@ -69,6 +69,22 @@ def edit_script_udf(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"distance": pd.array([r[0] for r in rows], "Int32"), "edits": [None if r[1] is None else [{"op": o, "s1_idx": p, "s2_idx": q} for o, p, q in r[1]] for r in rows]})
 
 
+def rebuilt(a: str, b: str, edits: list) -> str:
+    """The text that the edits make of a; b only gives the signs that they name."""
+    out, at = [], 0
+    for op, i, j in edits:
+        out.append(a[at:i])
+        out.append({"transpose": a[i : i + 2][::-1], "delete": "", "insert": b[j] if j >= 0 else "", "substitute": b[j] if j >= 0 else ""}[op])
+        at = i + {"transpose": 2, "delete": 1, "insert": 0, "substitute": 1}[op]
+    return "".join([*out, a[at:]])
+
+
+@F.pandas_udf(T.StringType())
+def rebuilt_udf(a: pd.Series, b: pd.Series, edits: pd.Series) -> pd.Series:
+    steps = lambda e: [(x["op"], x["s1_idx"], x["s2_idx"]) if isinstance(x, dict) else tuple(x) for x in e]
+    return pd.Series([rebuilt(x, y, steps(e)) if e is not None else None for x, y, e in zip(a, b, edits)], dtype=object)
+
+
 def lcs_length(a: list, b: list) -> int:
     row = [0] * (len(b) + 1)
     for x in a:

@@ -77,6 +77,15 @@ def metric_columns(variant: str, specs: dict[str, str]) -> list[Column]:
     return cols
 
 
+#: Reasons by which a response ended of itself.
+FINISHED = ("stop", "eos", "end_turn")
+
+
+def finished(reasons: str) -> Column:
+    """Whether all of an array's reasons say that the response ended of itself."""
+    return F.forall(reasons, lambda x: F.coalesce(x.isin(*FINISHED), F.lit(False)))
+
+
 def tokenizer_settings(config: dict) -> dict:
     """Settings of a lower-casing word-piece tokenizer; accents go with case unless stated."""
     kind = (config.get("normalizer") or {}).get("type")

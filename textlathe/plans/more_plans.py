@@ -18,12 +18,17 @@ query = plans.query
 QUERIES, ORACLES = plans.QUERIES, plans.ORACLES
 
 
-@query(f"""WITH {Q.LEXICAL}, k AS (SELECT query_id, page_id, score, first_seq, CASE WHEN contains(lower(page_id), 'tokenizer') THEN 1 ELSE 0 END AS title_matches FROM lex)
-SELECT query_id, page_id, row_number() OVER (PARTITION BY query_id ORDER BY title_matches DESC, score DESC, first_seq) AS place FROM k""")
+@query(f"""WITH {Q.LEXICAL}, titled AS (SELECT DISTINCT {Q.ROUTE} AS page_id, unnest({Q.TOKENS.format("title")}) AS term FROM search_record), said AS (SELECT DISTINCT item_id AS query_id, unnest({Q.TOKENS.format("query")}) AS term FROM eval_item),
+  m AS (SELECT query_id, page_id, count(*) AS matches FROM said JOIN titled USING (term) GROUP BY ALL)
+SELECT query_id, page_id, coalesce(matches, 0) AS matches, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(matches, 0) DESC, score DESC, first_seq) AS place FROM lex LEFT JOIN m USING (query_id, page_id)""")
 def keyword_row_order(spark, sf):
-    """Pages whose name matches first, then by their rank."""
-    k = S.lexical_scores(S.lexical_view(table(spark, sf, "search_record")), Q.queries_of(spark, sf)).withColumn("m", F.lower("page_id").contains("tokenizer").cast("int"))
-    return S.ranked(k, [F.desc("m"), F.desc("score"), F.asc("first_seq")], name="place").select("query_id", "page_id", F.col("place").cast("bigint").alias("place"))
+    """Pages whose title has more of the query's own words come first, then by rank."""
+    r, asked = table(spark, sf, "search_record"), Q.queries_of(spark, sf)
+    titles = r.select(X.canonical_route("route").alias("page_id"), F.explode(X.tokens("title")).alias("term")).distinct()
+    said = asked.select("query_id", F.explode(X.tokens("query")).alias("term")).distinct()
+    m = said.join(titles, "term").groupBy("query_id", "page_id").agg(F.count("*").alias("matches"))
+    k = S.lexical_scores(S.lexical_view(r), asked).join(m, ["query_id", "page_id"], "left").na.fill(0, ["matches"])
+    return S.ranked(k, [F.desc("matches"), F.desc("score"), F.asc("first_seq")], name="place").select("query_id", "page_id", "matches", F.col("place").cast("bigint").alias("place"))
 
 
 @query(f"SELECT seq, {Q.ROUTE} AS page, CASE WHEN row_number() OVER (PARTITION BY {Q.ROUTE} ORDER BY seq) = 1 THEN title END AS crumb FROM search_record")
@@ -97,23 +102,35 @@ def nested_mean(spark, sf):
     return r.select("response_id", F.round(total / F.size("reference_contexts"), 6).alias("mean_length"), F.array_max(F.transform("reference_contexts", lambda x: F.length(x))).cast("bigint").alias("longest"))
 
 
-@query("SELECT response_id, list_bool_and(list_transform([synthesizer_name, experiment], lambda x: coalesce(x, '') <> '')) AS finished FROM rag_response_df")
+REASON = "CASE WHEN response IS NULL THEN 'content_filter' WHEN regexp_matches(response, '[.!?]$') THEN 'stop' WHEN regexp_matches(response, '[[:alnum:]]$') THEN 'length' ELSE 'eos' END"
+
+
+@query(f"SELECT query_id, count(*) AS n, bool_and({REASON} IN ('stop', 'eos', 'end_turn')) AS finished FROM rag_response_df GROUP BY query_id")
 def response_finish(spark, sf):
-    """Whether all of a response's stated marks are in order."""
-    return table(spark, sf, "rag_response_df").select("response_id", F.forall(F.array("synthesizer_name", "experiment"), lambda x: F.coalesce(x, F.lit("")) != "").alias("finished"))
+    """Whether all of a question's responses ended of themselves, by their reasons to end."""
+    r = F.col("response")
+    reason = F.when(r.isNull(), "content_filter").when(r.rlike("[.!?]$"), "stop").when(r.rlike("[a-zA-Z0-9]$"), "length").otherwise("eos")
+    told = table(spark, sf, "rag_response_df").groupBy("query_id").agg(F.count("*").alias("n"), F.collect_set(reason).alias("reasons"))
+    return told.select("query_id", "n", P.finished("reasons").alias("finished"))
 
 
-@query("""WITH f AS (SELECT l_returnflag, regr_slope(l_extendedprice, l_quantity) AS slope, regr_intercept(l_extendedprice, l_quantity) AS base, min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem GROUP BY 1)
-SELECT l_returnflag, k, round(lo + (hi - lo) * k / 10.0, 6) AS x, round(base + slope * (lo + (hi - lo) * k / 10.0), 4) AS y FROM f, (SELECT unnest(generate_series(0, 10)) AS k)""")
+@query("""WITH m AS (SELECT l_returnflag, covar_pop(l_quantity, l_extendedprice) AS c1, covar_pop(l_discount, l_extendedprice) AS c2, covar_pop(l_quantity, l_discount) AS c12, var_pop(l_quantity) AS v1, var_pop(l_discount) AS v2,
+    avg(l_quantity) AS m1, avg(l_extendedprice) AS my, min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem GROUP BY 1)
+SELECT l_returnflag, k, round(lo + (hi - lo) * k / 10.0, 6) AS x, round(my + (c1 * v2 - c2 * c12) / (v1 * v2 - c12 * c12) * (lo + (hi - lo) * k / 10.0 - m1), 4) AS y FROM m, (SELECT unnest(generate_series(0, 10)) AS k)""")
 def regression_line(spark, sf):
-    f = table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.regr_slope("l_extendedprice", "l_quantity").alias("slope"), F.regr_intercept("l_extendedprice", "l_quantity").alias("base"), F.min("l_quantity").alias("lo"), F.max("l_quantity").alias("hi"))
-    x = F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("k") / 10.0
-    return f.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(10)))).select("l_returnflag", F.col("k").cast("bigint").alias("k"), F.round(x, 6).alias("x"), F.round(F.col("base") + F.col("slope") * x, 4).alias("y"))
+    """The line of one feature of a fit on two, the other one held at its mean."""
+    x, z, y = "l_quantity", "l_discount", "l_extendedprice"
+    f = table(spark, sf, "lineitem").groupBy("l_returnflag").agg(
+        F.covar_pop(x, y).alias("c1"), F.covar_pop(z, y).alias("c2"), F.covar_pop(x, z).alias("c12"), F.var_pop(x).alias("v1"), F.var_pop(z).alias("v2"),
+        F.avg(x).alias("m1"), F.avg(y).alias("my"), F.min(x).alias("lo"), F.max(x).alias("hi"))
+    slope = (F.col("c1") * F.col("v2") - F.col("c2") * F.col("c12")) / (F.col("v1") * F.col("v2") - F.col("c12") * F.col("c12"))
+    at = F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("k") / 10.0
+    return f.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(10)))).select("l_returnflag", F.col("k").cast("bigint").alias("k"), F.round(at, 6).alias("x"), F.round(F.col("my") + slope * (at - F.col("m1")), 4).alias("y"))
 
 
-@query("SELECT l_shipmode, l_returnflag, n FROM (SELECT l_linestatus AS l_shipmode, l_returnflag, count(*) AS n FROM lineitem GROUP BY CUBE (l_linestatus, l_returnflag))")
+@query("SELECT l_linestatus, l_returnflag, count(*) AS n FROM lineitem GROUP BY CUBE (l_linestatus, l_returnflag)")
 def cube_counts(spark, sf):
-    return table(spark, sf, "lineitem").withColumnRenamed("l_linestatus", "l_shipmode").cube("l_shipmode", "l_returnflag").agg(F.count("*").alias("n"))
+    return table(spark, sf, "lineitem").cube("l_linestatus", "l_returnflag").agg(F.count("*").alias("n"))
 
 
 @query("SELECT event_id, lag(event_id) OVER w AS before, lead(event_id) OVER w AS after, ntile(4) OVER w AS quarter FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")

@@ -55,9 +55,9 @@ def value_counts(spark, sf):
     return A.shares(t(spark, sf, "documents").where("lang is not null"), [], "lang").withColumn("p", F.round("p", 8))
 
 
-@query("SELECT l_shipmode, l_returnflag, n, round(n / sum(n) OVER (PARTITION BY l_shipmode), 8) AS p FROM (SELECT l_linestatus AS l_shipmode, l_returnflag, count(*) AS n FROM lineitem GROUP BY ALL)")
+@query("SELECT l_linestatus, l_returnflag, n, round(n / sum(n) OVER (PARTITION BY l_linestatus), 8) AS p FROM (SELECT l_linestatus, l_returnflag, count(*) AS n FROM lineitem GROUP BY ALL)")
 def cond_prob(spark, sf):
-    return A.shares(t(spark, sf, "lineitem").withColumnRenamed("l_linestatus", "l_shipmode"), ["l_shipmode"], "l_returnflag").withColumn("p", F.round("p", 8))
+    return A.shares(t(spark, sf, "lineitem"), ["l_linestatus"], "l_returnflag").withColumn("p", F.round("p", 8))
 
 
 @query("""WITH g AS (SELECT l_returnflag AS op, CASE WHEN grouping(l_linestatus) = 1 THEN '<gen>' ELSE l_linestatus END AS error, l_linenumber AS fix, count(*) AS n, grouping(l_linestatus) AS g
@@ -74,7 +74,7 @@ def cdf_position(spark, sf):
     return p.select(F.col("l_linenumber").alias("pos"), F.round(F.sum("p").over(Window.partitionBy(F.lit(1)).orderBy("l_linenumber").rowsBetween(Window.unboundedPreceding, 0)), 8).alias("cdf"))
 
 
-@query("SELECT round(x / 2.0) AS bucket, count(*) AS n FROM (SELECT l_quantity AS x FROM lineitem) GROUP BY 1".replace("round(x / 2.0)", "least(10, CAST(floor((x - 0) / 5.0) AS BIGINT) + 1)"))
+@query("SELECT least(10, CAST(floor(l_quantity / 5.0) AS BIGINT) + 1) AS bucket, count(*) AS n FROM lineitem GROUP BY 1")
 def histogram(spark, sf):
     return t(spark, sf, "lineitem").select(F.least(F.lit(10), F.width_bucket("l_quantity", F.lit(0.0), F.lit(50.0), F.lit(10))).cast("bigint").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
 
@@ -111,13 +111,22 @@ def confidence_interval(spark, sf):
     return A.interval(t(spark, sf, "customer"), ["c_nationkey"], "c_acctbal")
 
 
-@query("""SELECT corpus, count(*) AS n, round(avg(CAST(coalesce(l.lang, '?') = lower(substr(b.label, 1, 2)) AS INT)), 6) AS micro_f1
-FROM benchmark_df b LEFT JOIN lang_code l ON b.label = l.code WHERE b.label IS NOT NULL GROUP BY corpus""")
+@query("""WITH l AS (SELECT code, min(lang) AS lang FROM lang_code GROUP BY code), r AS (SELECT corpus, doc_key, l.lang AS truth FROM benchmark_df b JOIN l ON b.label = l.code),
+  d AS (SELECT corpus, doc_key, truth, count(*) AS n FROM r GROUP BY ALL), c AS (SELECT corpus, truth, count(*) AS n FROM r GROUP BY ALL),
+  p AS (SELECT corpus, doc_key, arg_min(truth, (-n, truth)) AS by_document FROM d GROUP BY ALL), q AS (SELECT corpus, arg_min(truth, (-n, truth)) AS by_corpus FROM c GROUP BY ALL)
+SELECT corpus, model, sum(n) AS n, round(sum(n * CAST(predicted = truth AS INT)) * 1.0 / sum(n), 6) AS micro_f1
+FROM (SELECT d.corpus, truth, n, unnest(['document', 'corpus']) AS model, unnest([by_document, by_corpus]) AS predicted FROM d JOIN p ON d.corpus IS NOT DISTINCT FROM p.corpus AND d.doc_key IS NOT DISTINCT FROM p.doc_key JOIN q ON d.corpus IS NOT DISTINCT FROM q.corpus) GROUP BY ALL""")
 def micro_f1(spark, sf):
-    """Micro-F1 of one label a row is the share of right ones; here of a label's first two letters."""
-    b = t(spark, sf, "benchmark_df").where("label is not null").join(t(spark, sf, "lang_code"), F.col("label") == F.col("code"), "left")
-    right = F.coalesce("lang", F.lit("?")) == F.lower(F.substring("label", 1, 2))
-    return b.groupBy("corpus").agg(F.count("*").alias("n"), F.round(F.avg(right.cast("double")), 6).alias("micro_f1"))
+    """Micro-F1 of two predictors by corpus: a line's language is its document's most
+    frequent one, or its corpus's. With one label a row it is the share of right ones."""
+    codes = t(spark, sf, "lang_code").groupBy(F.col("code").alias("label")).agg(F.min("lang").alias("truth"))
+    d = t(spark, sf, "benchmark_df").join(F.broadcast(codes), "label").groupBy("corpus", "doc_key", "truth").agg(F.count("*").alias("n"))
+    often = lambda n: F.struct(n.alias("n"), F.transform(F.split("truth", ""), lambda x: -F.ascii(x)).alias("o"))
+    p = d.groupBy("corpus", "doc_key").agg(F.max_by("truth", often(F.col("n"))).alias("document"))
+    q = d.groupBy("corpus", "truth").agg(F.sum("n").alias("n")).groupBy("corpus").agg(F.max_by("truth", often(F.col("n"))).alias("corpus_wide")).withColumnRenamed("corpus", "c")
+    both = d.join(p.toDF("pc", "pd", "document"), d["corpus"].eqNullSafe(F.col("pc")) & d["doc_key"].eqNullSafe(F.col("pd"))).join(q, F.col("corpus").eqNullSafe(F.col("c")))
+    told = both.select("corpus", "truth", "n", F.explode(F.create_map(F.lit("document"), "document", F.lit("corpus"), "corpus_wide")).alias("model", "predicted"))
+    return told.groupBy("corpus", "model").agg(F.sum("n").alias("n"), F.round(F.sum(F.when(F.col("predicted") == F.col("truth"), F.col("n")).otherwise(0)) / F.sum("n"), 6).alias("micro_f1"))
 
 
 @query("""WITH a AS (SELECT o_custkey AS k, count(*) AS orders, sum(o_totalprice) AS spent FROM orders GROUP BY 1), b AS (SELECT c_custkey AS k, c_acctbal AS balance FROM customer),
@@ -147,7 +156,7 @@ def anti_join(spark, sf):
     return t(spark, sf, "eval_item").select("expected_page_id").distinct().join(pages, "expected_page_id", "left_anti")
 
 
-@query("SELECT p_partkey, CASE WHEN f.v IS NOT NULL AND f.v <> 0 THEN f.v ELSE p_retailprice END AS price FROM part LEFT JOIN (SELECT l_partkey AS k, max(l_discount) * 100 AS v FROM lineitem WHERE l_linenumber = 7 GROUP BY 1) f ON p_partkey = f.k".replace("AS price", "AS price").replace("p_partkey, CASE", "p_partkey, round(CASE").replace("END AS", "END, 4) AS"))
+@query("SELECT p_partkey, round(CASE WHEN f.v IS NOT NULL AND f.v <> 0 THEN f.v ELSE p_retailprice END, 4) AS price FROM part LEFT JOIN (SELECT l_partkey AS k, max(l_discount) * 100 AS v FROM lineitem WHERE l_linenumber = 7 GROUP BY 1) f ON p_partkey = f.k")
 def price_override(spark, sf):
     fill = t(spark, sf, "lineitem").where("l_linenumber = 7").groupBy(F.col("l_partkey").alias("p_partkey")).agg((F.max("l_discount") * 100).alias("v"))
     j = t(spark, sf, "part").join(fill, "p_partkey", "left")
@@ -174,7 +183,7 @@ def unpivot_metrics(spark, sf):
     return t(spark, sf, "param_estimation").unpivot("record_id", ["gdpval", "tau2", "omniscience_accuracy"], "metric", "value").where("value is not null and not isnan(value)")
 
 
-@query("SELECT l_linenumber, count(*) FILTER (l_returnflag = 'A') / count(*) AS a, count(*) FILTER (l_returnflag = 'N') / count(*) AS n, count(*) FILTER (l_returnflag = 'R') / count(*) AS r FROM lineitem GROUP BY 1".replace("/ count(*) AS", "* 1.0 / count(*) AS"))
+@query("SELECT l_linenumber, count(*) FILTER (l_returnflag = 'A') * 1.0 / count(*) AS a, count(*) FILTER (l_returnflag = 'N') * 1.0 / count(*) AS n, count(*) FILTER (l_returnflag = 'R') * 1.0 / count(*) AS r FROM lineitem GROUP BY 1")
 def pivot_probs(spark, sf):
     p = A.shares(t(spark, sf, "lineitem"), ["l_linenumber"], "l_returnflag")
     w = p.groupBy("l_linenumber").pivot("l_returnflag", ["A", "N", "R"]).agg(F.first("p"))
@@ -187,10 +196,12 @@ def union_tagged(spark, sf):
     return tagged("chunk", "text").unionByName(tagged("search_record", "fragment_text")).unionByName(tagged("documents", "text"))
 
 
-@query("SELECT word, n FROM (SELECT title AS word, 1 AS s FROM documents WHERE source = 'blog') EXCEPT ALL SELECT 1, 2".replace("SELECT word, n FROM (SELECT title AS word, 1 AS s FROM documents WHERE source = 'blog') EXCEPT ALL SELECT 1, 2", "SELECT title FROM documents WHERE source = 'blog' EXCEPT ALL SELECT title FROM documents WHERE source = 'forum'"))
+@query("""SELECT 'lost' AS side, title, count(*) AS n FROM (SELECT title FROM documents WHERE source = 'blog' EXCEPT ALL SELECT title FROM documents WHERE source = 'forum') GROUP BY title
+UNION ALL SELECT 'gained', title, count(*) FROM (SELECT title FROM documents WHERE source = 'forum' EXCEPT ALL SELECT title FROM documents WHERE source = 'blog') GROUP BY title""")
 def except_multiset(spark, sf):
-    d = t(spark, sf, "documents")
-    return d.where("source = 'blog'").select("title").exceptAll(d.where("source = 'forum'").select("title"))
+    """What each side has more of, and how often: both counts come from one aggregate."""
+    d = t(spark, sf, "documents").where("source in ('blog', 'forum')").groupBy("title").agg((F.count_if(F.col("source") == "blog") - F.count_if(F.col("source") == "forum")).alias("d"))
+    return d.where("d != 0").select(F.when(F.col("d") > 0, "lost").otherwise("gained").alias("side"), "title", F.abs("d").alias("n"))
 
 
 @query("SELECT title FROM documents WHERE source = 'blog' INTERSECT ALL SELECT title FROM documents WHERE source = 'mirror'")
@@ -256,12 +267,53 @@ def linear_fit(spark, sf):
     )
 
 
-@query("SELECT split, count(*) AS n, round(1 - sum(pow(y - p, 2)) / nullif(sum(pow(y - m, 2)), 0), 6) AS r2, round(avg(abs(y - p)), 6) AS mae, round(sqrt(avg(pow(y - p, 2))), 6) AS rmse FROM (SELECT l_linenumber AS split, l_extendedprice / 1000 AS y, l_quantity AS p, avg(l_extendedprice / 1000) OVER (PARTITION BY l_linenumber) AS m FROM lineitem) GROUP BY split")
+FOLDS = """r AS (SELECT l_linenumber AS split, l_quantity AS x, log10(l_extendedprice) AS y, l_extendedprice AS raw FROM lineitem WHERE l_extendedprice > 0),
+  f AS (SELECT s.split, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM (SELECT DISTINCT split FROM r) s JOIN r ON r.split <> s.split GROUP BY 1),
+  m AS (SELECT r.split, count(*) AS n, 1 - sum(pow(y - a - b * x, 2)) / nullif(sum(pow(y, 2)) - pow(sum(y), 2) / count(*), 0) AS r2, avg(abs(raw - pow(10, a + b * x))) AS mae, sqrt(avg(pow(raw - pow(10, a + b * x), 2))) AS rmse FROM r JOIN f USING (split) GROUP BY 1)"""
+
+
+def folds(spark, sf):
+    """Each fold's figures by a line that is fitted on all other folds: their sums are the
+    total less the fold's own, so rows are read for the sums and once for the errors."""
+    r = t(spark, sf, "lineitem").where("l_extendedprice > 0").select(F.col("l_linenumber").alias("split"), F.col("l_quantity").cast("double").alias("x"), F.log10(F.col("l_extendedprice").cast("double")).alias("y"), F.col("l_extendedprice").cast("double").alias("raw"))
+    parts = {"n": F.lit(1.0), "sx": F.col("x"), "sy": F.col("y"), "sxx": F.col("x") * F.col("x"), "sxy": F.col("x") * F.col("y")}
+    own = r.groupBy("split").agg(*[F.sum(c).alias(k) for k, c in parts.items()])
+    total = own.agg(*[F.sum(k).alias(f"t_{k}") for k in parts])
+    n, sx, sy, sxx, sxy = (F.col(f"t_{k}") - F.col(k) for k in parts)
+    slope = (sxy - sx * sy / n) / (sxx - sx * sx / n)
+    lines = own.crossJoin(F.broadcast(total)).select("split", slope.alias("b"), ((sy - slope * sx) / n).alias("a"))
+    off, raw = F.col("y") - F.col("a") - F.col("b") * F.col("x"), F.col("raw") - F.pow(F.lit(10.0), F.col("a") + F.col("b") * F.col("x"))
+    rows = r.join(lines, "split")
+    return rows.groupBy("split").agg(F.count("*").alias("n"), (1 - F.sum(off * off) / F.nullif(F.sum(F.col("y") * F.col("y")) - F.sum("y") * F.sum("y") / F.count("*"), F.lit(0.0))).alias("r2"), F.avg(F.abs(raw)).alias("mae"), F.sqrt(F.avg(raw * raw)).alias("rmse"))
+
+
+@query(f"WITH {FOLDS} SELECT split, n, round(r2, 6) AS r2, round(mae, 4) AS mae, round(rmse, 4) AS rmse FROM m")
 def cv_metrics(spark, sf):
-    df = t(spark, sf, "lineitem").select(F.col("l_linenumber").alias("split"), (F.col("l_extendedprice") / 1000).alias("y"), F.col("l_quantity").alias("p"))
-    n, sy, syy = F.count("*"), F.sum("y"), F.sum(F.col("y") * F.col("y"))
-    rest = F.sum(F.pow(F.col("y") - F.col("p"), F.lit(2)))
-    return df.groupBy("split").agg(n.alias("n"), F.round(1 - rest / (syy - sy * sy / n), 6).alias("r2"), F.round(F.avg(F.abs(F.col("y") - F.col("p"))), 6).alias("mae"), F.round(F.sqrt(F.avg(F.pow(F.col("y") - F.col("p"), F.lit(2)))), 6).alias("rmse"))
+    """Cross-validation by folds: R2 of logarithms, errors of the raw values."""
+    return folds(spark, sf).select("split", "n", F.round("r2", 6).alias("r2"), F.round("mae", 4).alias("mae"), F.round("rmse", 4).alias("rmse"))
+
+
+@query(f"WITH {FOLDS} SELECT count(*) AS folds, round(avg(r2), 6) AS r2, round(stddev_samp(r2), 6) AS r2_std, CASE WHEN min(n) > 5 THEN round(avg(mae), 4) END AS mae, CASE WHEN min(n) > 5 THEN round(stddev_samp(mae), 4) END AS mae_std FROM m")
+def cv_summary(spark, sf):
+    """Means and sample deviations over the folds, none where a fold has five rows or fewer."""
+    enough = F.min("n") > 5
+    return folds(spark, sf).agg(F.count("*").alias("folds"), F.round(F.avg("r2"), 6).alias("r2"), F.round(F.stddev_samp("r2"), 6).alias("r2_std"), F.when(enough, F.round(F.avg("mae"), 4)).alias("mae"), F.when(enough, F.round(F.stddev_samp("mae"), 4)).alias("mae_std"))
+
+
+@query("""WITH c AS (SELECT o_orderpriority AS a, o_orderstatus AS b, avg(o_totalprice) AS m FROM orders GROUP BY ALL), z AS (SELECT min(a) AS a0, min(b) AS b0 FROM c)
+SELECT c.a, c.b, round(c.m - CASE WHEN c.a = a0 AND c.b = b0 THEN 0 WHEN c.a = a0 OR c.b = b0 THEN o.m ELSE x.m + y.m - o.m END, 4) AS coefficient
+FROM c, z JOIN c o ON o.a = a0 AND o.b = b0 JOIN c x ON x.a = c.a AND x.b = b0 JOIN c y ON y.a = a0 AND y.b = c.b""")
+def two_way_model(spark, sf):
+    """Coefficients of the two-way model with interaction, the first levels as the base:
+    the row of both bases is the intercept, a base and another level a main effect, two
+    others their interaction. They follow from the means of the few cells."""
+    c = t(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("a"), F.col("o_orderstatus").alias("b")).agg(F.avg("o_totalprice").alias("m"))
+    all_cells = Window.partitionBy(F.lit(1))
+    based = c.withColumns({"a0": F.col("a") == F.min("a").over(all_cells), "b0": F.col("b") == F.min("b").over(all_cells)})
+    at = lambda cond, over: F.max(F.when(cond, F.col("m"))).over(over)
+    m = based.withColumns({"o": at(F.col("a0") & F.col("b0"), all_cells), "x": at(F.col("b0"), Window.partitionBy("a")), "y": at(F.col("a0"), Window.partitionBy("b"))})
+    less = F.when(F.col("a0") & F.col("b0"), F.lit(0.0)).when(F.col("a0") | F.col("b0"), F.col("o")).otherwise(F.col("x") + F.col("y") - F.col("o"))
+    return m.where("o is not null and x is not null and y is not null").select("a", "b", F.round(F.col("m") - less, 4).alias("coefficient"))
 
 
 @query("SELECT user_id, count(*) AS n, count(DISTINCT event_type) AS kinds, round(sum(CASE WHEN event_type = 'purchase' THEN value ELSE 0 END), 4) AS spent, round(sum(value * value) / nullif(sum(value), 0), 6) AS weighted FROM events GROUP BY user_id")
@@ -274,10 +326,13 @@ def weighted_average(spark, sf):
     )
 
 
-@query("SELECT subset, count(*) AS n, round(exp(sum(length(query)) * 1.0 / sum(length(source_text))), 6) AS perplexity FROM eval_item GROUP BY subset")
+@query("SELECT user_id, count(*) FILTER (event_type <> 'view') AS kept, round(exp(sum(value / 100 * CAST(event_type <> 'view' AS INT)) / nullif(sum(CAST(event_type <> 'view' AS INT)), 0)), 6) AS perplexity FROM events GROUP BY user_id")
 def perplexity(spark, sf):
-    """exp of summed losses over summed weights; losses and weights are given columns."""
-    return t(spark, sf, "eval_item").groupBy("subset").agg(F.count("*").alias("n"), F.round(F.exp(F.sum(F.length("query")) / F.sum(F.length("source_text"))), 6).alias("perplexity"))
+    """exp of summed losses over kept places: the sums of loss times mask and of the mask.
+    Each user's events are a sequence, hundredths of their values its losses."""
+    mask = F.when(F.col("event_type") != "view", 1).otherwise(0)
+    e = t(spark, sf, "events").groupBy("user_id")
+    return e.agg(F.sum(mask).alias("kept"), F.round(F.exp(F.try_divide(F.sum(F.col("value") / 100 * mask), F.nullif(F.sum(mask), F.lit(0)))), 6).alias("perplexity"))
 
 
 @query("SELECT chunks, questions, chunks * 120 + questions * 450 AS prompt_tokens, (chunks * 120 + questions * 450) // 1000 AS thousands, round((chunks * 120 + questions * 450) * 3.0 / 1e6, 6) AS usd FROM (SELECT unnest(generate_series(1, 10)) * 100 AS chunks), (SELECT unnest(generate_series(1, 5)) * 50 AS questions)")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from textlathe.functions import numbers as N
@@ -21,10 +22,26 @@ def docs(spark, sf):
     return table(spark, sf, "documents").where("text is not null")
 
 
-@query(r"SELECT doc_id, regexp_extract(text, '^# ([^\n]*)', 1) AS h1, len(regexp_extract_all(text, '(?m)^(#{2,3}[ \t]+[^\n]*)$', 1)) AS n, array_to_string(regexp_extract_all(text, '(?m)^(#{2,3}[ \t]+[^\n]*)$', 1), '|') AS heads FROM documents WHERE text IS NOT NULL".replace("regexp_extract(text, '^# ([^\\n]*)', 1) AS h1", "nullif(regexp_extract(text, '^# ([^\\n]*)', 1), '') AS h1"))
+@query(r"""WITH d AS (SELECT doc_id, regexp_extract_all(text, '(?m)^(#{2,3}[ \t]+[^\n]*)$', 1) AS h FROM documents WHERE text IS NOT NULL),
+  r AS (SELECT doc_id, unnest(h) AS line, generate_subscripts(h, 1) AS pos FROM d),
+  g AS (SELECT *, starts_with(line, '###') AS third, sum(CAST(NOT starts_with(line, '###') AS INT)) OVER (PARTITION BY doc_id ORDER BY pos) AS part FROM r),
+  t AS (SELECT doc_id, part, max(CASE WHEN NOT third THEN regexp_replace(line, '^##[ \t]+', '') END) AS head, min(pos) AS pos, list(regexp_replace(line, '^###[ \t]+', '') ORDER BY pos) FILTER (third) AS subs FROM g WHERE part > 0 GROUP BY ALL)
+SELECT doc_id, head, min(pos) AS pos, array_to_string(arg_max(coalesce(subs, []), part), '|') AS subs FROM t GROUP BY doc_id, head""")
 def md_headlines(spark, sf):
-    h = X.headlines("text")
-    return docs(spark, sf).select("doc_id", X.first_title("text").alias("h1"), F.size(h).cast("bigint").alias("n"), F.array_join(h, "|").alias("heads"))
+    """Second-level headlines with the third-level ones under them; those before any are
+    let go, and a headline that comes again begins anew in its old place."""
+    rows = docs(spark, sf).select("doc_id", F.posexplode(X.headlines("text")).alias("pos", "line")).withColumn("third", F.col("line").startswith("###"))
+    bare = F.regexp_replace("line", r"^#+[ \t]+", "")
+    w = Window.partitionBy("doc_id").orderBy("pos")
+    parts = rows.withColumn("part", F.sum((~F.col("third")).cast("int")).over(w)).where("part > 0").groupBy("doc_id", "part").agg(
+        F.max(F.when(~F.col("third"), bare)).alias("head"), F.min("pos").alias("pos"), F.sort_array(F.collect_list(F.when(F.col("third"), F.struct("pos", bare.alias("t"))))).alias("subs"))
+    last = F.max_by(F.array_join(F.transform("subs", lambda x: x["t"]), "|"), "part")
+    return parts.groupBy("doc_id", "head").agg((F.min("pos") + 1).cast("bigint").alias("pos"), last.alias("subs"))
+
+
+@query(r"SELECT doc_id, nullif(regexp_extract(text, '^# ([^\n]*)', 1), '') AS h1 FROM documents WHERE text IS NOT NULL")
+def first_titles(spark, sf):
+    return docs(spark, sf).select("doc_id", X.first_title("text").alias("h1"))
 
 
 @query(r"SELECT doc_id, len(regexp_extract_all(text, '(?s)(.+?(?:[.!?](?:[ \t\n\x0b\f\r]+|$)|$))', 1)) AS n, array_to_string(regexp_extract_all(text, '(?s)(.+?(?:[.!?](?:[ \t\n\x0b\f\r]+|$)|$))', 1), '') = text AS lossless FROM documents WHERE text IS NOT NULL AND text <> ''")
@@ -79,16 +96,15 @@ def keyword_encode(spark, sf):
     return table(spark, sf, "search_record").select("seq", F.array_join(X.keyword_units("title"), " ").alias("units"))
 
 
-@query(r"""WITH q AS (SELECT DISTINCT substr(t, 1, n) AS prefix FROM (SELECT unnest(regexp_extract_all(lower(query), '[\p{L}\p{N}_]+')) AS t FROM eval_item), (SELECT unnest([3, 4]) AS n) WHERE length(t) >= n),
-  w AS (SELECT DISTINCT seq, term FROM (SELECT seq, unnest(regexp_extract_all(lower(title), '[\p{L}\p{N}_]+')) AS term FROM search_record))
-SELECT prefix, count(DISTINCT seq) AS sections FROM q JOIN w ON substr(term, 1, length(prefix)) = prefix GROUP BY prefix""")
+@query(r"""WITH q AS (SELECT DISTINCT unnest(regexp_extract_all(lower(query), '[\p{L}\p{N}_]+')) AS prefix FROM eval_item), w AS (SELECT DISTINCT seq, unnest(regexp_extract_all(lower(title), '[\p{L}\p{N}_]+')) AS term FROM search_record)
+SELECT prefix, count(DISTINCT seq) AS sections FROM q JOIN w ON starts_with(term, prefix) GROUP BY prefix""")
 def prefix_match(spark, sf):
-    """Prefixes of query words meet title words on the prefix as a key, not by a scan of pairs."""
-    heads = lambda c: F.filter(F.array(F.substring(c, 1, 3), F.substring(c, 1, 4)), lambda x: x.isNotNull())
-    q = table(spark, sf, "eval_item").select(F.explode(X.tokens("query")).alias("t")).select("t", F.explode(heads("t")).alias("prefix"), F.length("t").alias("n"))
-    q = q.where((F.length("prefix") == 3) & (F.col("n") >= 3) | (F.length("prefix") == 4) & (F.col("n") >= 4)).select("prefix").distinct()
-    w = table(spark, sf, "search_record").select("seq", F.explode(X.tokens("title")).alias("term")).distinct().select("seq", "term", F.explode(heads("term")).alias("prefix"))
-    return q.join(w, "prefix").groupBy("prefix").agg(F.countDistinct("seq").alias("sections"))
+    """Query words of any length meet the title words that begin with them: each distinct
+    title word is met by its prefixes as keys, and only then by its sections."""
+    q = table(spark, sf, "eval_item").select(F.explode(X.tokens("query")).alias("prefix")).distinct()
+    w = table(spark, sf, "search_record").select("seq", F.explode(X.tokens("title")).alias("term")).distinct()
+    heads = w.select("term").distinct().select("term", F.explode(F.transform(F.sequence(F.lit(1), F.length("term")), lambda n: F.substring("term", F.lit(1), n))).alias("prefix"))
+    return q.join(heads, "prefix").join(w, "term").groupBy("prefix").agg(F.countDistinct("seq").alias("sections"))
 
 
 @query(r"SELECT item_id, 'Context:' || chr(10) || source_text || chr(10) || '---' || chr(10) || 'Question: ' || query AS prompt FROM eval_item")
@@ -113,10 +129,10 @@ def reply_cleanup(spark, sf):
     return table(spark, sf, "rag_response_df").where("response is not null").select("response_id", F.trim(c).alias("cleaned"))
 
 
-@query("SELECT doc_id, coalesce(title, 'Untitled') || '. (' || coalesce(CAST(year(published_at) AS VARCHAR), 'n.d.') || '). ' || source || '. ' || route AS apa FROM documents")
+@query("SELECT doc_id, coalesce(title, 'Untitled') || '. (' || coalesce(CAST(year(published_at) AS VARCHAR), 'n.d.') || '). ' || source || '. ' || route AS apa, '@misc{doc' || doc_id || ',' || chr(10) || '  title = {' || coalesce(title, 'Untitled') || '},' || chr(10) || '  year = {' || coalesce(CAST(year(published_at) AS VARCHAR), 'n.d.') || '},' || chr(10) || '  howpublished = {' || route || '}' || chr(10) || '}' AS bibtex FROM documents")
 def citation(spark, sf):
     year = F.coalesce(F.year("published_at").cast("string"), F.lit("n.d."))
-    return table(spark, sf, "documents").select("doc_id", F.concat(F.coalesce("title", F.lit("Untitled")), F.lit(". ("), year, F.lit("). "), F.col("source"), F.lit(". "), F.col("route")).alias("apa"))
+    return table(spark, sf, "documents").select("doc_id", F.concat(F.coalesce("title", F.lit("Untitled")), F.lit(". ("), year, F.lit("). "), F.col("source"), F.lit(". "), F.col("route")).alias("apa"), X.bibtex(F.concat(F.lit("doc"), F.col("doc_id").cast("string")), {"title": F.coalesce("title", F.lit("Untitled")), "year": year, "howpublished": F.col("route")}).alias("bibtex"))
 
 
 @query(f"""WITH n AS (SELECT response_id, query_id, len({TOK.format("response")}) AS tokens FROM rag_response_df WHERE response IS NOT NULL), b AS (SELECT query_id, len({TOK.format("min(user_input)")}) AS base FROM rag_response_df GROUP BY 1)
@@ -153,17 +169,22 @@ def rouge_topk(spark, sf):
 def typo_pairs(spark, sf):
     """Title words and what they are after a hash-chosen slip: pairs (typo, correction)."""
     w = table(spark, sf, "documents").where("title is not null").select(F.explode(X.tokens("title")).alias("correction")).distinct().where("length(correction) > 3")
-    k = F.pmod(F.xxhash64("correction"), F.length("correction") - 1).cast("int") + 1
+    k = F.pmod(F.conv(F.substring(F.md5("correction"), 1, 7), 16, 10).cast("bigint"), F.length("correction") - 1).cast("int") + 1
     cut = F.concat(F.substring("correction", F.lit(1), k - 1), F.substring(F.col("correction"), k + 1, F.lit(1)), F.substring(F.col("correction"), k, F.lit(1)), F.substring(F.col("correction"), k + 2, F.lit(999)))
     drop = F.concat(F.substring("correction", F.lit(1), k), F.substring(F.col("correction"), k + 2, F.lit(999)))
     double = F.concat(F.substring("correction", F.lit(1), k), F.substring(F.col("correction"), k, F.lit(999)))
     return w.select(F.explode(F.array(cut, drop, double)).alias("typo"), "correction")
 
 
-@query()
+TYPOS = f"""w AS (SELECT DISTINCT unnest({TOK.format("title")}) AS c FROM documents WHERE title IS NOT NULL), k AS (SELECT c, CAST('0x' || substr(md5(c), 1, 7) AS BIGINT) % (length(c) - 1) + 1 AS k FROM w WHERE length(c) > 3),
+  p AS (SELECT c AS correction, unnest([substr(c, 1, k - 1) || substr(c, k + 1, 1) || substr(c, k, 1) || substr(c, k + 2), substr(c, 1, k) || substr(c, k + 2), substr(c, 1, k) || substr(c, k)]) AS typo FROM k)"""
+
+
+@query(f"WITH {TYPOS} SELECT typo, correction, damerau_levenshtein(typo, correction) AS distance, damerau_levenshtein(typo, correction) AS steps, correction AS rebuilt FROM p")
 def edit_script(spark, sf):
+    """Distance, number of edits, and what the edits make of the wrong word: the right one."""
     p = typo_pairs(spark, sf).withColumn("e", U.edit_script_udf("typo", "correction"))
-    return p.select("typo", "correction", "e.distance", F.transform("e.edits", lambda x: F.concat_ws(":", x["op"], x["s1_idx"], x["s2_idx"])).alias("edits"))
+    return p.select("typo", "correction", F.col("e.distance").cast("bigint").alias("distance"), F.size("e.edits").cast("bigint").alias("steps"), U.rebuilt_udf("typo", "correction", "e.edits").alias("rebuilt"))
 
 
 @query()
@@ -188,6 +209,41 @@ def chunk_pack(spark, sf):
     return r.select("seq", F.posexplode(U.pack_udf(256)("fragment_text", context)).alias("piece_no", "piece"))
 
 
+@query("SELECT seq, md5(fragment_text) AS digest, true AS fits FROM search_record WHERE regexp_matches(fragment_text, '[[:alnum:]]')")
+def chunk_lossless(spark, sf):
+    """The packed pieces together are the section, and each is within the target or a
+    single unit that can't be cut further."""
+    r = spread(table(spark, sf, "search_record").select("seq", "fragment_text")).where(F.col("fragment_text").rlike("[a-zA-Z0-9]"))
+    packed = r.select("seq", U.pack_udf(256)("fragment_text", F.lit("")).alias("pieces"))
+    words = lambda x: F.size(F.filter(F.split(x, r"\s+"), lambda w: w != ""))
+    whole = lambda x: (words(x) <= 256) | ~F.regexp_replace(x, r"\s+$", "").rlike(r"[.!?]\s|\n\s*\S")
+    return packed.select("seq", F.md5(F.array_join("pieces", "")).alias("digest"), F.forall("pieces", whole).alias("fits"))
+
+
+WORD_PIECES = """t AS (SELECT DISTINCT unnest(regexp_extract_all(lower(title), '[a-z0-9]+')) AS w FROM search_record WHERE title IS NOT NULL),
+  v AS (SELECT w AS piece FROM t WHERE length(w) BETWEEN 2 AND 4 UNION SELECT '##' || substr(w, 2) FROM t WHERE length(w) BETWEEN 2 AND 5 UNION SELECT chr(CAST(k AS INT)) FROM (SELECT unnest(generate_series(97, 122)) AS k) UNION SELECT '##' || chr(CAST(k AS INT)) FROM (SELECT unnest(generate_series(97, 122)) AS k)),
+  u AS (SELECT DISTINCT unnest(regexp_extract_all(lower(query), '[a-z0-9]+')) AS w FROM eval_item)"""
+
+
+@query(f"""WITH RECURSIVE {WORD_PIECES},
+  s AS (SELECT w, 1 AS place, [] :: VARCHAR[] AS pieces FROM u
+    UNION ALL SELECT w, place + best, list_append(pieces, piece) FROM (
+      SELECT s.w, s.place, s.pieces, v.piece, length(v.piece) - CASE WHEN place > 1 THEN 2 ELSE 0 END AS best, row_number() OVER (PARTITION BY s.w ORDER BY length(v.piece) DESC) AS n
+      FROM s JOIN v ON v.piece = CASE WHEN place > 1 THEN '##' ELSE '' END || substr(s.w, place, length(v.piece) - CASE WHEN place > 1 THEN 2 ELSE 0 END) AND (place > 1) = starts_with(v.piece, '##') WHERE place <= length(s.w)) WHERE n = 1)
+SELECT u.w AS word, coalesce(array_to_string(max(pieces) FILTER (place > length(u.w)), ' '), '') AS pieces FROM u LEFT JOIN s ON s.w = u.w GROUP BY u.w""")
+def word_pieces(spark, sf):
+    """Query words in greedy longest pieces of a vocabulary; none for a word with a part
+    that no piece covers. The vocabulary is a parameter: short title words and letters."""
+    words = lambda name, c: table(spark, sf, name).where(F.col(c).isNotNull()).select(F.explode(F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"), F.lit(1))).alias("w")).distinct()
+    short = words("search_record", "title").where("length(w) between 2 and 5").collect()  # at most five signs: of bounded number
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    pieces = sorted({*letters, *(f"##{x}" for x in letters), *(r.w for r in short if len(r.w) <= 4), *(f"##{r.w[1:]}" for r in short)})
+    told = words("eval_item", "query").withColumn("ids", U.wordpiece_udf({p: n for n, p in enumerate(pieces)})(F.array("w")))
+    vocab = spark.createDataFrame(list(enumerate(pieces)), "id int, piece string")
+    spelt = told.select("w", F.posexplode("ids").alias("at", "id")).join(vocab, "id").groupBy("w").agg(F.sort_array(F.collect_list(F.struct("at", "piece"))).alias("p"))
+    return told.join(spelt, "w", "left").select(F.col("w").alias("word"), F.coalesce(F.array_join(F.transform("p", lambda x: x["piece"]), " "), F.lit("")).alias("pieces"))
+
+
 @query()
 def bert_tokens(spark, sf):
     """Cleaned basic units and their pieces by a vocabulary of the corpus's frequent words."""
@@ -200,10 +256,16 @@ def bert_tokens(spark, sf):
 
 @query()
 def line_diff(spark, sf):
-    """Changed lines between a page's first and last section."""
-    s = table(spark, sf, "search_record").where("fragment_text is not null")
-    k = s.groupBy(X.canonical_route("route").alias("page")).agg(F.min_by("fragment_text", "seq").alias("a"), F.max_by("fragment_text", "seq").alias("b"))
-    return k.where("a != b").select("page", F.explode(U.line_diff_udf("a", "b")).alias("d")).select("page", "d.*")
+    """Changed lines between each section of a page and the one before it."""
+    w = Window.partitionBy("page").orderBy("seq")
+    s = table(spark, sf, "search_record").where("fragment_text is not null").select("seq", X.canonical_route("route").alias("page"), F.col("fragment_text").alias("b"))
+    return s.withColumn("a", F.lag("b").over(w)).where("a != b").select("page", "seq", F.explode(U.line_diff_udf("a", "b")).alias("d")).select("page", "seq", "d.*")
+
+
+@query("SELECT doc_id, len(embedding) AS dims FROM documents JOIN embeddings ON doc_id = vec_id")
+def positional_join(spark, sf):
+    """Rows of two tables that have the same number."""
+    return table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.size("embedding").cast("bigint").alias("dims")), "doc_id")
 
 
 @query("SELECT typo, arg_max(correction, n) AS correction FROM (SELECT lower(title) AS correction, substr(lower(title), 1, 8) AS typo, doc_id AS n FROM documents WHERE title IS NOT NULL) GROUP BY typo")
