@@ -16,7 +16,8 @@ def test_equals_sql(spark, name):
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
 def test_runs(spark, name):
     df = registry.QUERIES[name](spark, SF)
-    assert df.columns and df.count() >= 0
+    rows = df.collect()
+    assert rows and any(x is not None for x in rows[0])
 
 
 @pytest.mark.parametrize("name", ["lexical_rank", "p2_found", "link_check", "multiset_jaccard", "token_delta", "describe_stats"])

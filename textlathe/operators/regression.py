@@ -53,7 +53,7 @@ def fit(df: DataFrame, features: list[str], target: str, by: str) -> DataFrame:
             n = float(r["n"])
             mean = np.array([r[f"s_{c}"] / n for c in cols])
             cov = np.array([[r[f"p_{min(i, j)}_{max(i, j)}"] / n - mean[i] * mean[j] for j in range(k + 1)] for i in range(k + 1)])
-            span = np.array([max(r[f"hi_{c}"] - r[f"lo_{c}"], 1e-300) for c in features])
+            span = np.array([r[f"hi_{c}"] - r[f"lo_{c}"] or 1.0 for c in features])  # a constant feature adds nothing
             low = np.array([r[f"lo_{c}"] for c in features])
             b = nonnegative_fit(cov[:k, :k] / np.outer(span, span), cov[:k, k] / span)
             fitted = float(2 * b @ (cov[:k, k] / span) - b @ (cov[:k, :k] / np.outer(span, span)) @ b)
