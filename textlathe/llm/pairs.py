@@ -10,12 +10,14 @@ from __future__ import annotations
 
 import functools
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textlathe.functions.udfs import lcs_length
 from textlathe.llm.batches import parts
 from textlathe.llm.bayes import LETTERS, NaiveBayes, fit_bayes
 from textlathe.llm.refusals import fit_declining
@@ -277,13 +279,10 @@ def is_copy(question: str, response: str) -> bool:
         return False
     if r == target:
         return True
-    prev = [0] * (len(r) + 1)
-    for a in target:
-        row = [0]
-        for j, b in enumerate(r):
-            row.append(prev[j] + 1 if a == b else max(row[j], prev[j + 1]))
-        prev = row
-    return prev[-1] >= 0.75 * len(target) and prev[-1] >= len(r) - max(2, 0.2 * len(r))
+    least = max(0.75 * len(target), len(r) - max(2, 0.2 * len(r)))
+    if (Counter(target) & Counter(r)).total() < least:  # no more words can be in order than are in both
+        return False
+    return lcs_length(target, r) >= least
 
 
 def said_in(text: str) -> list[str]:
