@@ -91,6 +91,20 @@ def test_publish_keeps_old_set_on_failure(spark, tmp_path):
     assert len(K.sized({"a": 1}).encode()) == json.loads(K.sized({"a": 1}))["bytes"]
 
 
+def test_states_of_a_set(spark, tmp_path):
+    path = str(tmp_path / "set")
+    assert K.loaded(spark, path)[0] == "missing"
+    version = K.publish(spark, path, {"t": spark.range(3)}, {"dims": 2})
+    assert K.loaded(spark, path, ("t",))[0] == "ready" and K.loaded(spark, path, ("t", "u"))[0] == "broken"
+    for f in (tmp_path / "set" / version / "t").glob("*.parquet"):
+        f.write_bytes(b"no parquet")
+    assert K.loaded(spark, path)[0] == "broken"
+    (tmp_path / "set" / "current").write_text("{cut")
+    for f in (tmp_path / "set").glob(".*.crc"):
+        f.unlink()
+    assert K.loaded(spark, path)[0] == "broken"
+
+
 def test_once_and_report(spark, tmp_path):
     made = []
     for _ in range(2):

@@ -43,36 +43,51 @@ def printable(df: DataFrame) -> DataFrame:
 
 
 class ErrorModel:
-    """Where errors fall, of what kind, and what stands for what; small tables."""
+    """Where errors fall, of what kind there, and what stands for what; small tables.
 
-    def __init__(self, places: dict[float, float], kinds: dict[str, float], swaps: dict[str, dict[str, float]], extra: dict[str, float]):
+    Kinds are known for each place, and signs for each sign that they stand for or stand
+    after; what was never seen there is drawn from the general table.
+    """
+
+    def __init__(self, places: dict[float, float], kinds: dict, swaps: dict[str, dict[str, float]], extra: dict[str, dict[str, float]]):
         self.places, self.kinds, self.swaps, self.extra = places, kinds, swaps, extra
 
     @classmethod
     def fit(cls, edits: DataFrame, places: int = 10) -> ErrorModel:
         """From edit rows; the tables are bounded by kinds, places and printable signs."""
         e = printable(edits)
-        where = {r.b / places: r.n for r in e.groupBy(F.least(F.lit(places - 1), F.floor(F.col("pct_pos") * places)).alias("b")).agg(F.count("*").alias("n")).collect() if r.b is not None}
-        kinds = {r.op: r.n for r in e.groupBy("op").agg(F.count("*").alias("n")).collect()}
+        bin_ = F.least(F.lit(places - 1), F.floor(F.col("pct_pos") * places))
+        where: dict[float, float] = {}
+        kinds: dict = {GENERAL: {}}
+        for r in e.groupBy(bin_.alias("b"), "op").agg(F.count("*").alias("n")).collect():
+            kinds[GENERAL][r.op] = kinds[GENERAL].get(r.op, 0) + r.n
+            if r.b is not None:
+                where[r.b / places] = where.get(r.b / places, 0) + r.n
+                kinds.setdefault(r.b / places, {})[r.op] = r.n
         swaps: dict[str, dict[str, float]] = {GENERAL: {}}
-        for r in e.where("op = 'substitute'").groupBy("error", "fix").agg(F.count("*").alias("n")).collect():
-            swaps.setdefault(r.error, {})[r.fix] = r.n
-            swaps[GENERAL][r.fix] = swaps[GENERAL].get(r.fix, 0) + r.n
-        extra = {r.fix: r.n for r in e.where("op = 'insert'").groupBy("fix").agg(F.count("*").alias("n")).collect()}
-        return cls(where or {0.0: 1}, kinds or {"delete": 1}, swaps, extra)
+        extra: dict[str, dict[str, float]] = {GENERAL: {}}
+        wrong = e.columns[0]
+        before = F.substring(F.col(wrong), F.col("abs_pos"), F.lit(1))  # the sign that an extra one stands after
+        for table, op, given, drawn in ((swaps, "substitute", F.col("fix"), "error"), (extra, "delete", before, "error")):
+            for r in e.where(F.col("op") == op).groupBy(given.alias("g"), F.col(drawn).alias("d")).agg(F.count("*").alias("n")).collect():
+                table.setdefault(r.g, {})[r.d] = r.n
+                table[GENERAL][r.d] = table[GENERAL].get(r.d, 0) + r.n
+        return cls(where or {0.0: 1}, kinds if kinds[GENERAL] else {GENERAL: {"delete": 1}}, swaps, extra)
 
     def draw(self, table: dict, rng: random.Random):
         keys = sorted(table, key=str)
         return rng.choices(keys, [table[k] for k in keys])[0]
 
     def spoil(self, word: str, rng: random.Random) -> str:
-        """One error of a drawn kind at a drawn place: the reverse of the fix it needs."""
-        at = min(len(word) - 1, int(self.draw(self.places, rng) * len(word)))
-        kind = self.draw(self.kinds, rng)
+        """One error of a kind drawn for a drawn place: the reverse of the fix it needs."""
+        place = self.draw(self.places, rng)
+        at = min(len(word) - 1, int(place * len(word)))
+        kind = self.draw(self.kinds.get(place) or self.kinds[GENERAL], rng)
         if kind == "insert":
             return word[:at] + word[at + 1 :]
         if kind == "delete":
-            return word[: at + 1] + (self.draw(self.extra, rng) if self.extra else word[at]) + word[at + 1 :]
+            table = self.extra.get(word[at]) or self.extra[GENERAL]
+            return word[: at + 1] + (self.draw(table, rng) if table else word[at]) + word[at + 1 :]
         if kind == "substitute":
             table = self.swaps.get(word[at]) or self.swaps[GENERAL]
             return word[:at] + (self.draw(table, rng) if table else word[at]) + word[at + 1 :]

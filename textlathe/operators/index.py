@@ -107,15 +107,14 @@ def build_index(spark: SparkSession, records: DataFrame, titles: DataFrame, voca
 
 def semantic_rank(spark: SparkSession, path: str, queries: DataFrame, top: int | None = None) -> DataFrame | None:
     """(query_id, page_id, score, rank) of a published index, the first `top` pages of each
-    query where it is given; None where there is no index.
+    query where it is given; None where there is no index, or one that can't be read.
 
     Queries without a known token have no rows. Token vectors are taken back from their
     row scales, scores from the documents' one scale; only scores above zero are ranked.
     """
-    found = K.published(spark, path)
-    if found is None:
+    state, meta, tables = K.loaded(spark, path, ("documents", "tokens", "vocabulary"))
+    if state != "ready":
         return None
-    meta, tables = found
     vocab = {r.piece: r.token_id for r in tables["vocabulary"].collect()}
     rows = tables["tokens"].orderBy("token_id").collect()  # no more than `MOST_TABLE_MB`, as the set was built within it
     table = np.array([r.q for r in rows], float) * np.array([r.scale for r in rows])[:, None]

@@ -193,6 +193,31 @@ def edit_stats(spark, sf):
     return rows.groupBy("op", "error", "fix").agg(F.count("*").alias("n"), F.round(F.avg("pct_pos"), 6).alias("place"))
 
 
+@query()
+def edit_positions(spark, sf):
+    """How edits of each kind spread over ten places of their words."""
+    rows = E.edit_rows(typo_pairs(spark, sf), "typo", "correction")
+    share = F.least(F.lit(10), F.width_bucket("pct_pos", F.lit(0.0), F.lit(1.0), F.lit(10)))
+    n = rows.groupBy("op", share.cast("bigint").alias("place")).agg(F.count("*").alias("n"))
+    return n.withColumn("density", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("op")), 6))
+
+
+@query(r"""SELECT doc_id, pos, nullif(regexp_extract(node, '^#{1,6} ([^\n]*)', 1), '') AS header, md5(node) AS digest
+FROM (SELECT doc_id, unnest(n) AS node, generate_subscripts(n, 1) AS pos FROM (SELECT doc_id, string_split(regexp_replace(text, '(?m)^(#{1,6} )', chr(1) || '\1', 'g'), chr(1)) AS n FROM documents WHERE text IS NOT NULL)) WHERE node <> ''""")
+def header_nodes(spark, sf):
+    """Texts cut before each Markdown heading, none of their signs lost."""
+    parts = F.split(F.regexp_replace("text", r"(?m)^(#{1,6} )", "\x01$1"), "\x01")
+    rows = docs(spark, sf).select("doc_id", F.posexplode(parts).alias("pos", "node")).where("node != ''")
+    return rows.select("doc_id", (F.col("pos") + 1).cast("bigint").alias("pos"), F.nullif(F.regexp_extract("node", r"^#{1,6} ([^\n]*)", 1), F.lit("")).alias("header"), F.md5("node").alias("digest"))
+
+
+@query()
+def sentence_chunks(spark, sf):
+    """Whole texts as pieces of up to 512 tokens, no overlap, cut between sentences."""
+    d = spread(table(spark, sf, "documents").select("doc_id", "text").where("text is not null"))
+    return d.select("doc_id", F.posexplode(U.pack_udf(512)("text", F.lit(""))).alias("pos", "piece"))
+
+
 @query()
 def typo_variants(spark, sf):
     """Each evaluation query spoilt at four rates in two versions, and its baseline."""

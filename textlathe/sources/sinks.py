@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +60,21 @@ def published(spark: SparkSession, path: str) -> tuple[dict, dict[str, DataFrame
     return meta, {t: spark.read.parquet(f"{path}/{meta['version']}/{t}") for t in meta["tables"]}
 
 
+def loaded(spark: SparkSession, path: str, needs: tuple[str, ...] = ()) -> tuple[str, dict, dict[str, DataFrame]]:
+    """(state, metadata, tables) of a published set: `ready`, `missing` where there is
+    none, or `broken` where its pointer, a table or one of `needs` can't be read."""
+    try:
+        found = published(spark, path)
+        if found is None:
+            return "missing", {}, {}
+        meta, tables = found
+        if set(needs) - set(tables) or any(not df.columns for df in tables.values()):
+            return "broken", meta, {}
+        return "ready", meta, tables
+    except (AnalysisException, Py4JJavaError, ValueError, KeyError, TypeError):
+        return "broken", {}, {}
+
+
 def once(spark: SparkSession, path: str, make) -> DataFrame:
     """A stage's table: read if it was completed before, else made and written."""
     fs, _, Path = _fs(spark, path)
