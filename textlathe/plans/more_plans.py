@@ -27,7 +27,7 @@ def keyword_row_order(spark, sf):
     titles = r.select(X.canonical_route("route").alias("page_id"), F.explode(X.tokens("title")).alias("term")).distinct()
     said = asked.select("query_id", F.explode(X.tokens("query")).alias("term")).distinct()
     m = said.join(titles, "term").groupBy("query_id", "page_id").agg(F.count("*").alias("matches"))
-    k = S.lexical_scores(S.lexical_view(r), asked).join(m, ["query_id", "page_id"], "left").na.fill(0, ["matches"])
+    k = S.lexical_scores(Q.sections(spark, sf), asked).join(m, ["query_id", "page_id"], "left").na.fill(0, ["matches"])
     return S.ranked(k, [F.desc("matches"), F.desc("score"), F.asc("first_seq")], name="place").select("query_id", "page_id", "matches", F.col("place").cast("bigint").alias("place"))
 
 
@@ -41,7 +41,7 @@ def first_flag(spark, sf):
 @query(f"""WITH {Q.HYBRID.split("WITH ", 1)[1]}, {Q.FUSED}
 SELECT query_id, page_id, rank FROM hyb WHERE query_id IN (SELECT query_id FROM sem) UNION ALL SELECT query_id, page_id, rank FROM lex WHERE query_id NOT IN (SELECT query_id FROM sem)""")
 def hybrid_fallback(spark, sf):
-    keyword = S.lexical_rank(S.lexical_view(table(spark, sf, "search_record")), Q.queries_of(spark, sf), None)
+    keyword = S.lexical_rank(Q.sections(spark, sf), Q.queries_of(spark, sf), None)
     return S.hybrid(keyword, Q.semantic_pages(spark, sf)).withColumn("rank", F.col("rank").cast("bigint"))
 
 

@@ -9,7 +9,7 @@ from textlathe.functions import numbers as N
 from textlathe.functions import text as X
 from textlathe.operators import search as S
 from textlathe.plans.base import Plans
-from textlathe.runtime import cut_lineage, table
+from textlathe.runtime import cut_lineage, spread, table
 
 plans = Plans()
 query = plans.query
@@ -95,24 +95,30 @@ def breadcrumb(spark, sf):
     return S.breadcrumbs(pages.unionByName(roots))
 
 
+def sections(spark, sf):
+    """The sections as texts; a table of fewer files than cores is spread over them, as
+    cutting texts into words is the costly part."""
+    return S.lexical_view(spread(table(spark, sf, "search_record").select("seq", "route", "heading_key", "title", "fragment_text")))
+
+
 @query(VIEW)
 def lexical_view(spark, sf):
-    return S.lexical_view(table(spark, sf, "search_record"))
+    return sections(spark, sf)
 
 
 @query(f"WITH {LEXICAL} SELECT query_id, page_id, CAST(score AS BIGINT) AS score, first_seq, rank FROM lex")
 def lexical_rank(spark, sf):
-    return S.lexical_rank(S.lexical_view(table(spark, sf, "search_record")), queries_of(spark, sf), None).select("query_id", "page_id", F.col("score").cast("bigint").alias("score"), "first_seq", F.col("rank").cast("bigint").alias("rank"))
+    return S.lexical_rank(sections(spark, sf), queries_of(spark, sf), None).select("query_id", "page_id", F.col("score").cast("bigint").alias("score"), "first_seq", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query(f"WITH {LEXICAL} SELECT query_id, page_id, rank FROM lex WHERE rank <= 10")
 def lexical_topk_per_query(spark, sf):
-    return S.lexical_rank(S.lexical_view(table(spark, sf, "search_record")), queries_of(spark, sf)).select("query_id", "page_id", F.col("rank").cast("bigint").alias("rank"))
+    return S.lexical_rank(sections(spark, sf), queries_of(spark, sf)).select("query_id", "page_id", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query(f"""SELECT term, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest({TOKENS.format("text")}) AS term FROM documents WHERE text IS NOT NULL) GROUP BY term""")
 def term_freq(spark, sf):
-    per_doc = S.term_counts(table(spark, sf, "documents").where("text is not null"), ["doc_id"], "text", "n")
+    per_doc = S.term_counts(spread(table(spark, sf, "documents").select("doc_id", "text").where("text is not null")), ["doc_id"], "text", "n")
     return per_doc.groupBy("term").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
 
 
@@ -160,7 +166,7 @@ def semantic_pages(spark, sf, top=10):
 
 @query(f"{HYBRID}, {FUSED} SELECT query_id, page_id, kr AS keyword_rank, sr AS semantic_rank, round(score, 8) AS score, rank FROM hyb")
 def hybrid_rrf(spark, sf):
-    keyword = S.lexical_rank(S.lexical_view(table(spark, sf, "search_record")), queries_of(spark, sf))
+    keyword = S.lexical_rank(sections(spark, sf), queries_of(spark, sf))
     fused = S.fuse(keyword, semantic_pages(spark, sf))
     return fused.select("query_id", "page_id", F.col("keyword_rank").cast("bigint").alias("keyword_rank"), F.col("semantic_rank").cast("bigint").alias("semantic_rank"), F.round("score", 8).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
@@ -172,7 +178,7 @@ RECALL = "SELECT '{0}' AS condition, subset, count(*) AS queries, round(avg(CASE
 def recall_at_k(spark, sf):
     labels = table(spark, sf, "eval_item").select(F.col("item_id").alias("query_id"), "subset", "expected_page_id")
     # ten pages a query, each read for its own figures and for the fusion
-    keyword = cut_lineage(S.lexical_rank(S.lexical_view(table(spark, sf, "search_record")), queries_of(spark, sf)))
+    keyword = cut_lineage(S.lexical_rank(sections(spark, sf), queries_of(spark, sf)))
     semantic = cut_lineage(semantic_pages(spark, sf))
     out = None
     for name, ranks in (("keyword-only", keyword), ("semantic-only", semantic), ("hybrid", S.fuse(keyword, semantic))):
@@ -183,7 +189,7 @@ def recall_at_k(spark, sf):
 
 @query(f"WITH {LEXICAL} SELECT query_id, page_id, rank, CAST(floor((rank - 1) / 20) AS BIGINT) AS page FROM lex")
 def pagination(spark, sf):
-    r = S.lexical_rank(S.lexical_view(table(spark, sf, "search_record")), queries_of(spark, sf), None)
+    r = S.lexical_rank(sections(spark, sf), queries_of(spark, sf), None)
     return r.select("query_id", "page_id", F.col("rank").cast("bigint").alias("rank"), F.floor((F.col("rank") - 1) / 20).cast("bigint").alias("page"))
 
 
