@@ -161,17 +161,24 @@ def group_evidence(df: DataFrame, model: TreeModel, group: str) -> DataFrame:
     value) first, with partial sums before the shuffle, so a group that holds a third of
     all rows still gives no more rows than its fields have states.
     """
-    entries, at = [], 0
+    numbers, texts, at = [], [], 0
     for k, c in enumerate(model.nodes):
-        number = F.col(c) if c in model.numeric else F.lit(None).cast("double")
-        text = F.lit(None).cast("string") if c in model.numeric else F.col(c)
-        entries.append(F.struct((F.lit(at) + F.col(f"s{k}")).alias("pos"), number.alias("v"), text.alias("t")))
+        pos = (F.lit(at) + F.col(f"s{k}")).alias("pos")
+        if c in model.numeric:
+            numbers.append(F.struct(pos, F.col(c).alias("m")))
+        else:
+            texts.append(F.struct(pos, F.col(c).alias("t")))
         at += model.states(c)
-    counted = (
-        df.where(F.col(group).isNotNull()).select(group, F.explode(F.array(*entries)).alias("x")).where("x.pos is not null")
-        .groupBy(group, "x.pos", "x.t").agg(F.count("*").alias("n"), F.percentile_approx("x.v", 0.5, 1000).alias("m"))
-        .groupBy(group, "pos").agg(F.sum("n").alias("n"), F.max("m").alias("m"), F.max_by("t", F.struct("n", "t")).alias("t"))
-    )
+    parts = []
+    for entries in (numbers, texts):
+        if entries:
+            rows = df.where(F.col(group).isNotNull()).select(group, F.explode(F.array(*entries)).alias("x")).select(group, "x.*").where("pos is not null")
+            if entries is numbers:
+                parts.append(rows.groupBy(group, "pos").agg(F.count("*").alias("n"), F.percentile_approx("m", 0.5, 1000).alias("m"), F.lit(None).cast("string").alias("t")))
+            else:
+                told = rows.groupBy(group, "pos", "t").agg(F.count("*").alias("n")).groupBy(group, "pos")
+                parts.append(told.agg(F.sum("n").alias("n"), F.lit(None).cast("double").alias("m"), F.max_by("t", F.struct("n", "t")).alias("t")))
+    counted = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     mates = F.collect_list(F.struct("pos", "n", "m", "t"))
     return counted.groupBy(group).agg(mates.alias("mates")).select(group, *[F.col(f"mates.{c}").alias(f"mates_{c}") for c in ("pos", "n", "m", "t")])
 
