@@ -163,6 +163,19 @@ def link_check(spark, sf):
     return found.select("chunk_id", F.col("has_page").isNotNull().alias("page_found"), ((F.col("anchor") == "") | F.col("has_anchor").isNotNull()).alias("anchor_found"))
 
 
+@query("""WITH m AS (SELECT l_returnflag AS g, count(*) AS n, covar_pop(l_quantity, l_extendedprice) AS c1, covar_pop(l_tax, l_extendedprice) AS c2, covar_pop(l_quantity, l_tax) AS c12, var_pop(l_quantity) AS v1, var_pop(l_tax) AS v2, var_pop(l_extendedprice) AS vy,
+    avg(l_quantity) AS m1, avg(l_tax) AS m2, avg(l_extendedprice) AS my, min(l_quantity) AS lo1, max(l_quantity) AS hi1, min(l_tax) AS lo2, max(l_tax) AS hi2 FROM lineitem GROUP BY 1),
+  u AS (SELECT *, (c1 * v2 - c2 * c12) / (v1 * v2 - c12 * c12) AS u1, (c2 * v1 - c1 * c12) / (v1 * v2 - c12 * c12) AS u2, CASE WHEN c1 > 0 THEN c1 * c1 / v1 ELSE 0 END AS e1, CASE WHEN c2 > 0 THEN c2 * c2 / v2 ELSE 0 END AS e2 FROM m),
+  b AS (SELECT *, CASE WHEN u1 >= 0 AND u2 >= 0 THEN u1 WHEN e1 >= e2 AND c1 > 0 THEN c1 / v1 ELSE 0 END AS b1, CASE WHEN u1 >= 0 AND u2 >= 0 THEN u2 WHEN e2 > e1 THEN c2 / v2 ELSE 0 END AS b2 FROM u)
+SELECT g, n, round(my - b1 * (m1 - lo1) - b2 * (m2 - lo2), 3) AS intercept, round(b1 * (hi1 - lo1), 3) AS quantity, round(b2 * (hi2 - lo2), 3) AS tax, round((b1 * c1 + b2 * c2) / vy, 6) AS r2 FROM b""")
+def nonnegative_two(spark, sf):
+    """Two features with slopes of at least zero on scaled values, for each group."""
+    cols = [F.col(c).cast("double").alias(c) for c in ("l_quantity", "l_tax", "l_extendedprice")]
+    m = R.fit(table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("g"), *cols), ["l_quantity", "l_tax"], "l_extendedprice", "g")
+    b = lambda k: F.round(F.col("coefficients")[k], 3)
+    return m.select("g", "n", F.round("intercept", 3).alias("intercept"), b(0).alias("quantity"), b(1).alias("tax"), F.round("r2", 6).alias("r2"))
+
+
 @query()
 def nonnegative_glm(spark, sf):
     """log10 of size by three scores with slopes of at least zero, for each variant word."""

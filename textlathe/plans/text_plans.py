@@ -155,7 +155,16 @@ def multiset_jaccard(spark, sf):
     return E.word_overlap(r, "response_id", "response", "reference").withColumn("jaccard", F.round("jaccard", 6))
 
 
-@query()
+@query("""WITH RECURSIVE one AS (SELECT query_id, arg_min(reference_contexts, response_id) AS a, arg_max(reference_contexts, response_id) AS b FROM rag_response_df WHERE reference_contexts IS NOT NULL GROUP BY 1),
+  x AS (SELECT query_id, unnest(a) AS t, generate_subscripts(a, 1) AS i, b FROM one), y AS (SELECT query_id, i, t, unnest(b) AS u, generate_subscripts(b, 1) AS j FROM x),
+  p AS (SELECT row_number() OVER (ORDER BY t, u) AS id, t, u, regexp_extract_all(lower(t), '[a-z0-9]+') AS ta, regexp_extract_all(lower(u), '[a-z0-9]+') AS ub FROM (SELECT DISTINCT t, u FROM y)),
+  bw AS (SELECT id, unnest(ub) AS w, generate_subscripts(ub, 1) AS j FROM p),
+  s AS (SELECT id, 0 AS i, j, 0 AS v FROM bw
+    UNION ALL SELECT id, i, j, max(c) OVER (PARTITION BY id ORDER BY j) AS v FROM (
+      SELECT s.id, s.i + 1 AS i, s.j, CASE WHEN p.ta[s.i + 1] = bw.w THEN coalesce(lag(s.v) OVER (PARTITION BY s.id ORDER BY s.j), 0) + 1 ELSE s.v END AS c
+      FROM s JOIN bw ON bw.id = s.id AND bw.j = s.j JOIN p ON p.id = s.id WHERE s.i < len(p.ta))),
+  l AS (SELECT p.t, p.u, coalesce(2.0 * max(s.v) FILTER (s.i = len(ta)) / nullif(any_value(len(ta) + len(ub)), 0), 0) AS f FROM p LEFT JOIN s USING (id) GROUP BY p.t, p.u)
+SELECT query_id, round(sum(f / (1 + abs(i - j))) / sum(1.0 / (1 + abs(i - j))), 6) AS rouge FROM y JOIN l ON y.t = l.t AND y.u = l.u GROUP BY query_id""")
 def rouge_topk(spark, sf):
     """Weighted mean similarity of each question's contexts in their order to its reference
     contexts' first record; weights fall with the distance of places."""
@@ -187,6 +196,15 @@ def edit_script(spark, sf):
     return p.select("typo", "correction", F.col("e.distance").cast("bigint").alias("distance"), F.size("e.edits").cast("bigint").alias("steps"), U.rebuilt_udf("typo", "correction", "e.edits").alias("rebuilt"))
 
 
+@query(f"""WITH {TYPOS}, l AS (SELECT substr(c, k, 1) AS x, substr(c, k + 1, 1) AS y FROM k),
+  r AS (SELECT 'transpose' AS op, y AS error, x AS fix FROM l WHERE x <> y UNION ALL SELECT 'transpose', x, y FROM l WHERE x <> y UNION ALL SELECT 'insert', '<ins>', y FROM l UNION ALL SELECT 'delete', x, '<del>' FROM l)
+SELECT op, error, fix, count(*) AS n FROM r WHERE regexp_full_match(error, '[\\x20-\\x7e]*') AND regexp_full_match(fix, '[\\x20-\\x7e]*') GROUP BY ALL""")
+def edit_kinds(spark, sf):
+    """What stands for what in the edits of slips whose kind and place are known."""
+    rows = E.printable(E.edit_rows(typo_pairs(spark, sf), "typo", "correction"))
+    return rows.groupBy("op", "error", "fix").agg(F.count("*").alias("n"))
+
+
 @query()
 def edit_stats(spark, sf):
     rows = E.printable(E.edit_rows(typo_pairs(spark, sf), "typo", "correction"))
@@ -287,6 +305,16 @@ def line_diff(spark, sf):
     return s.withColumn("a", F.lag("b").over(w)).where("a != b").select("page", "seq", F.explode(U.line_diff_udf("a", "b")).alias("d")).select("page", "seq", "d.*")
 
 
+@query("SELECT item_id, 9 AS versions, md5(query) AS baseline, true AS shaped FROM eval_item WHERE query IS NOT NULL")
+def typo_versions(spark, sf):
+    """Each query's versions: the baseline is the query, and every version has as many
+    blanks."""
+    gaps = lambda c: F.length(F.regexp_replace(c, r"\S", ""))  # noqa: E731 (a word of one letter may vanish, its blanks stay)
+    v = typo_variants(spark, sf).join(table(spark, sf, "eval_item").select("item_id", "query"), "item_id")
+    told = v.groupBy("item_id").agg(F.count("*").alias("versions"), F.max(F.when(F.col("rate") == 0, F.md5("variant"))).alias("baseline"), F.bool_and(gaps("variant") == gaps("query")).alias("shaped"))
+    return told
+
+
 @query("SELECT doc_id, len(embedding) AS dims FROM documents JOIN embeddings ON doc_id = vec_id")
 def positional_join(spark, sf):
     """Rows of two tables that have the same number."""
