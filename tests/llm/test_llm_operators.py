@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textlathe.llm import bpe, fuse, langid, leaks, pairs, pii, pii_lines, refusals, split
+from textlathe.llm import bpe, fuse, langid, leaks, pairs, pii, pii_lines, queries, refusals, split
 from textlathe.llm.batches import parts
 from textlathe.llm.boosting import BoostedTrees
 from textlathe.llm.pii_lines import write_lines
@@ -155,6 +155,23 @@ def test_further_sources_vote_for_themselves(spark, monkeypatch):
     assert [g.value for g in got] == [9.0]
 
 
+def test_survivors_need_no_votes(spark, monkeypatch):
+    """What no vote can change runs no vote; where votes are told, the learnt sources count."""
+    tables = [table(spark, SF, t) for t in ("param_estimation", "metric_source")]
+    rows = {(r.group_id, r.field): (r.record_id, r.value, r.posterior) for r in fuse.fuse_releases(*tables).collect()}
+    told = lambda n: (np.full(n, 0.5), np.ones((n, n)))
+    monkeypatch.setattr(fuse, "learn_sources", lambda fields, n: told(n))
+    other = {(r.group_id, r.field): (r.record_id, r.value, r.posterior) for r in fuse.fuse_releases(*tables).collect()}
+    assert any(rows[k][2] != other[k][2] for k in rows) and {k: v[:2] for k, v in rows.items()} == {k: v[:2] for k, v in other.items()}
+
+    def fail(*_):
+        raise AssertionError("a fit whose result no row shows")
+
+    monkeypatch.setattr(fuse, "learn_sources", fail)
+    assert {(r.group_id, r.field): (r.record_id, r.value) for r in fuse.survivors(*tables).collect()} == {k: v[:2] for k, v in rows.items()}
+    assert {(r.group_id, r.field): r.record_id for r in queries.p4_found(spark, SF).collect()} == {k: v[0] for k, v in rows.items()}
+
+
 # ---- pairs
 
 
