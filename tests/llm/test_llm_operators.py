@@ -442,6 +442,42 @@ def test_redaction(spark, models):
     assert pii.spans_of(["filler " * 30000 + text], models)[0]
 
 
+class Watched(frozenset):
+    """A set that notes what it is asked for."""
+
+    def __new__(cls, values, seen):
+        own = super().__new__(cls, values)
+        own.seen = seen
+        return own
+
+    def __contains__(self, x):
+        self.seen.add(x)
+        return super().__contains__(x)
+
+
+def test_long_name_lists_are_used_whole(spark, models, monkeypatch):
+    """A list that no task holds tells the same of each text as one that all hold, down to its last word."""
+    more = [("Zyvanna", "given"), ("Zzolberg", "family"), ("Straße", "family"), ("de", "given"), ("Von", "family"), ("A.", "given"), ("D’Ombra", "given"), ("Éloïse", "given"), (None, "given"), ("", "family"), ("Kelp", "other")]
+    names = table(spark, SF, "name_list").select("word", "kind").union(spark.createDataFrame(more, "word string, kind string"))
+    held = pii.fit_models(names)
+    monkeypatch.setattr(pii, "MOST_NAMES", 20)
+    joined = pii.fit_models(names)
+    assert joined.listed is not None and len(joined.given | joined.family) <= 3
+    last = "Zyvanna Zzolberg found the bug and wrote to a.b@example.org."
+    rows = [(1, last), (1, last), (2, None), (3, ""), (4, last.upper()), (5, "Ask Éloïse STRASSE, D’Ombra de Zzolberg, McZyvanna Von A. or D’Zyvanna Zzolberg-Kelp’s."), (6, "Thanks to A. Von, O'Zzolberg, Zyvanna and aD’Zzolberg Zyvanna ZZOLBERG. Ask O'D’Zzolberg."), (7, "x" * 5000 + " " + last)]
+    texts = spark.createDataFrame(rows, "doc_id bigint, text string").union(table(spark, SF, "documents").select(F.col("doc_id") + 100, "text"))
+    found = sorted(tuple(r) for r in pii.find_pii(texts, joined).where("doc_id < 100").collect())
+    assert found.count((1, "name", "Zyvanna Zzolberg")) == 2 and (7, "name", "Zyvanna Zzolberg") in found
+    joined.trees.update(held.trees)  # the same trees, so that only the way to the names differs
+    for redact in (False, True):
+        a, b = (sorted(map(repr, pii.find_pii(texts, m, redact).collect())) for m in (held, joined))
+        assert a == b and len(a) > 50
+    for t, own in ((t, pii.asked(t) | pii.ALWAYS) for _, t in rows if t):  # nothing is looked up that the join wouldn't ask for
+        seen: set = set()
+        list(pii.candidates(t, pii.replace(held, given=Watched(held.given, seen), family=Watched(held.family, seen))))
+        assert seen - {""} <= own, (t, seen - own)
+
+
 def test_boosted_trees_learn_an_interaction():
     rng = np.random.default_rng(0)
     x = rng.random((600, 3))

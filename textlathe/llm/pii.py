@@ -10,7 +10,7 @@ whose spans are known.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -60,13 +60,25 @@ ADDRESSES = [
 ]
 
 
+#: Marks of a form: a given name, a family name, a listed word in capitals.
+GIVEN, FAMILY, CAPITALS = 1, 2, 4
+
+
 @dataclass
 class Models:
     trees: dict[str, BoostedTrees]
     given: frozenset
     family: frozenset
     words: dict
+    #: Of a name list that is too long for every task: its forms, see `forms_of`. `given`
+    #: and `family` then hold particles and initials alone.
+    listed: DataFrame | None = None
 
+    def knowing(self, own: dict[str, int]) -> Models:
+        """The models for a text whose listed forms, with their marks, are given."""
+        return replace(
+            self, given=self.given | {w for w, m in own.items() if m & GIVEN}, family=self.family | {w for w, m in own.items() if m & FAMILY}, words=self.words | dict.fromkeys(own, "n")
+        )
 
 #: Where spans may lie: capitalised words (looked up after), cues, number runs, address signs.
 CAPITAL = re.compile(rf"[{UP}](?:\. (?=[{UP}])|[^\W\d_]+)")
@@ -106,6 +118,48 @@ def name_places(text: str, words: dict[str, str]):
         yield LEAD.match(text, m.end(), m.end() + 6).end()
 
 
+#: What the name list is asked for: words that begin with a capital, in any text particles and initials.
+ASKED = re.compile(rf"[{UP}](?:’[{UP}])?[^\W\d_]*")
+ALWAYS = {x for w in PARTICLES for x in (w, w.capitalize())} | {f"{chr(c)}." for c in range(0x180) if re.match(f"[{UP}]", chr(c))}
+
+
+def asked(text: str) -> set[str]:
+    """All forms but `ALWAYS` that `candidates` may look up for a text."""
+    found = set(ASKED.findall(text))
+    found |= {x for w in found if "’" in w for x in w.split("’")}
+    return found | {w.capitalize() for w in found}
+
+
+def forms_of(names: DataFrame) -> DataFrame:
+    """(form, marks), once for each listed word and each listed word in capitals."""
+
+    def run(frames):
+        for frame in frames:
+            marks = np.where(frame["kind"] == "given", GIVEN, FAMILY)
+            yield pd.DataFrame({"form": [*frame["word"], *(w.upper() for w in frame["word"])], "marks": [*marks, *[CAPITALS] * len(marks)]})
+
+    return names.mapInPandas(run, "form string, marks int").groupBy("form").agg(F.bit_or("marks").alias("marks"))
+
+
+def with_forms(documents: DataFrame, listed: DataFrame) -> DataFrame:
+    """`documents` with `forms` and `marks`: the listed forms among those that the text asks for.
+
+    The texts' forms and the list meet in a join, so no task holds the list. Texts of one
+    hash share their forms: what a form is doesn't depend on the text.
+    """
+    keyed = documents.withColumn("k", F.xxhash64("text"))
+
+    def run(frames):
+        for frame in frames:
+            for at in parts(frame["text"].tolist(), 1000):
+                found = [asked(t) for t in frame["text"].iloc[at]]
+                yield pd.DataFrame([(k, w) for k, f in zip(frame["k"].iloc[at], found) for w in f], columns=["k", "form"])
+
+    said = keyed.where("text is not null").select("k", "text").mapInPandas(run, "k bigint, form string")
+    own = said.join(listed, "form").groupBy("k").agg(F.collect_set(F.struct("form", "marks")).alias("x"))
+    return keyed.join(own.select("k", "x.form", "x.marks").withColumnRenamed("form", "forms"), "k", "left").drop("k")
+
+
 def words_before(text: str, at: int, n: int = 40) -> list[str]:
     return re.findall(r"[^\W\d_]+", text[max(0, at - n) : at].lower())[-5:]
 
@@ -334,12 +388,13 @@ def choose(found: list[tuple[str, int, int, float]]) -> list[tuple[str, int, int
     return sorted(taken, key=lambda x: x[1])
 
 
-def spans_of(texts: list[str], models: Models) -> list[list[tuple[str, int, int]]]:
-    """The chosen spans of each text; features of all texts are scored at once by type."""
+def spans_of(texts: list[str], models: Models, listed: list[dict[str, int]] | None = None) -> list[list[tuple[str, int, int]]]:
+    """The chosen spans of each text; features of all texts are scored at once by type.
+    `listed` has each text's forms of a list that the models don't hold."""
     rows: dict[str, list] = {k: [] for k in TYPES}
     feats: dict[str, list] = {k: [] for k in TYPES}
     for n, t in enumerate(texts):
-        for kind, a, b, f in candidates(t, models):
+        for kind, a, b, f in candidates(t, models.knowing(listed[n]) if listed else models):
             rows[kind].append((n, a, b))
             feats[kind].append(f)
     kept: list[list] = [[] for _ in texts]
@@ -360,22 +415,33 @@ def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-#: Words of the name list that are used, in order of the alphabet.
+#: Words of the name list that every task holds; of a longer list each text gets its own
+#: by a join, and training lines are written with so many, in order of a hash.
 MOST_NAMES = 50_000
 
 
 def fit_models(name_list: DataFrame, lines: int = 6000, **given_frames: list[str]) -> Models:
     """Fit the ensembles on `lines` written lines (`given_frames`: frames and blanks to write
-    them from); of `name_list` no more than `MOST_NAMES` words are used."""
+    them from); all words of `name_list` count, however many there are."""
     from textlathe.llm.pii_lines import write_lines
 
-    rows = [r for r in name_list.select("word", "kind").distinct().orderBy("word", "kind").limit(MOST_NAMES).collect() if r.word]
+    names = name_list.select("word", "kind").where("word != '' and kind in ('given', 'family')").distinct()
+    rows, listed = names.orderBy("word", "kind").limit(MOST_NAMES + 1).collect(), None
+    if len(rows) > MOST_NAMES:
+        listed = forms_of(names)
+        rows = [r for k in ("given", "family") for r in names.where(F.col("kind") == k).orderBy(F.xxhash64("word"), "word").limit(MOST_NAMES // 2).collect()]
     given, family = {r.word for r in rows if r.kind == "given"}, {r.word for r in rows if r.kind == "family"}
+    written = list(write_lines(sorted(given), sorted(family), lines, **given_frames))
     models = Models({}, frozenset(given), frozenset(family), lookup(given, family))
+    if listed is not None:
+        forms = name_list.sparkSession.createDataFrame([(w,) for w in sorted(ALWAYS.union(*(asked(t) for t, _ in written)))], "form string")
+        own = {r.form: r.marks for r in listed.join(F.broadcast(forms), "form", "left_semi").collect()}
+        models = Models({}, frozenset(), frozenset(), lookup(set(), set()), listed).knowing({w: m for w, m in own.items() if w in ALWAYS})
+    full = models if listed is None else models.knowing(own)
     x: dict[str, list] = {k: [] for k in TYPES}
     y: dict[str, list] = {k: [] for k in TYPES}
-    for text, gold in write_lines(sorted(given), sorted(family), lines, **given_frames):
-        for kind, a, b, f in candidates(text, models):
+    for text, gold in written:
+        for kind, a, b, f in candidates(text, full):
             x[kind].append(f)
             y[kind].append((kind, a, b) in gold)
     for kind in TYPES:
@@ -391,8 +457,10 @@ def find_pii(documents: DataFrame, models: Models, redact: bool = False) -> Data
     whole; repeated documents are searched each; other columns are ignored; an empty
     table gives an empty result.
     """
-    given = documents.sparkSession.sparkContext.broadcast(models)
-    picked = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    given = documents.sparkSession.sparkContext.broadcast(replace(models, listed=None))
+    picked = spread(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
+    if models.listed is not None:
+        picked = with_forms(picked, models.listed)
 
     def run(frames):
         models = given.value
@@ -400,11 +468,12 @@ def find_pii(documents: DataFrame, models: Models, redact: bool = False) -> Data
             for at in parts(frame["text"].tolist(), 1000):
                 part = frame.iloc[at]
                 texts = [t if isinstance(t, str) else "" for t in part["text"]]
-                spans = spans_of(texts, models)
+                own = [{} if f is None else dict(zip(f, m)) for f, m in zip(part["forms"], part["marks"])] if "forms" in part else None
+                spans = spans_of(texts, models, own)
                 if redact:
                     yield pd.DataFrame({"doc_id": part["doc_id"], "text": [redacted(t, s) if isinstance(raw, str) else None for raw, t, s in zip(part["text"], texts, spans)]})
                 else:
                     rows = [(d, k, s) for d, t, found in zip(part["doc_id"], texts, spans) for k, s in dict.fromkeys((k, t[a:b]) for k, a, b in found)]
                     yield pd.DataFrame(rows, columns=["doc_id", "pii_type", "pii_text"])
 
-    return spread(picked).mapInPandas(run, "doc_id bigint, text string" if redact else "doc_id bigint, pii_type string, pii_text string")
+    return picked.mapInPandas(run, "doc_id bigint, text string" if redact else "doc_id bigint, pii_type string, pii_text string")
